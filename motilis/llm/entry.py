@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup, token_files
 
 
 def queries() -> dict:
-    return {"op5_exact_dedup": exact_dedup.op5_exact_dedup}
+    return {
+        "op3_token_files": token_files.op3_token_files,
+        "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_bpe": bpe.op6_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
