@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, token_files
+from . import bpe, exact_dedup, fingerprints, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_token_files": token_files.op3_token_files,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_bpe": bpe.op6_bpe,
+        "op10_imatch": fingerprints.op10_imatch,
     }
 
 
