@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, token_files
+from . import bpe, exact_dedup, fingerprints, mixing, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op3_token_files": token_files.op3_token_files,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_bpe": bpe.op6_bpe,
