@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, mixing, token_files
+from . import bpe, exact_dedup, fingerprints, jaccard_join, maxent_lm, mixing, token_files
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_token_files": token_files.op3_token_files,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_bpe": bpe.op6_bpe,
+        "op8_maxent_lm": maxent_lm.op8_maxent_lm,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_imatch": fingerprints.op10_imatch,
     }
