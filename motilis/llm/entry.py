@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, maxent_lm, mixing, token_files
+from . import bpe, exact_dedup, fingerprints, jaccard_join, maxent_lm, mixing, suffix_dedup, token_files
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op3_token_files": token_files.op3_token_files,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_bpe": bpe.op6_bpe,
         "op8_maxent_lm": maxent_lm.op8_maxent_lm,
