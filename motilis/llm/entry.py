@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, maxent_lm, mixing, suffix_dedup, token_files
+from . import bpe, exact_dedup, fingerprints, jaccard_join, maxent_lm, mixing, quality, suffix_dedup, token_files
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_bpe": bpe.op6_bpe,
+        "op7_quality": quality.op7_quality,
         "op8_maxent_lm": maxent_lm.op8_maxent_lm,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_imatch": fingerprints.op10_imatch,
