@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, maxent_lm, mixing, quality, suffix_dedup, token_files
+from . import bpe, exact_dedup, fingerprints, jaccard_join, maxent_lm, mixing, quality, suffix_dedup, token_files, tool_calls
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_tool_calls": tool_calls.op2_tool_calls,
         "op3_token_files": token_files.op3_token_files,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,

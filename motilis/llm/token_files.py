@@ -10,8 +10,7 @@ ids is read by opening only the blocks that it touches.
 Documents are dealt out by ranges of doc_id, so that partitions, shards and documents are all in ascending order and a task
 holds one shard of bounded size at a time. Offsets across shards come from a manifest with one row per shard.
 
-Defined results: null or empty text has only the end id; a null doc_id sorts first and is stored as the least long with a
-flag in the manifest's order, equal doc_ids are ordered by text; an empty table writes no shard and reads back empty; other
+Defined results: null or empty text has only the end id; a null doc_id sorts first and is stored as the least long, equal doc_ids are ordered by text; an empty table writes no shard and reads back empty; other
 columns play no part.
 """
 
@@ -20,6 +19,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sharedfs
+from .bpe import byte_letters
 from .common import cut, id_text, load, pieces, scratch
 
 MAGIC = b"MOTIDS1\0"
@@ -38,8 +39,12 @@ BLOCK_IDS = 4096
 #: Ids in a shard before the next one begins; a single longer document makes a longer shard.
 SHARD_IDS = 4 << 20
 END_ID = 2
+#: Words in the younger half of a worker's memory; beyond it that half becomes the older one.
 REMEMBERED = 800_000
 LONG_WORD = 64
+MARKS = ".,;:!?$%&*#@^~+=_()[]{}\"/-"
+#: Letters below this one are composed and in lower case letter by letter.
+LATIN_END = "\u0180"
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -62,11 +67,11 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return flat.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
-def shard_chunks(doc_ids: list[int], docs: list[np.ndarray], bits: int, block: int = BLOCK_IDS) -> Iterator[bytes]:
-    """The bytes of a shard file."""
+def shard_chunks(doc_ids: list[int], docs: list[bytes], bits: int, block: int = BLOCK_IDS) -> Iterator[bytes]:
+    """The bytes of a shard file. docs: the ids of each document, as little-endian unsigned 32-bit integers."""
     starts = np.zeros(len(docs) + 1, np.uint64)
-    starts[1:] = np.cumsum([len(d) for d in docs])
-    ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
+    starts[1:] = np.cumsum([len(d) // 4 for d in docs])
+    ids = np.frombuffer(b"".join(docs), "<u4")
     blocks = [pack(ids[i : i + block], bits) for i in range(0, len(ids), block)]
     offsets = np.zeros(len(blocks) + 1, np.uint64)
     offsets[1:] = np.cumsum([len(b) for b in blocks])
@@ -114,7 +119,9 @@ class Shard:
 class WordEncoder:
     """Encodes by the tokenizers library, a word between spaces or line ends at a time, each distinct word once.
 
-    The vocabulary drops white space and no merge or special token spans it, so the ids of a text are those of its words."""
+    The vocabulary drops white space and no merge or special token spans it, so the ids of a text are those of its words. It
+    also splits letters from the marks behind them, so these are encoded apart. Latin letters need no more of the library's
+    normalisers than lower case and no more of its splitters than its letters for bytes; they go straight to its BPE model."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -124,22 +131,55 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.vocabulary = 1 + max(self.library.get_vocab(with_added_tokens=True).values())
+        self.letters = {b: ord(c) for b, c in byte_letters().items()}
         self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known, once = self.known, {}
-        new = list({w for doc in words for w in doc if w not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({w for doc in words for w in doc})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                (known if len(w) <= LONG_WORD else once)[w] = np.array(e.ids, np.uint32).tobytes()
-        if once:
-            return [np.frombuffer(b"".join([known[w] if w in known else once[w] for w in doc]), np.uint32) for doc in words]
-        return [np.frombuffer(b"".join([known[w] for w in doc]), np.uint32) for doc in words]
+        self.older: dict[str, bytes] = {}
+
+    def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        slow, tokenize, letters = [], self.library.model.tokenize, self.letters
+        for w in words:
+            low = w.lower()
+            if low.isalpha() and w.isalpha() and max(low) < LATIN_END and max(w) < LATIN_END:
+                yield w, array("I", [t.id for t in tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(letters))]).tobytes()
+            else:
+                slow.append(w)
+        for i in range(0, len(slow), 20_000):
+            for w, e in zip(slow[i : i + 20_000], self.library.encode_batch_fast(slow[i : i + 20_000], add_special_tokens=False)):
+                yield w, array("I", e.ids).tobytes()
+
+    def _meet(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not in the younger half of the memory."""
+        if len(self.known) + len(words) > REMEMBERED:
+            self.older = dict(self.known)
+            self.known.clear()
+        known, older, parts, own = self.known, self.older, {}, {}
+        for w in words:
+            if (x := older.get(w)) is not None:
+                own[w] = x
+                continue
+            stem = w.rstrip(MARKS)
+            if len(stem) == len(w) or not stem.isalpha():
+                stem = w
+            tail = w[len(stem) :]
+            parts[w] = (stem.lower() if stem.isascii() and "<|" not in stem else stem, tail)
+        need = {x for both in parts.values() for x in both}
+        own |= {w: x for w in need if (x := known.get(w, older.get(w))) is not None}
+        own.update(self._new([w for w in need if w not in own]))
+        own |= {w: own[stem] + own[tail] for w, (stem, tail) in parts.items()}
+        known.update((w, x) for w, x in own.items() if len(w) <= LONG_WORD)
+        return own
+
+    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers, followed by end."""
+        docs = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        get = self.known.get
+        ids = [[*map(get, doc)] for doc in docs]
+        if new := {w for doc, own in zip(docs, ids) if None in own for w, x in zip(doc, own) if x is None}:
+            met = self._meet(new)
+            ids = [[met[w] if x is None else x for w, x in zip(doc, own)] if None in own else own for doc, own in zip(docs, ids)]
+        for own in ids:
+            own.append(end)
+        return [b"".join(own) for own in ids]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -155,7 +195,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, shard_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path), TaskContext.get().partitionId()
-        bits, end, k = bits_for(max(enc.vocabulary, end_id + 1)), np.array([end_id], np.uint32), 0
+        bits, end, k = bits_for(max(enc.vocabulary, end_id + 1)), array("I", [end_id]).tobytes(), 0
         ids, held, total = [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -165,13 +205,13 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, shard_i
 
         for batch in batches:
             for piece in pieces(batch):
-                for i, x in zip(piece.column("doc_id").to_pylist(), enc.encode(piece.column("text").to_pylist())):
-                    if held and total + len(x) + 1 > shard_ids:
+                for i, x in zip(piece.column("doc_id").to_pylist(), enc.encode(piece.column("text").to_pylist(), end)):
+                    if held and total + len(x) // 4 > shard_ids:
                         yield shard()
                         ids, held, total, k = [], [], 0, k + 1
                     ids.append(-(1 << 63) if i is None else i)
-                    held.append(np.concatenate([x, end]))
-                    total += len(x) + 1
+                    held.append(x)
+                    total += len(x) // 4
         if held:
             yield shard()
 
@@ -186,12 +226,17 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, shard_i
 
 def read(manifest: DataFrame) -> DataFrame:
     """Documents of the shards named by a manifest: doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit)."""
-    return manifest.select("uri", "start").mapInArrow(_reader(lambda x: x.astype("<u4").tobytes(), pa.binary(), "ids"), "doc_id long, start long, n_tokens long, ids binary")
+    return _dealt(manifest).mapInArrow(_reader(lambda x: x.astype("<u4").tobytes(), pa.binary(), "ids"), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digests(manifest: DataFrame) -> DataFrame:
     """As read(), with ids_crc32 for ids."""
-    return manifest.select("uri", "start").mapInArrow(_reader(lambda x: zlib.crc32(x.astype("<u4").tobytes()), pa.int64(), "ids_crc32"), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _dealt(manifest).mapInArrow(_reader(lambda x: zlib.crc32(x.astype("<u4").tobytes()), pa.int64(), "ids_crc32"), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _dealt(manifest: DataFrame) -> DataFrame:
+    """A shard or a few to each task; the manifest itself is small."""
+    return manifest.select("uri", "start").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uri")
 
 
 def _reader(f, kind: pa.DataType, name: str):
