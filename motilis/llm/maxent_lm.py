@@ -4,7 +4,7 @@ A token's probability is P(its class | the words before it) times P(the word | i
 classes whose scores add up hashed features of the history: the word before (bigram), the two before together (trigram), and
 the second and third before (skips). Its weights come from rounds of distributed updates: tasks send the features' expected
 class counts under the present weights, and the gradient (observed less expected counts) moves the weights in the scale of
-iterative scaling. The second factor has the word's own feature only, whose maximum-likelihood weight is its count; a discount
+iterative scaling. A first update takes all training documents, each later round its share of them. The second factor has the word's own feature only, whose maximum-likelihood weight is its count; a discount
 of the class's share of words seen once goes to unknown words. So the V known tokens and, class by class, the unknown word
 share a probability of 1 after every history.
 
@@ -64,7 +64,7 @@ def suffix(token: bytes) -> int:
     return zlib.crc32(token[-2:]) % SUFFIXES
 
 
-def count_tokens(docs: DataFrame, every: int = 1 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, every: int = 1 << 19) -> DataFrame:
     """token, c over the training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,15 +180,18 @@ def log_classes(rows: list[np.ndarray], bias: np.ndarray, weights: np.ndarray) -
     return z
 
 
-def row_sums(rows: np.ndarray, p: np.ndarray, out: np.ndarray) -> None:
-    """Add the rows of p to those rows of out."""
-    order = np.argsort(rows, kind="stable")
-    own = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    out[own[first]] += np.add.reduceat(p[order], first, axis=0)
+def add_by_row(rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
+    """Add values (a line for each class) to the columns of out (a line for each class) that `rows` names."""
+    for k in range(len(values)):
+        out[k] += np.bincount(rows, values[k], out.shape[1])
 
 
-def summed(encoded: DataFrame, shape: tuple[int, int], add, block: int = 256) -> np.ndarray:
+def add_counts(rows: np.ndarray, classes: np.ndarray, out: np.ndarray) -> None:
+    """Count pairs of class and row in out (a line for each class)."""
+    out += np.bincount(classes * out.shape[1] + rows, minlength=out.size).reshape(out.shape)
+
+
+def summed(encoded: DataFrame, shape: tuple[int, int], add, block: int = 4) -> np.ndarray:
     """The sum over tasks of arrays that add(columns of ids, array) fills from training documents. Blocks of rows are summed by a shuffle; the driver gets the sum, whose size is fixed."""
     rows, width = shape
 
@@ -250,9 +253,9 @@ def train(counts: DataFrame, encoded: DataFrame, tokens: list[bytes], heavy_coun
     def contexts(columns: list[bytes], out: np.ndarray) -> None:
         for _, own, one, _, _, _ in histories(columns, share.value):
             ok = one < CONTEXTS
-            out += np.bincount(own[ok] * CONTEXTS + one[ok], minlength=out.size).reshape(out.shape)
+            add_counts(own[ok], one[ok], out)
 
-    classes = word_classes(summed(encoded, (CODES, CONTEXTS), contexts))
+    classes = word_classes(summed(encoded, (CONTEXTS, CODES), contexts).T)
     # class statistics: tokens, words, words seen once
     code = codes[: len(tokens)]
     stats = np.zeros((CLASSES, 3))
@@ -270,24 +273,29 @@ def train(counts: DataFrame, encoded: DataFrame, tokens: list[bytes], heavy_coun
         for _, own, one, two, three, _ in histories(columns, m["codes"]):
             c = m["classes"][own]
             for r in feature_rows(one, two, three):
-                out += np.bincount(r * CLASSES + c, minlength=out.size).reshape(out.shape)
-
-    seen = summed(encoded, (TABLE, CLASSES), observed)
-    expected = seen.sum(1, keepdims=True) * prior
-    for k in range(rounds + 1):
-        weights = weights + (np.log((seen + KAPPA * prior) / (expected + KAPPA * prior)) / FEATURES).astype(np.float32)
-        if k == rounds:
-            break
-        now = spark.sparkContext.broadcast((bias, weights))
-
-        def expect(columns: list[bytes], out: np.ndarray, now=now) -> None:
-            for _, _, one, two, three, _ in histories(columns, model.value["codes"]):
-                rows = feature_rows(one, two, three)
-                p = np.exp(log_classes(rows, *now.value))
+                add_counts(r, c, out)
+
+    def step(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        """The gradient of the log-likelihood, observed less expected counts, in the scale of iterative scaling."""
+        return (np.log((seen + KAPPA * prior) / (expected + KAPPA * prior)) / FEATURES).astype(np.float32)
+
+    seen = summed(encoded, (CLASSES, TABLE), observed).T  # at weights of 0 the classes are expected by their shares
+    weights += step(seen, seen.sum(1, keepdims=True) * prior)
+    for k in range(rounds):
+        now = spark.sparkContext.broadcast((bias, weights.copy()))
+
+        def gradient(columns: list[bytes], out: np.ndarray, now=now) -> None:
+            m = model.value
+            for _, own, one, two, three, _ in histories(columns, m["codes"]):
+                rows, c = feature_rows(one, two, three), m["classes"][own]
+                p = np.ascontiguousarray(np.exp(log_classes(rows, *now.value)).T, np.float64)
                 for r in rows:
-                    row_sums(r, p, out)
+                    add_by_row(r, p, out[CLASSES:])
+                    add_counts(r, c, out[:CLASSES])
 
-        expected = summed(encoded, (TABLE, CLASSES), expect)
+        # a round goes over its share of the training documents, and the rounds together over all of them
+        both = summed(encoded.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k), (2 * CLASSES, TABLE), gradient).T
+        weights += step(both[:, :CLASSES], both[:, CLASSES:])
     return {"codes": codes, "classes": classes, "stats": stats, "bias": bias, "weights": weights}
 
 
@@ -306,10 +314,16 @@ def score(docs: DataFrame, heavy: int = HEAVY, rounds: int = ROUNDS) -> DataFram
     docs = id_text(docs)
     counts = cut(count_tokens(docs), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(heavy).collect()  # a fixed number of words
-    tokens, heavy_counts = [bytes(r.token) for r in top], np.array([r.c for r in top], np.float64)
-    least, last = (top[-1].c, top[-1].token) if len(top) == heavy else (0, b"")
-    rest = counts.filter((F.col("c") < least) | ((F.col("c") == least) & (F.col("token") > F.lit(bytearray(last))))) if least else counts.filter("false")
+    # counts fall into a few hundred levels; as many whole levels count as heavy as hold no more than `heavy` words
+    levels, above, least = counts.groupBy(F.floor(F.log2("c") * 8).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect(), 0, None
+    for r in sorted(levels, key=lambda r: -r.level):
+        if above + r.n > heavy:
+            break
+        above, least = above + r.n, r.c
+    never = F.lit(False)
+    top = counts.filter(F.col("c") >= least if least is not None else never).toArrow().sort_by([("c", "descending"), ("token", "ascending")])
+    tokens, heavy_counts = top["token"].to_pylist(), np.array(top["c"].to_pylist(), np.float64)
+    rest = counts.filter(F.col("c") < least) if least is not None else counts
     encoded = cut(encode(docs, spark.sparkContext.broadcast(tokens)).withColumn("rid", F.monotonically_increasing_id()), "encoded")
     model = train(counts, encoded, tokens, heavy_counts, rest, rounds)
     discount, total, unknown = word_factors(model["stats"])
