@@ -52,4 +52,5 @@ def ingest(spark: SparkSession, source: str, schema: str, state: str, checkpoint
 
 def counts_by_window(events: DataFrame, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Events per type and window; rows later than the watermark are left out."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
