@@ -39,7 +39,8 @@ STRETCH = 2 << 20
 SHARD_BYTES = 8 << 20
 #: Bytes of suffix tuples in memory for a shard.
 QUEUE_BYTES = 192 << 20
-MOST_BYTES = 48 << 20
+#: Measured size up to which a table is broadcast to meet the texts.
+MOST_BYTES = 1 << 20
 
 
 def part_table(docs: DataFrame, length: int) -> DataFrame:
@@ -126,10 +127,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SH
     """docs: doc_id, tk, text. One row per document with repeated strings: id_, tk_, ranges (array of a, b)."""
     spark = docs.sparkSession
     table = cut(part_table(docs, length), "parts")
-    often = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    # written on its own, so that the join below meets two plain exchanges and a hot key's rows can be split
+    often = cut(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "often")
     table = cut(table.join(often, "key", "left_semi"), "candidates")
     same = cut(table.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tk", "span")).alias("x")), "distinct")
-    several = same.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select("key")
+    several = cut(same.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select("key"), "several")
     chosen = same.join(several, "key", "left_semi").select("key", "x.doc_id", "x.tk", "x.span")
     single = sorted_ranges(docs, chosen, length, scratch(spark, "runs"), shard_bytes, queue_bytes)
     first = F.shiftright("span", 8)
