@@ -37,6 +37,8 @@ ROUNDS = 3
 PER_ROUND = 0.1
 SURE = 0.95
 HELD = 5
+#: Bytes of text whose features are computed at a time.
+PIECE = 1 << 20
 #: A document is rejected if its chance of good quality is below this.
 REJECT = 0.5
 
@@ -217,7 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, "text", PIECE):
                 places, bounds, meta = views(piece)
                 content = dense(places, bounds).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y"), pa.array([x.tobytes() for x in content], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], ["doc_id", "y", "content", "meta"])
@@ -244,7 +246,7 @@ def scores(docs: DataFrame, model: dict | None, reject: float = REJECT) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, "text", PIECE):
                 places, bounds, meta = views(piece)
                 a, b, c = combine(m, odds(dense(places, bounds), m["models"][0]), odds(meta, m["models"][1]))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(a), pa.array(b), pa.array(c), pa.array(c >= reject)], ["doc_id", "p_content", "p_meta", "score", "accepted"])
@@ -263,7 +265,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, "text", PIECE):
                 part = pa.RecordBatch.from_arrays([piece.column("text").fill_null(""), piece.column("source"), piece.column("lang")], ["text", "source", "lang"])
                 places, bounds, meta = views(part)
                 *_, c = combine(m, odds(dense(places, bounds), m["models"][0]), odds(meta, m["models"][1]))
