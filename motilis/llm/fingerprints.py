@@ -159,7 +159,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.withColumn("k", F.coalesce("doc_id", F.lit(_LEAST)))
     marks = docs.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10_000).alias("m")).first().m if n > 1 else []
-    splits = [-float("inf"), *sorted({float(m) for m in marks or []}), float("inf")]
+    splits = [-float("inf"), *(sorted({float(m) for m in marks or []}) or [0.0]), float("inf")]
     deal = Bucketizer(splits=splits, inputCol="x", outputCol="bucket").transform
     ids = deal(docs.select("k", F.col("k").cast("double").alias("x")))
     tops = {int(r.bucket): r.top for r in ids.groupBy("bucket").agg(F.max("k").alias("top")).collect()}  # a row for each range
