@@ -16,11 +16,14 @@ columns play no part.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +45,8 @@ END_ID = 2
 #: Words in the younger half of a worker's memory; beyond it that half becomes the older one.
 REMEMBERED = 800_000
 LONG_WORD = 64
+#: Commonest words, and tokens after which they are chosen.
+HOT, SETTLED = 16_384, 1_000_000
 MARKS = ".,;:!?$%&*#@^~+=_()[]{}\"/-"
 #: Letters below this one are composed and in lower case letter by letter.
 LATIN_END = "\u0180"
@@ -134,6 +139,9 @@ class WordEncoder:
         self.letters = {b: ord(c) for b, c in byte_letters().items()}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {}
+        self.counts: Counter = Counter()
+        self.met = 0
 
     def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         slow, tokenize, letters = [], self.library.model.tokenize, self.letters
@@ -171,12 +179,39 @@ class WordEncoder:
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, followed by end."""
+        watched = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and the collector would walk millions of words again and again
+        try:
+            return self._encode(texts, end)
+        finally:
+            if watched:
+                gc.enable()
+
+    def _encode(self, texts: list[str], end: bytes) -> list[bytes]:
         docs = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        get = self.known.get
+        if self.met < SETTLED:  # the commonest words get a small table of their own, which stays in the processor's caches
+            self.counts.update(chain.from_iterable(docs))
+            self.met += sum(map(len, docs))
+            if self.met >= SETTLED:
+                self.hot = {w: x for w, _ in self.counts.most_common(HOT) if (x := self.known.get(w)) is not None}
+                self.counts.clear()
+        get, known = self.hot.get, self.known.get
         ids = [[*map(get, doc)] for doc in docs]
-        if new := {w for doc, own in zip(docs, ids) if None in own for w, x in zip(doc, own) if x is None}:
-            met = self._meet(new)
-            ids = [[met[w] if x is None else x for w, x in zip(doc, own)] if None in own else own for doc, own in zip(docs, ids)]
+        gaps = []
+        for doc, own in zip(docs, ids):
+            at = []
+            for i, x in enumerate(own):
+                if x is None:
+                    x = own[i] = known(doc[i])
+                    if x is None:
+                        at.append(i)
+            if at:
+                gaps.append((doc, own, at))
+        if gaps:
+            met = self._meet({doc[i] for doc, _, at in gaps for i in at})
+            for doc, own, at in gaps:
+                for i in at:
+                    own[i] = met[doc[i]]
         for own in ids:
             own.append(end)
         return [b"".join(own) for own in ids]
