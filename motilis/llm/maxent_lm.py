@@ -47,6 +47,7 @@ TABLE = 1 << 14
 FEATURES = 4
 #: Prior count behind each feature and class.
 KAPPA = 2.0
+MOST_WEIGHT = np.float32(12)
 END = b""
 _CHUNK = 1 << 16
 
@@ -169,15 +170,14 @@ def feature_rows(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> list[np
     return out
 
 
-def log_classes(rows: list[np.ndarray], bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the class probabilities after each history."""
+def class_scores(rows: list[np.ndarray], bias: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of the classes after each history, their exponentials and the sums of these. Weights are bounded by `MOST_WEIGHT`, so that nothing overflows."""
     z = weights[rows[0]]
     for r in rows[1:]:
         z += weights[r]
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    e = np.exp(z)
+    return z, e, e @ np.ones(e.shape[1], e.dtype)
 
 
 def add_by_row(rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
@@ -280,7 +280,7 @@ def train(counts: DataFrame, encoded: DataFrame, tokens: list[bytes], heavy_coun
         return (np.log((seen + KAPPA * prior) / (expected + KAPPA * prior)) / FEATURES).astype(np.float32)
 
     seen = summed(encoded, (CLASSES, TABLE), observed).T  # at weights of 0 the classes are expected by their shares
-    weights += step(seen, seen.sum(1, keepdims=True) * prior)
+    weights = np.clip(weights + step(seen, seen.sum(1, keepdims=True) * prior), -MOST_WEIGHT, MOST_WEIGHT)
     for k in range(rounds):
         now = spark.sparkContext.broadcast((bias, weights.copy()))
 
@@ -288,14 +288,16 @@ def train(counts: DataFrame, encoded: DataFrame, tokens: list[bytes], heavy_coun
             m = model.value
             for _, own, one, two, three, _ in histories(columns, m["codes"]):
                 rows, c = feature_rows(one, two, three), m["classes"][own]
-                p = np.ascontiguousarray(np.exp(log_classes(rows, *now.value)).T, np.float64)
+                _, e, total = class_scores(rows, *now.value)
+                e /= total[:, None]
+                p = np.ascontiguousarray(e.T, np.float64)
                 for r in rows:
                     add_by_row(r, p, out[CLASSES:])
                     add_counts(r, c, out[:CLASSES])
 
         # a round goes over its share of the training documents, and the rounds together over all of them
         both = summed(encoded.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k), (2 * CLASSES, TABLE), gradient).T
-        weights += step(both[:, :CLASSES], both[:, CLASSES:])
+        weights = np.clip(weights + step(both[:, :CLASSES], both[:, CLASSES:]), -MOST_WEIGHT, MOST_WEIGHT)
     return {"codes": codes, "classes": classes, "stats": stats, "bias": bias, "weights": weights}
 
 
@@ -343,8 +345,8 @@ def score(docs: DataFrame, heavy: int = HEAVY, rounds: int = ROUNDS) -> DataFram
                 columns, k = piece.column("ids").to_pylist(), piece.num_rows
                 sums = np.zeros((4, k))
                 for ids, code, one, two, three, doc in histories(columns, m["codes"]):
-                    z = log_classes(feature_rows(one, two, three), m["bias"], m["weights"])
-                    z = z[np.arange(len(code)), m["classes"][code]].astype(np.float64) / np.log(10) + m["own"][ids]
+                    z, _, total = class_scores(feature_rows(one, two, three), m["bias"], m["weights"])
+                    z = (z[np.arange(len(code)), m["classes"][code]].astype(np.float64) - np.log(total)) / np.log(10) + m["own"][ids]
                     for j, w in enumerate((None, ids < HEAVY, m["base"][ids], z)):
                         sums[j] += np.bincount(doc, w, k)
                 yield pa.RecordBatch.from_arrays([piece.column("rid"), piece.column("doc_id"), piece.column("held_out"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])], schema=schema)
