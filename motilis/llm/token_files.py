@@ -140,41 +140,50 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.hot: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.counts: Counter = Counter()
         self.met = 0
 
-    def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        slow, tokenize, letters = [], self.library.model.tokenize, self.letters
-        for w in words:
-            low = w.lower()
-            if low.isalpha() and w.isalpha() and max(low) < LATIN_END and max(w) < LATIN_END:
-                yield w, array("I", [t.id for t in tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(letters))]).tobytes()
-            else:
-                slow.append(w)
-        for i in range(0, len(slow), 20_000):
-            for w, e in zip(slow[i : i + 20_000], self.library.encode_batch_fast(slow[i : i + 20_000], add_special_tokens=False)):
-                yield w, array("I", e.ids).tobytes()
+    def _ids(self, word: str) -> bytes:
+        """Ids of letters or marks, whatever they are."""
+        low = word.lower()
+        if low.isalpha() and word.isalpha() and max(low) < LATIN_END and max(word) < LATIN_END:
+            letters = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
+        return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _meet(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that are not in the younger half of the memory."""
         if len(self.known) + len(words) > REMEMBERED:
             self.older = dict(self.known)
             self.known.clear()
-        known, older, parts, own = self.known, self.older, {}, {}
+        known, older, ids, own = self.known, self.older, self._ids, {}
         for w in words:
-            if (x := older.get(w)) is not None:
-                own[w] = x
-                continue
-            stem = w.rstrip(MARKS)
-            if len(stem) == len(w) or not stem.isalpha():
-                stem = w
-            tail = w[len(stem) :]
-            parts[w] = (stem.lower() if stem.isascii() and "<|" not in stem else stem, tail)
-        need = {x for both in parts.values() for x in both}
-        own |= {w: x for w in need if (x := known.get(w, older.get(w))) is not None}
-        own.update(self._new([w for w in need if w not in own]))
-        own |= {w: own[stem] + own[tail] for w, (stem, tail) in parts.items()}
-        known.update((w, x) for w, x in own.items() if len(w) <= LONG_WORD)
+            x = older.get(w)
+            if x is None:
+                stem = w.rstrip(MARKS)
+                tail = w[len(stem) :] if stem.isalpha() else ""
+                if not tail:
+                    stem = w
+                if stem.isascii() and "<|" not in stem:
+                    stem = stem.lower()
+                x = known.get(stem)
+                if x is None:
+                    x = older.get(stem)
+                    if x is None:
+                        x = ids(stem)
+                    if len(stem) <= LONG_WORD:
+                        known[stem] = x
+                if tail:
+                    end = self.tails.get(tail)
+                    if end is None:
+                        end = ids(tail)
+                        if len(tail) <= 8 and len(self.tails) < 10_000:
+                            self.tails[tail] = end
+                    x += end
+            own[w] = x
+            if len(w) <= LONG_WORD:
+                known[w] = x
         return own
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
