@@ -47,6 +47,15 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table that was counted is broadcast to meet the texts; beyond it both sides are shuffled.
+MOST_BROADCAST = 500_000
+
+
+def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has no more than `most` of them."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text each, at least a row."""
     n = batch.num_rows

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WS, cut, load
+from .common import WS, cut, load, sized
 
 HEAVY = 256
 TRACKED = 2048
@@ -60,7 +60,7 @@ def dedup(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFr
     if again:  # rows that repeat a doc_id and its text: one of them stays
         left = left.dropDuplicates(["doc_id", "__digest"])
         gone = out.groupBy("doc_id", "digest").agg(F.max("kept").alias("k")).filter("not k").select("doc_id", "digest")
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__gone"))
+    gone = sized(cut(gone.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__gone")), "gone"))
     return left.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")), "left_anti").drop("__digest")
 
 

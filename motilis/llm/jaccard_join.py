@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, load, pieces
+from .common import cut, id_text, load, pieces, sized
 from .shingles import mix, shingle_hashes
 
 THRESHOLD = 0.8
@@ -358,7 +358,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one of each class, with all their columns. Rows that repeat a doc_id go or stay together with equal texts only."""
     out = cut(jaccard_classes(docs).select("doc_id", "kept"), "classes")
     twice = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
-    gone = twice.filter("not kept").select(F.col("doc_id").alias("__id"))
+    gone = sized(cut(twice.filter("not kept").select(F.col("doc_id").alias("__id")), "gone"))
     left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
     if twice.filter("n > 1 and kept").limit(1).count():
         left = left.dropDuplicates(["doc_id"])

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, load
+from .common import WORD, cut, load, sized
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words to take in all, as a share of all words, and at most from a source, as a multiple of its words.
@@ -155,13 +155,14 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     key = ["__id", "__source", "__size"]
     taken = mix_decisions(docs, **how).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
     # rows alike in all three are interchangeable: they are numbered on either side
-    taken = cut(taken.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("copies"))).filter("copies > 0"), "taken")
+    taken = cut(taken.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("copies"))), "taken")
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     left = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__source", F.col("source").cast("string")).withColumn("__size", size)
-    left = left.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("text")))
-    right = taken.select(*(F.col(c).alias(f"{c}_r") for c in [*key, "__n"]), F.col("copies").alias("__copies"))
-    on = [F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in [*key, "__n"]]
-    both = left.join(right, on)
+    if taken.filter("__n > 1").limit(1).count():
+        key = [*key, "__n"]
+        left = left.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy("text")))
+    right = cut(taken.filter("copies > 0").select(*(F.col(c).alias(f"{c}_r") for c in key), F.col("copies").alias("__copies")), "chosen")
+    both = left.join(sized(right), [F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in key])
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 

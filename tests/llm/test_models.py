@@ -63,6 +63,12 @@ def test_mix_of_odd_rows(odd, odd_wide, none):
     assert mixed.columns == odd_wide.columns and mixed.count() == sum(r.copies for r in out.collect())
 
 
+def test_mix_beyond_the_broadcast(spark, odd, monkeypatch):
+    want = rows_of(mixing.mix(odd).select("doc_id", "source"))
+    monkeypatch.setattr(mixing, "sized", lambda df: df)
+    assert rows_of(mixing.mix(odd).select("doc_id", "source")) == want
+
+
 def quality_rows(n=400):
     rng, rows, labels = random.Random(3), [], []
     for i in range(n):
@@ -143,8 +149,8 @@ def test_lm_probabilities_sum_to_one():
     for k in range(2):
         known = (stats[k, 0] - discount[k] * stats[k, 1]) / 10 ** total[k]
         assert known + 10 ** unknown[k] == pytest.approx(1)
-    z = maxent_lm.log_classes([np.array([0, 1]), np.array([1, 1])], np.zeros(4, np.float32), np.random.default_rng(1).normal(size=(2, 4)).astype(np.float32))
-    assert np.exp(z).sum(1) == pytest.approx([1, 1])
+    z, e, total = maxent_lm.class_scores([np.array([0, 1]), np.array([1, 1])], np.zeros(4, np.float32), np.random.default_rng(1).normal(size=(2, 4)).astype(np.float32))
+    assert (e / total[:, None]).sum(1) == pytest.approx([1, 1]) and np.exp(z - np.log(total)[:, None]).sum(1) == pytest.approx([1, 1])
 
 
 def test_tool_calls_link_and_order(spark):
