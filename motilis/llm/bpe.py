@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import by_batch, id_text, load
 
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Longer words are not remembered.
 LONG_WORD = 64
 

@@ -46,7 +46,7 @@ MOST_BROADCAST = 200_000
 _rng = np.random.default_rng(5)
 _A = (_rng.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
-_SIZE = 2 << 20
+_SIZE = 1 << 20
 
 
 def minhashes(hashes: np.ndarray) -> np.ndarray:

@@ -38,7 +38,7 @@ PER_ROUND = 0.1
 SURE = 0.95
 HELD = 5
 #: Bytes of text whose features are computed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: A document is rejected if its chance of good quality is below this.
 REJECT = 0.5
 
