@@ -143,6 +143,16 @@ def test_lm_learns_word_order(spark):
     assert gain > 0.15  # half of the words follow from the word before
 
 
+def test_lm_rounds_take_all_training_documents(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(1 + i % 9)) for _ in range(40)) for i in range(80)]
+    ids = [i for i in range(200) if not maxent_lm.held_out(i)]
+    score = lambda ids: np.sort([r.score for r in maxent_lm.score(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()])
+    apart = score(ids)
+    assert score([ids[0]] * len(texts)) == pytest.approx(apart, abs=1e-3)  # what is learnt does not hang on how doc_ids fall
+    assert score([None] * len(texts)) == pytest.approx(apart, abs=1e-3)
+
+
 def test_lm_probabilities_sum_to_one():
     stats = np.array([[100, 30, 10], [50, 5, 0], [0, 0, 0]], float)
     discount, total, unknown = maxent_lm.word_factors(stats)
