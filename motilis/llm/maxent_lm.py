@@ -4,8 +4,8 @@ A token's probability is P(its class | the words before it) times P(the word | i
 classes whose scores add up hashed features of the history: the word before (bigram), the two before together (trigram), and
 the second and third before (skips). Its weights come from rounds of distributed updates: tasks send the features' expected
 class counts under the present weights, and the gradient (observed less expected counts) moves the weights in the scale of
-iterative scaling. A first update takes all training documents, each later round its share of them. The second factor has the word's own feature only, whose maximum-likelihood weight is its count; a discount
-of the class's share of words seen once goes to unknown words. So the V known tokens and, class by class, the unknown word
+iterative scaling. The first update and every later round take all training documents. The second factor has the word's own
+feature only, whose maximum-likelihood weight is its count; a discount of the class's share of words seen once goes to unknown words. So the V known tokens and, class by class, the unknown word
 share a probability of 1 after every history.
 
 Words up to rank `FREQUENT` stand for themselves, the others for their last two bytes; both are grouped into classes by the
@@ -50,6 +50,8 @@ KAPPA = 2.0
 MOST_WEIGHT = np.float32(12)
 END = b""
 _CHUNK = 1 << 16
+#: Histories whose class scores are held at a time, so that they stay in the cache.
+_SCORED = 1 << 11
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -172,9 +174,10 @@ def feature_rows(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> list[np
 
 def class_scores(rows: list[np.ndarray], bias: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores of the classes after each history, their exponentials and the sums of these. Weights are bounded by `MOST_WEIGHT`, so that nothing overflows."""
-    z = weights[rows[0]]
+    z = np.take(weights, rows[0], axis=0, mode="clip")
+    one = np.empty_like(z)
     for r in rows[1:]:
-        z += weights[r]
+        z += np.take(weights, r, axis=0, out=one, mode="clip")
     z += bias
     e = np.exp(z)
     return z, e, e @ np.ones(e.shape[1], e.dtype)
@@ -281,23 +284,20 @@ def train(counts: DataFrame, encoded: DataFrame, tokens: list[bytes], heavy_coun
 
     seen = summed(encoded, (CLASSES, TABLE), observed).T  # at weights of 0 the classes are expected by their shares
     weights = np.clip(weights + step(seen, seen.sum(1, keepdims=True) * prior), -MOST_WEIGHT, MOST_WEIGHT)
-    for k in range(rounds):
+    for _ in range(rounds):
         now = spark.sparkContext.broadcast((bias, weights.copy()))
 
-        def gradient(columns: list[bytes], out: np.ndarray, now=now) -> None:
-            m = model.value
-            for _, own, one, two, three, _ in histories(columns, m["codes"]):
-                rows, c = feature_rows(one, two, three), m["classes"][own]
-                _, e, total = class_scores(rows, *now.value)
-                e /= total[:, None]
-                p = np.ascontiguousarray(e.T, np.float64)
+        def expect(columns: list[bytes], out: np.ndarray, now=now) -> None:
+            for _, own, one, two, three, _ in histories(columns, model.value["codes"]):
+                rows, p = feature_rows(one, two, three), np.empty((CLASSES, len(own)))
+                for a in range(0, len(own), _SCORED):
+                    _, e, total = class_scores([r[a : a + _SCORED] for r in rows], *now.value)
+                    p[:, a : a + _SCORED] = (e / total[:, None]).T
                 for r in rows:
-                    add_by_row(r, p, out[CLASSES:])
-                    add_counts(r, c, out[:CLASSES])
+                    add_by_row(r, p, out)
 
-        # a round goes over its share of the training documents, and the rounds together over all of them
-        both = summed(encoded.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k), (2 * CLASSES, TABLE), gradient).T
-        weights = np.clip(weights + step(both[:, :CLASSES], both[:, CLASSES:]), -MOST_WEIGHT, MOST_WEIGHT)
+        # a round goes over all training documents, as the observed counts do
+        weights = np.clip(weights + step(seen, summed(encoded, (CLASSES, TABLE), expect).T), -MOST_WEIGHT, MOST_WEIGHT)
     return {"codes": codes, "classes": classes, "stats": stats, "bias": bias, "weights": weights}
 
 
@@ -345,8 +345,11 @@ def score(docs: DataFrame, heavy: int = HEAVY, rounds: int = ROUNDS) -> DataFram
                 columns, k = piece.column("ids").to_pylist(), piece.num_rows
                 sums = np.zeros((4, k))
                 for ids, code, one, two, three, doc in histories(columns, m["codes"]):
-                    z, _, total = class_scores(feature_rows(one, two, three), m["bias"], m["weights"])
-                    z = (z[np.arange(len(code)), m["classes"][code]].astype(np.float64) - np.log(total)) / np.log(10) + m["own"][ids]
+                    rows, c, z = feature_rows(one, two, three), m["classes"][code], np.empty(len(code))
+                    for a in range(0, len(code), _SCORED):
+                        x, _, total = class_scores([r[a : a + _SCORED] for r in rows], m["bias"], m["weights"])
+                        z[a : a + _SCORED] = x[np.arange(len(x)), c[a : a + _SCORED]].astype(np.float64) - np.log(total)
+                    z = z / np.log(10) + m["own"][ids]
                     for j, w in enumerate((None, ids < HEAVY, m["base"][ids], z)):
                         sums[j] += np.bincount(doc, w, k)
                 yield pa.RecordBatch.from_arrays([piece.column("rid"), piece.column("doc_id"), piece.column("held_out"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])], schema=schema)
