@@ -298,7 +298,7 @@ def train(counts: DataFrame, encoded: DataFrame, tokens: list[bytes], heavy_coun
 
         # a round goes over all training documents, as the observed counts do
         weights = np.clip(weights + step(seen, summed(encoded, (CLASSES, TABLE), expect).T), -MOST_WEIGHT, MOST_WEIGHT)
-    return {"codes": codes, "classes": classes, "stats": stats, "bias": bias, "weights": weights}
+    return {"codes": codes, "classes": classes, "stats": stats, "bias": bias, "weights": np.ascontiguousarray(weights)}  # else each slice that is scored copies the table
 
 
 def word_factors(stats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
