@@ -26,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, id_text, load, pieces, sized
@@ -113,8 +113,9 @@ def set_digest(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles), digest, sig (MinHash values, 16 bits each), bands (a key for each band)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, text_key (as in docs, where it is there), n (distinct shingles), digest, sig (MinHash values, 16 bits each), bands (a key for each band)."""
+    own_columns = [c for c in ("doc_id", "text_key") if c in docs.columns]
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary())][: len(own_columns)] + [ ("n", pa.int32()), ("digest", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +143,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                         last[d] = (x[:COMPARED].astype(np.uint16).tobytes(), key.view(np.int64).tolist())
                     sig.append(last[d][0])
                     bands.append(last[d][1])
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own_columns), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n int, digest binary, sig binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, " + "text_key binary, " * (len(own_columns) - 1) + "n int, digest binary, sig binary, bands array<long>")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, list]]:
@@ -325,10 +326,15 @@ def verified(docs: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "cid long, root long, links long, texts long, whole boolean")
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (smallest doc_id of those connected by links), n_links (other rows with a similarity of 0.8 or more), n_linked_texts (other shingle sets linked), class_size, kept (the one row of its class that stays)."""
+def text_key(text: Column) -> Column:
+    """Binary SHA-256 of the text; null text counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def jaccard_classes(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (smallest doc_id of those connected by links), n_links (other rows with a similarity of 0.8 or more), n_linked_texts (other shingle sets linked), class_size, kept (the one row of its class that stays); if keyed, its text_key besides."""
     docs = id_text(docs)
-    rows = cut(signatures(docs).withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    rows = cut(signatures(docs.withColumn("text_key", text_key(F.col("text"))) if keyed else docs).withColumn("rid", F.monotonically_increasing_id()), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rid")
     some = rows.filter("n > 0").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     reps = cut(some.withColumn("cid", F.monotonically_increasing_id()).withColumn("rep", F.col("first.doc_id")), "representatives")
@@ -343,9 +349,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     classes = classes.select("digest", "copies", "first", F.coalesce("root", "cid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
     tops = classes.groupBy("root").agg(F.min("first").alias("top"), F.sum("copies").alias("class_size"))
     classes = classes.join(tops, "root").select("digest", "copies", "links", "texts", "top", "class_size")
-    out = rows.select("doc_id", "rid", "digest").join(classes, "digest", "left")
+    names = ["doc_id", "text_key"] if keyed else ["doc_id"]
+    out = rows.select(*names, "rid", "digest").join(classes, "digest", "left")
     return out.select(
-        "doc_id",
+        *names,
         F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("class_id"),
         F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
@@ -355,14 +362,18 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one of each class, with all their columns. Rows that repeat a doc_id go or stay together with equal texts only."""
-    out = cut(jaccard_classes(docs).select("doc_id", "kept"), "classes")
-    twice = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
-    gone = sized(cut(twice.filter("not kept").select(F.col("doc_id").alias("__id")), "gone"))
-    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
-    if twice.filter("n > 1 and kept").limit(1).count():
-        left = left.dropDuplicates(["doc_id"])
-    return left
+    """The rows of docs that stay, one of each class, with all their columns. Of rows that repeat both doc_id and text any one can be the one that stays."""
+    out = cut(jaccard_classes(docs, keyed=True).select("doc_id", "text_key", "kept"), "classes")
+    # rows of one doc_id and text have one set: all stay (it is empty), all go, or one stays
+    pairs = out.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__gone")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("long")).alias("k"))
+    pairs = cut(pairs.filter("k < n"), "pairs")
+    met = lambda df, of, how: df.join(of, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), how)
+    left = docs.withColumn("__key", text_key(F.col("text")))
+    left_alone = met(left, sized(pairs.select("__id", "__gone")), "left_anti")
+    some = pairs.filter("k > 0").select("__id", "__gone")
+    if some.limit(1).count():
+        left_alone = left_alone.unionByName(met(left, sized(some), "left_semi").dropDuplicates(["doc_id", "__key"]))
+    return left_alone.drop("__key")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,20 @@ def test_jaccard_join_finds_every_link(odd, odd_wide, none):
     assert {r.doc_id for r in kept.collect()} >= {1, 4, 7, 8, 9, 11} and not {2, 3, 5, 10} & {r.doc_id for r in kept.collect()}
 
 
+def test_near_copies_of_repeated_and_null_ids(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(120))
+    near = text("a").replace("aw60", "edited")
+    rows = [
+        *((None, text(f"n{k}"), k) for k in range(30)), (None, text("n3"), 30), (None, text("n4").replace(" ", "\n", 2), 31),  # of null ids each text once
+        (1, text("a"), 40), (2, text("b"), 41), (2, near, 42), (2, text("c"), 43), (3, text("d"), 44), (3, text("d"), 45), (3, text("e"), 46),
+        (0, text("g"), 47), (4, text("g"), 48), (4, text("h"), 49), (5, "", 50), (5, None, 51), (5, "", 52),
+    ]
+    kept = jaccard_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, row long").coalesce(1)).collect()
+    at = sorted(r.row for r in kept)
+    assert len(at) == len(set(at)) and sum(r in at for r in (3, 30)) == 1 and sum(r in at for r in (4, 31)) == 1 and sum(r in at for r in (44, 45)) == 1
+    assert set(at) - {3, 30, 4, 31, 44, 45} == {*range(30), 40, 41, 43, 46, 47, 49, 50, 51, 52} - {3, 4}
+
+
 def test_jaccard_join_of_a_group_beyond_one_block(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", 8)
