@@ -404,13 +404,13 @@ def a3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a4_iid_interval")
 def a4(spark: SparkSession, d: str) -> DataFrame:
-    return estimation.interval(estimation.iid_bootstrap_means(observations(spark, d), 1000))
+    return estimation.interval(estimation.iid_bootstrap_means(observations(spark, d)))
 
 
 @query("a5_design_effect")
 def a5(spark: SparkSession, d: str) -> DataFrame:
     o = observations(spark, d)
-    return estimation.design_effect(estimation.interval(estimation.cluster_bootstrap_means(o, 1000)), estimation.interval(estimation.iid_bootstrap_means(o, 1000)))
+    return estimation.design_effect(estimation.interval(estimation.cluster_bootstrap_means(o)), estimation.interval(estimation.iid_bootstrap_means(o)))
 
 
 @query("a6_kish", "SELECT i AS m, round(1 + (i - 1) * 0.3, 6) AS deff FROM (SELECT unnest(range(1, 50)) AS i)")
