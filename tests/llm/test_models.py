@@ -83,33 +83,65 @@ def quality_rows(n=400):
 def test_quality_separates_and_keeps(spark):
     rows, labels = quality_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    model = quality.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    out = {r.doc_id: r for r in quality.scores(docs, model).collect()}
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.scores(docs, labels).collect()}
     assert len(out) == len(rows) and np.mean([out[i].accepted == (i % 5 != 0) for i in out]) > 0.97
-    kept = quality.keep_good(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in out if out[i].accepted)
 
 
-def test_cotraining_labels_the_pool():
+def test_quality_of_rows_held_out(spark, sf):
+    """Labels that were not learnt from are met, and layout and record alone do better than chance where they say anything."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    apart = "pmod(xxhash64(doc_id, 5L), 3) = 0"
+    out = quality.scores(docs, labels.filter(f"not {apart}")).join(labels.filter(apart), "doc_id").collect()
+    good, bad = [r.score for r in out if r.quality], [r.score for r in out if not r.quality]
+    assert len(good) > 10 and np.mean([s >= quality.REJECT for s in good]) > 0.95
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
+
+
+def test_cotraining_exchanges_labels():
     rng = np.random.default_rng(4)
     y = np.arange(400) % 2
-    view = lambda: (y[:, None] * 2 - 1) * 0.8 + rng.normal(size=(400, 6))
-    a, b = view(), view()
-    few = np.arange(400) < 40
-    model = quality.cotrain(a[few], b[few], y[few].astype(float), a[~few], b[~few], np.arange(40) % 5 == 0)
-    *_, c = quality.combine(model, quality.odds(a, model["models"][0]), quality.odds(b, model["models"][1]))
-    assert ((c > 0.5) == (y > 0)).mean() > 0.93
+    view = lambda: ((y[:, None] * 2 - 1) * 0.8 + rng.normal(size=(400, 6))).astype(np.float32)
+    x, few, met = [view(), view()], np.arange(400) < 120, []
+    free = ~few
+
+    def exchange(models, scale):
+        out = []
+        for v in (0, 1):
+            p = quality.sigmoid(scale[v][0] * quality.odds(x[v], models[v]) + scale[v][1])
+            at = np.flatnonzero(free & (np.abs(p - 0.5) > 0.4))[:30]
+            free[at] = False
+            met.append((v, len(at)))
+            out.append(((x[0][at], x[1][at]), (p[at] > 0.5).astype(float)))
+        return out
+
+    model = quality.cotrain((x[0][few], x[1][few]), y[few].astype(float), np.arange(120) % 3 == 0, exchange)
+    *_, c = quality.combine(model, quality.odds(x[0], model["models"][0]), quality.odds(x[1], model["models"][1]))
+    assert ((c > 0.5) == (y > 0)).mean() > 0.93 and len(met) == 2 * quality.ROUNDS and {v for v, n in met if n} == {0, 1}
+
+
+def test_cotraining_scores_the_whole_pool(spark):
+    """What is learnt does not hang on how rows are dealt out, and the pool's pseudo-labels move the weights."""
+    rows, labels = quality_rows(1200)
+    table = quality.features(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    one = quality.learn_from(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    again = quality.learn_from(table.repartition(7), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    none = quality.learn_from(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rounds=0)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(one["models"], again["models"]))  # however rows are dealt out
+    assert not np.allclose(one["models"][0], none["models"][0], atol=1e-3)
 
 
 def test_quality_of_odd_rows(spark, odd, odd_wide, none):
-    labels = spark.createDataFrame([(1, 1, 0), (4, 1, None), (9, 0, 0), (12, 0, 0), (None, 1, 0), (99, None, 0)], "doc_id long, quality int, toxic int")
-    model = quality.learn(odd, labels)
-    out = quality.scores(odd, model)
-    near = lambda df: sorted((repr(r.doc_id), round(r.score, 9), r.accepted) for r in df.collect())  # noqa: E731  sums round as batches fall
-    assert out.count() == len(odd_rows()) and near(out) == near(quality.scores(odd_wide, model))
-    assert quality.scores(none, model).count() == 0
-    assert quality.learn(odd, labels.limit(0)) is None and quality.scores(odd, None).filter("accepted").count() == len(odd_rows())
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, None), (9, 0, 0), (12, 0, 0), (16, 1, 0), (None, 1, 0), (99, None, 0)], "doc_id long, quality int, toxic int")
+    out = quality.scores(odd, labels)
+    near = lambda df: sorted((repr(r.doc_id), round(r.score, 5), r.accepted) for r in df.collect())  # noqa: E731  sums round as batches fall
+    assert out.count() == len(odd_rows()) and near(out) == near(quality.scores(odd_wide, labels))
+    assert quality.scores(none, labels).count() == 0
+    assert quality.learn(odd, labels.limit(0)) is None and quality.scores(odd, labels.limit(0)).filter("accepted").count() == len(odd_rows())
     assert quality.keep_good(odd_wide, labels).columns == odd_wide.columns
+    assert quality.scores(odd.drop("n_chars"), labels).count() == len(odd_rows())
 
 
 def lm_reference(rows):

@@ -24,8 +24,7 @@ def test_stages_decide_as_their_operators(spark, sf, stages):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "bpe"]
     assert all(s.columns == docs.columns for s in stages[:-1])
     ids = [{r.doc_id for r in s.select("doc_id").collect()} for s in stages]
-    model = quality.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    assert ids[0] == {r.doc_id for r in quality.scores(docs, model).filter("accepted").collect()}
+    assert ids[0] == {r.doc_id for r in quality.scores(docs, spark.read.parquet(f"{sf}/labels.parquet")).filter("accepted").collect()}
     assert ids[1] == {r.doc_id for r in exact_dedup.dedup_decisions(stages[0]).filter("kept").collect()}
     assert ids[2] == {r.doc_id for r in jaccard_join.jaccard_classes(stages[1]).filter("kept").collect()}
     assert ids[3] <= ids[2] and stages[3].groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
