@@ -26,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, id_text, load, pieces, sized
@@ -113,9 +113,10 @@ def set_digest(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (as in docs, where it is there), n (distinct shingles), digest, sig (MinHash values, 16 bits each), bands (a key for each band)."""
-    own_columns = [c for c in ("doc_id", "text_key") if c in docs.columns]
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary())][: len(own_columns)] + [ ("n", pa.int32()), ("digest", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, text_key (SHA-256 of the text), n (distinct shingles), digest, sig (MinHash values, 16 bits each), bands (a key for each band)."""
+    own_columns = ["doc_id", "text_key"]
+    docs = docs.withColumn("text_key", text_key(F.col("text")))
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n", pa.int32()), ("digest", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     bands.append(last[d][1])
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own_columns), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, " + "text_key binary, " * (len(own_columns) - 1) + "n int, digest binary, sig binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_key binary, n int, digest binary, sig binary, bands array<long>")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, list]]:
@@ -186,11 +187,10 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     spark = reps.sparkSession
     least = fewest_matches()
     rows = reps.filter("n > 0").select("cid", F.explode("bands").alias("key"))
-    by_key = Window.partitionBy("key")
-    rows = rows.withColumn("m", F.count(F.lit(1)).over(by_key)).withColumn("mark", F.sum(F.xxhash64("cid").cast("decimal(20,0)")).over(by_key)).filter("m > 1")
-    rows = cut(rows, "buckets")
-    first = rows.groupBy("m", "mark").agg(F.min("key").alias("key"))  # buckets of the same members are one
-    rows = rows.join(first, ["m", "mark", "key"], "left_semi").select("key", "cid", "m")
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("mark")).filter("m > 1")
+    # buckets of the same members are one; written on its own, so that a hot key's rows can be split where they meet it
+    first = cut(counted.groupBy("m", "mark").agg(F.min("key").alias("key")).select("key", "m"), "buckets")
+    rows = cut(rows.join(sized(first), "key").select("key", "cid", "m"), "bucketed")
     rows = in_block_pairs(rows, "key", "m", BUCKET_BLOCK).join(reps.select("cid", "sig"), "cid")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid").select("key", "lo", "hi", "own", "cid", "sig")
@@ -271,13 +271,15 @@ def verified(docs: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
     """For each representative of a candidate component and pair of blocks: cid, root (smallest connected cid there), links (rows linked with it there), texts (representatives linked), whole (the component has one block)."""
     spark = docs.sparkSession
     size = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    members = cut(comps.join(size, "comp").join(reps.select("cid", "rep", "digest", "copies"), "cid"), "members")
-    wanted = F.broadcast(members) if members.count() <= MOST_BROADCAST else members
-    met = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("rep"))).drop("rep", "doc_id")
+    members = cut(comps.join(size, "comp").join(reps.select("cid", "rep", "rep_key", "copies"), "cid"), "members")
+    docs = docs.withColumn("text_key", text_key(F.col("text")))
+    met = docs.join(sized(members, MOST_BROADCAST), docs.doc_id.eqNullSafe(F.col("rep")) & (docs.text_key == F.col("rep_key")))
+    # rows that repeat doc_id and text are one from here on, before anything is dealt out
+    met = met.groupBy("cid").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in ("comp", "size", "copies")))
     met = in_block_pairs(met, "comp", "size", BLOCK)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(n, "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "cid")
-    met = met.select("comp", "lo", "hi", "own", "size", "cid", "copies", "digest", "text")
+    met = met.select("comp", "lo", "hi", "own", "size", "cid", "copies", "text")
     schema = pa.schema([("cid", pa.int64()), ("root", pa.int64()), ("links", pa.int64()), ("texts", pa.int64()), ("whole", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,14 +294,8 @@ def verified(docs: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*(piece.column(x) for x in names), pa.array([x.tobytes() for x in own], pa.binary())], [*names, "set"])
 
         for g in groups(sets_first(), ["comp", "lo", "hi"]):
-            keep, seen = [], set()
-            sets = [np.frombuffer(x, np.uint64) for x in g["set"]]
-            for i, cid in enumerate(g["cid"]):  # a doc_id that repeats brings other texts along
-                if cid not in seen and set_digest(sets[i]) == g["digest"][i]:
-                    seen.add(cid)
-                    keep.append(i)
-            cids, sets = [g["cid"][i] for i in keep], [sets[i] for i in keep]
-            copies, own = np.array([g["copies"][i] for i in keep]), np.array([g["own"][i] for i in keep])
+            cids, sets = g["cid"], [np.frombuffer(x, np.uint64) for x in g["set"]]
+            copies, own = np.array(g["copies"]), np.array(g["own"])
             same = g["lo"][0] == g["hi"][0]
             left = np.arange(len(cids)) if same else np.flatnonzero(own == g["lo"][0])
             right = left if same else np.flatnonzero(own == g["hi"][0])
@@ -334,10 +330,10 @@ def text_key(text: Column) -> Column:
 def jaccard_classes(docs: DataFrame, keyed: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest doc_id of those connected by links), n_links (other rows with a similarity of 0.8 or more), n_linked_texts (other shingle sets linked), class_size, kept (the one row of its class that stays); if keyed, its text_key besides."""
     docs = id_text(docs)
-    rows = cut(signatures(docs.withColumn("text_key", text_key(F.col("text"))) if keyed else docs).withColumn("rid", F.monotonically_increasing_id()), "signatures")
-    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rid")
+    rows = cut(signatures(docs).withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rid", "text_key")
     some = rows.filter("n > 0").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    reps = cut(some.withColumn("cid", F.monotonically_increasing_id()).withColumn("rep", F.col("first.doc_id")), "representatives")
+    reps = cut(some.withColumn("cid", F.monotonically_increasing_id()).withColumn("rep", F.col("first.doc_id")).withColumn("rep_key", F.col("first.text_key")), "representatives")
     comps = components(candidate_edges(reps))
     found = cut(verified(docs, reps, comps), "verified")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"), F.min("root").alias("root"))
