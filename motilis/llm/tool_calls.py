@@ -2,20 +2,19 @@
 
 Calls and results are hash-joined by (conv_id, call_id); the first of each in turn order counts, later ones are reported as
 duplicates, and neither side is lost. Arguments are validated against a schema by tool name, a call's dependencies are the ids
-it refers to as {"$ref": id} within its arguments, and calls get a topological position in their conversation. Turn order is
-topological where every reference points backwards, and is then taken as it is, by a window; only conversations in which one
-points forwards go through Kahn's algorithm, on ids alone. Records are canonical JSON: keys sorted by code point, no spaces,
-whole numbers without a fraction, lone surrogates as U+FFFD.
+it refers to as {"$ref": id} within its arguments, and calls get a topological position in their conversation, the earliest
+first among those whose dependencies are done. Where every reference points backwards that is turn order, numbered over a range
+shuffle; only conversations in which one points forwards go through Kahn's algorithm, on ids alone. Records are canonical JSON:
+keys sorted by code point, no spaces, whole numbers without a fraction, lone surrogates as U+FFFD.
 
 Events come from the table (conv_id, turn, role, text): `<tool_call>{"id", "name", "arguments"}</tool_call>` and
-`<tool_response>{"id", "content"}</tool_response>` anywhere in a text; a text without either is itself an exchange: a user turn
-calls the tool `reply` with its text, and an assistant turn is the result of the turn before it.
-
-Defined results: null text counts as empty, and an empty user prompt breaks the schema of `reply`; a null conversation is one
-conversation, a null turn comes first; a call without a result is `unanswered`, a result without a call `orphan`; malformed
-JSON is a call named null with the error `malformed`; ids without a call that are referred to give `unknown reference`; calls on
-a cycle come after all others in turn order with the error `cycle`; repeated rows are duplicates; an empty table gives an empty
-result; other columns play no part.
+`<tool_response>{"id", "content"}</tool_response>` anywhere in a text. `tool_turns` writes such texts for plain conversations.
+
+Defined results: null text counts as empty; a text without tags has no events; a null conversation is one conversation, a null
+turn comes first; a call without a result is `unanswered`, a result without a call `orphan`; JSON that is malformed, or nested
+more than `DEEPEST` levels deep, is a call or result with the error `malformed`, whose payload is its body; ids without a call
+that are referred to give `unknown reference`; calls on a cycle, or behind one, come after all others in turn order with the
+error `cycle`; repeated rows are duplicates; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -34,11 +33,17 @@ from pyspark.sql import functions as F
 from .common import cut, load, pieces
 from .jaccard_join import groups
 
+#: Levels of arrays and objects in a payload.
+DEEPEST = 200
 SCHEMAS: dict[str, dict] = {
     "reply": {
         "type": "object",
         "required": ["prompt", "turn"],
-        "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "after": {"type": "object", "required": ["$ref"], "properties": {"$ref": {"type": "string"}}}},
+        "properties": {
+            "prompt": {"type": "string", "minLength": 1},
+            "turn": {"type": "integer", "minimum": 0},
+            "after": {"type": "array", "items": {"type": "object", "required": ["$ref"], "properties": {"$ref": {"type": "string"}}}},
+        },
         "additionalProperties": False,
     }
 }
@@ -47,7 +52,7 @@ _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null":
 
 
 def parse(text: str) -> Any:
-    """JSON without NaN or infinities; repeated keys are refused."""
+    """JSON without NaN or infinities; repeated keys and too many levels are refused by ValueError."""
 
     def whole(pairs: list[tuple[str, Any]]) -> dict:
         out = dict(pairs)
@@ -58,7 +63,16 @@ def parse(text: str) -> Any:
     def no(name: str) -> None:
         raise ValueError(name)
 
-    return json.loads(text, object_pairs_hook=whole, parse_constant=no)
+    try:
+        x = json.loads(text, object_pairs_hook=whole, parse_constant=no)
+    except RecursionError:
+        raise ValueError("too deep") from None
+    level, depth = [x], 0
+    while level := [v for c in level if isinstance(c, (dict, list)) for v in (c.values() if isinstance(c, dict) else c)]:
+        depth += 1
+        if depth > DEEPEST:
+            raise ValueError("too deep")
+    return x
 
 
 def plain(x: Any) -> Any:
@@ -160,7 +174,7 @@ def topological(ids: list[str], needs: list[list[str]]) -> tuple[list[int], list
     return position, stuck
 
 
-def events_of(turn: int | None, role: str | None, text: str) -> list[tuple[str, str, str | None, str | None, list[str], list[str]]]:
+def events_of(turn: int | None, text: str) -> list[tuple[str, str, str | None, str | None, list[str], list[str]]]:
     """Events of a turn: kind, call_id, name, payload (canonical JSON), references, errors."""
     out = []
     for n, (kind, body) in enumerate(_TAG.findall(text)):
@@ -168,7 +182,7 @@ def events_of(turn: int | None, role: str | None, text: str) -> list[tuple[str,
             x = parse(body)
             if not isinstance(x, dict) or not isinstance(x.get("id"), str):
                 raise ValueError("no id")
-        except (ValueError, RecursionError):
+        except ValueError:
             out.append((kind, f"malformed-{turn}-{n}", None, canonical(body), [], ["malformed"]))
             continue
         if kind == "call":
@@ -176,13 +190,6 @@ def events_of(turn: int | None, role: str | None, text: str) -> list[tuple[str,
             out.append((kind, _sound(x["id"]), _sound(name) if isinstance(name, str) else None, canonical(arguments), references(plain(arguments)), []))
         else:
             out.append((kind, _sound(x["id"]), None, canonical(x.get("content")), [], []))
-    if not out and turn is not None and role == "user":
-        arguments: dict[str, Any] = {"prompt": text, "turn": turn}
-        if turn >= 2:
-            arguments["after"] = {"$ref": f"turn-{turn - 2}"}
-        out.append(("call", f"turn-{turn}", "reply", canonical(arguments), references(arguments), []))
-    elif not out and turn is not None and role == "assistant":
-        out.append(("response", f"turn-{turn - 1}", None, canonical(text), [], []))
     return out
 
 
@@ -196,24 +203,60 @@ def events(conversations: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch):
                 out = []
-                for conv, turn, role, text in zip(*(piece.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text"))):
-                    for k, (kind, call_id, name, payload, refs, errors) in enumerate(events_of(turn, role, text)):
+                for conv, turn, text in zip(*(piece.column(c).to_pylist() for c in ("conv_id", "turn", "text"))):
+                    for k, (kind, call_id, name, payload, refs, errors) in enumerate(events_of(turn, text)):
                         if kind == "call" and not errors:
                             errors = validate(parse(payload), schemas[name]) if name in schemas else [f"unknown tool {name}"]
                         out.append((conv, turn, k, kind, call_id, name, payload, refs, errors))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _EVENT)], schema=_EVENT)
 
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
     return turns.mapInArrow(run, "conv_id long, turn long, k int, kind string, call_id string, name string, payload string, refs array<string>, errors array<string>")
 
 
+def in_turn_order(calls: DataFrame) -> DataFrame:
+    """conv_id, call_id, seq: each call's place in its conversation by (turn, k). A conversation's calls may lie in several partitions of a range shuffle."""
+    n = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("k").asc()]
+    placed = calls.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = cut(placed.select("conv_id", "call_id", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at")), "ordered")
+    parts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = placed.join(F.broadcast(before), "part").select("conv_id", "call_id", (F.col("before") + F.col("at")).alias("at"))
+    first = placed.groupBy("conv_id").agg(F.min("at").alias("first")).withColumnRenamed("conv_id", "fc")
+    return placed.join(first, F.col("conv_id").eqNullSafe(F.col("fc"))).select("conv_id", "call_id", (F.col("at") - F.col("first")).alias("seq"))
+
+
+def tool_turns(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, text: plain turns as calls of `reply` and their results, by fixed rules on the turn and a checksum of its text.
+
+    A user turn calls `reply` with its text, after the user turn before it; an assistant turn is the result of the turn before
+    it. Of the checksums some name the next user turn instead (a forward reference, unknown where there is none and often a
+    cycle), none, or two turns before; some give a bad or an unexpected argument, and some calls and results come twice or
+    under an id that nothing has."""
+    text = F.coalesce("text", F.lit(""))
+    turn, sum_ = F.col("turn").cast("long"), F.crc32(F.encode(text, "UTF-8"))
+    ident = lambda t: F.concat(F.lit("turn-"), t.cast("string"))
+    ref = lambda t: F.struct(ident(t).alias("$ref"))
+    kind, rare = sum_ % 8, sum_ % 16
+    after = F.when(kind == 1, F.array(ref(turn + 2))).when(kind.isin(3, 5) | (turn < 2), F.lit(None)).when((kind == 4) & (turn >= 4), F.array(ref(turn - 2), ref(turn - 4))).otherwise(F.array(ref(turn - 2)))
+    given = lambda t: F.struct(text.alias("prompt"), t.alias("turn"), after.alias("after"))
+    called = lambda arguments: F.concat(F.lit("<tool_call>"), F.to_json(F.struct(ident(turn).alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments"))), F.lit("</tool_call>"))
+    call = F.when(rare == 5, called(given(turn.cast("string")))).when(rare == 6, called(F.struct(text.alias("prompt"), turn.alias("turn"), after.alias("after"), F.lit(True).alias("loud")))).otherwise(called(given(turn)))
+    answer = lambda to: F.concat(F.lit("<tool_response>"), F.to_json(F.struct(to.alias("id"), text.alias("content"))), F.lit("</tool_response>"))
+    result = F.when(kind == 1, answer(F.concat(ident(turn - 1), F.lit("-lost")))).otherwise(answer(ident(turn - 1)))
+    tagged = F.when(F.col("role") == "user", F.repeat(call, F.when(rare == 7, 2).otherwise(1))).when(F.col("role") == "assistant", F.repeat(result, F.when(kind == 2, 2).otherwise(1)))
+    return conversations.select("conv_id", turn.alias("turn"), tagged.alias("text"))
+
+
 def link_tool_calls(conversations: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> DataFrame:
     """One row per call, orphan result or duplicate: conv_id, call_id, turn, seq, name, status, valid, errors, record (canonical JSON)."""
     spark = conversations.sparkSession
-    found = cut(events(conversations, schemas), "events")
-    once = Window.partitionBy("conv_id", "call_id", "kind").orderBy(F.col("turn").asc_nulls_first(), "k", "payload")
-    found = cut(found.withColumn("copy", F.row_number().over(once)), "numbered")
+    found = cut(events(conversations, schemas).withColumn("rid", F.monotonically_increasing_id()), "events")
+    # the first of each id and kind, by a minimum that is combined before it is shuffled
+    first = found.groupBy("conv_id", "call_id", "kind").agg(F.min(F.struct(F.col("turn").isNotNull().alias("later"), "turn", "k", "payload", "rid")).alias("x"), F.count(F.lit(1)).alias("n")).select(F.col("x.rid").alias("rid"), "n")
+    found = cut(found.join(first, "rid", "left").withColumn("copy", F.when(F.col("n").isNull(), 2).otherwise(1)).drop("n", "rid"), "numbered")
     calls = found.filter("kind = 'call' and copy = 1").drop("kind", "copy")
     results = found.filter("kind = 'response' and copy = 1").select(F.col("conv_id").alias("rc"), F.col("call_id").alias("ri"), F.col("turn").alias("result_turn"), F.col("payload").alias("result"))
     # references: where they lead, and which conversations point forwards
@@ -223,11 +266,11 @@ def link_tool_calls(conversations: DataFrame, schemas: dict[str, dict] = SCHEMAS
     led = cut(refs.join(target, F.col("conv_id").eqNullSafe(F.col("tc")) & (F.col("ref") == F.col("ti")), "left").select("conv_id", "call_id", "ref", "at", "there"), "references")
     forward = led.filter("there >= at").select("conv_id").distinct()
     lost = led.filter("there is null").groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("unknown reference "), "ref"))).alias("lost"))
-    in_turn = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "k")
     natural = calls.select("conv_id", "call_id", "turn", "k", "refs")
     hinted = forward.withColumnRenamed("conv_id", "fc")
     bent = natural.join(hinted, natural.conv_id.eqNullSafe(hinted.fc), "left_semi")
-    straight = natural.join(hinted, natural.conv_id.eqNullSafe(hinted.fc), "left_anti").select("conv_id", "call_id", (F.row_number().over(in_turn) - 1).cast("long").alias("seq"), F.lit(False).alias("cycle"))
+    straight = natural.join(hinted, natural.conv_id.eqNullSafe(hinted.fc), "left_anti").select("conv_id", "call_id", "turn", "k")
+    straight = in_turn_order(straight).withColumn("cycle", F.lit(False))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out_schema = pa.schema([("conv_id", pa.int64()), ("call_id", pa.string()), ("seq", pa.int64()), ("cycle", pa.bool_())])
 
@@ -274,4 +317,4 @@ def link_tool_calls(conversations: DataFrame, schemas: dict[str, dict] = SCHEMAS
 
 
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_tool_calls(load(spark, sf_dir, "conversations"))
+    return link_tool_calls(tool_turns(load(spark, sf_dir, "conversations")))
