@@ -1,17 +1,17 @@
 """Token ids in fixed-width bit-packed files.
 
 File format (little-endian), one shard per file:
-  8 bytes magic "MOTIDS1\\0"; uint32 bits per id; uint32 ids per block; uint64 documents; uint64 ids;
-  int64[documents] doc_id; uint64[documents + 1] first id of each document, within the shard;
+  8 bytes magic "MOTIDS2\\0"; uint32 bits per id; uint32 ids per block; uint64 documents; uint64 ids;
+  uint64 documents whose doc_id is null, which come first; int64[documents] doc_id (0 for these); uint64[documents + 1] first id of each document, within the shard;
   uint64[blocks + 1] byte offsets of the blocks within the payload; payload: blocks of packed ids, each padded to whole bytes.
 Each id takes the fewest bits that hold the vocabulary's largest id. A block is unpacked by vectorised numpy, and any range of
 ids is read by opening only the blocks that it touches.
 
-Documents are dealt out by ranges of doc_id, so that partitions, shards and documents are all in ascending order and a task
+Documents are dealt out by ranges of (doc_id, hash of the text), so that partitions, shards and documents are all in ascending order and a task
 holds one shard of bounded size at a time. Offsets across shards come from a manifest with one row per shard.
 
-Defined results: null or empty text has only the end id; a null doc_id sorts first and is stored as the least long, equal doc_ids are ordered by text; an empty table writes no shard and reads back empty; other
-columns play no part.
+Defined results: null or empty text has only the end id; a null doc_id sorts first; equal doc_ids are ordered by a hash of
+the text, then by the text; an empty table writes no shard and reads back empty; other columns play no part.
 """
 
 from __future__ import annotations
@@ -36,14 +36,14 @@ from . import sharedfs
 from .bpe import byte_letters
 from .common import cut, id_text, load, pieces, scratch
 
-MAGIC = b"MOTIDS1\0"
-HEAD = struct.Struct("<8sIIQQ")
+MAGIC = b"MOTIDS2\0"
+HEAD = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 4096
 #: Ids in a shard before the next one begins; a single longer document makes a longer shard.
 SHARD_IDS = 4 << 20
 END_ID = 2
 #: Words in the younger half of a worker's memory; beyond it that half becomes the older one.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 LONG_WORD = 64
 #: Commonest words, and tokens after which they are chosen.
 HOT, SETTLED = 16_384, 1_000_000
@@ -72,7 +72,7 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return flat.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
-def shard_chunks(doc_ids: list[int], docs: list[bytes], bits: int, block: int = BLOCK_IDS) -> Iterator[bytes]:
+def shard_chunks(doc_ids: list[int | None], docs: list[bytes], bits: int, block: int = BLOCK_IDS) -> Iterator[bytes]:
     """The bytes of a shard file. docs: the ids of each document, as little-endian unsigned 32-bit integers."""
     starts = np.zeros(len(docs) + 1, np.uint64)
     starts[1:] = np.cumsum([len(d) // 4 for d in docs])
@@ -80,8 +80,8 @@ def shard_chunks(doc_ids: list[int], docs: list[bytes], bits: int, block: int =
     blocks = [pack(ids[i : i + block], bits) for i in range(0, len(ids), block)]
     offsets = np.zeros(len(blocks) + 1, np.uint64)
     offsets[1:] = np.cumsum([len(b) for b in blocks])
-    yield HEAD.pack(MAGIC, bits, block, len(docs), len(ids))
-    yield np.array(doc_ids, "<i8").tobytes()
+    yield HEAD.pack(MAGIC, bits, block, len(docs), len(ids), sum(i is None for i in doc_ids))
+    yield np.array([i or 0 for i in doc_ids], "<i8").tobytes()
     yield starts.astype("<u8").tobytes()
     yield offsets.astype("<u8").tobytes()
     yield from blocks
@@ -93,7 +93,7 @@ class Shard:
     def __init__(self, uri: str) -> None:
         where, path = sharedfs.resolve(uri)
         self.file = where.open_input_file(path)
-        magic, self.bits, self.block, n_docs, self.n_ids = HEAD.unpack(self.file.read_at(HEAD.size, 0))
+        magic, self.bits, self.block, n_docs, self.n_ids, self.n_null = HEAD.unpack(self.file.read_at(HEAD.size, 0))
         if magic != MAGIC:
             raise ValueError(f"{uri} is no shard of token ids")
         n_blocks = -(-self.n_ids // self.block)
@@ -121,11 +121,18 @@ class Shard:
         self.file.close()
 
 
+def plain_latin(word: str) -> bool:
+    """Latin letters only, before and after they are put in lower case."""
+    low = word.lower()
+    return low.isalpha() and word.isalpha() and max(low) < LATIN_END and max(word) < LATIN_END
+
+
 class WordEncoder:
     """Encodes by the tokenizers library, a word between spaces or line ends at a time, each distinct word once.
 
     The vocabulary drops white space and no merge or special token spans it, so the ids of a text are those of its words. It
-    also splits letters from the marks behind them, so these are encoded apart. Latin letters need no more of the library's
+    also splits letters from the marks behind them, so these are encoded apart where the letters are Latin ones that stay letters
+    in lower case; elsewhere a letter may be taken apart, and what it ends in belongs to the marks. Latin letters need no more of the library's
     normalisers than lower case and no more of its splitters than its letters for bytes; they go straight to its BPE model."""
 
     def __init__(self, path: str) -> None:
@@ -146,8 +153,8 @@ class WordEncoder:
 
     def _ids(self, word: str) -> bytes:
         """Ids of letters or marks, whatever they are."""
-        low = word.lower()
-        if low.isalpha() and word.isalpha() and max(low) < LATIN_END and max(word) < LATIN_END:
+        if plain_latin(word):
+            low = word.lower()
             letters = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
             return array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
         return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
@@ -162,7 +169,7 @@ class WordEncoder:
             x = older.get(w)
             if x is None:
                 stem = w.rstrip(MARKS)
-                tail = w[len(stem) :] if stem.isalpha() else ""
+                tail = w[len(stem) :] if plain_latin(stem) else ""
                 if not tail:
                     stem = w
                 if stem.isascii() and "<|" not in stem:
@@ -253,13 +260,14 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, shard_i
                     if held and total + len(x) // 4 > shard_ids:
                         yield shard()
                         ids, held, total, k = [], [], 0, k + 1
-                    ids.append(-(1 << 63) if i is None else i)
+                    ids.append(i)
                     held.append(x)
                     total += len(x) // 4
         if held:
             yield shard()
 
-    ordered = id_text(docs).repartitionByRange(n, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    keyed = id_text(docs).withColumn("tk", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "tk").sortWithinPartitions("doc_id", "tk", "text").drop("tk")
     shards = cut(ordered.mapInArrow(run, "uri string, part long, k long, n_docs long, n_ids long"), "manifest")
     # one row per partition; the running sum over them and then over a partition's shards keeps any single task small
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("ids"))
@@ -298,7 +306,7 @@ def _reader(f, kind: pa.DataType, name: str):
                     own = shard.starts[a : b + 1] - shard.starts[a]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([None if i == -(1 << 63) else i for i in shard.doc_ids[a:b].tolist()], pa.int64()),
+                            pa.array(shard.doc_ids[a:b], mask=np.arange(a, b) < shard.n_null),
                             pa.array((shard.starts[a:b] + start).astype(np.int64)),
                             pa.array(np.diff(own).astype(np.int64)),
                             pa.array([f(ids[own[i] : own[i + 1]]) for i in range(b - a)], kind),

@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 import public_tokenizers
+import xxhash
 from tokenizers import Tokenizer
 
 from motilis.llm import bpe, fingerprints, token_files
@@ -76,12 +78,31 @@ def test_words_encode_as_whole_texts():
         assert np.frombuffer(ids, np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_words_of_every_letter_with_marks_behind():
+    """Letters may be taken apart in lower case or normal form, and end in a mark that belongs to those behind."""
+    library, mine = Tokenizer.from_file(WORD), token_files.WordEncoder(WORD)
+    every = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] in "LMN"]
+    for form in ("{}.", "ab{},;", "{}\u0301!"):
+        words = [form.format(c) for c in every if not 0x3400 <= ord(c) < 0xD7A4 and ord(c) < 0x17000 or ord(c) % 97 == 0]
+        for w, ids, want in zip(words, mine.encode(words), library.encode_batch(words, add_special_tokens=False)):
+            assert np.frombuffer(ids, np.uint32).tolist() == want.ids, [hex(ord(x)) for x in w]
+    texts = ["SEVGİ.", "ALİ, İSTANBUL İ.", "क़. ख़, ड़; য়! ਸ਼।"]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in mine.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_files_keep_ids_at_the_edge(spark):
+    rows = [(-(1 << 63), "least"), (None, "none"), ((1 << 63) - 1, "most"), (0, "zero"), (None, "none"), (0, "zero")]
+    out = token_files.digests(token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), WORD, scratch(spark, "ids"))).collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == [None, None, -(1 << 63), 0, 0, (1 << 63) - 1]
+
+
 @pytest.mark.parametrize("shard_ids", [50, 1 << 20])
 def test_token_files_follow_doc_ids(spark, odd, shard_ids):
+    signed = lambda t: (xxhash.xxh64_intdigest(t, seed=42) + (1 << 63)) % (1 << 64)
     manifest = token_files.write(odd, WORD, scratch(spark, "ids"), shard_ids=shard_ids)
     out = token_files.digests(manifest).collect()
     library, at = Tokenizer.from_file(WORD), 0
-    for r, (i, t, *_) in zip(sorted(out, key=lambda r: r.start), sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))):
+    for r, (i, t, *_) in zip(sorted(out, key=lambda r: r.start), sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1] or "")))):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
