@@ -5,87 +5,82 @@ lexicon terms are sorted and hashed once whole and once for each of several rand
 fall geometrically, so that small subsets survive large edits and large ones tell close texts apart. The likeness of two
 fingerprints is the share of equal hashes among the subsets in which either has a term.
 
-Document frequencies are counted over all documents in two passes: a term that reaches the band's lower end overall reaches
-the same share of the documents in at least one part, so the first pass may drop a part's rarer terms and still lose none;
-the second counts the rest exactly. The lexicon holds at most `most` terms: the band's lower end rises until it does.
+Terms are 64-bit hashes, computed for a batch of texts at once. Document frequencies of all terms are counted over all documents,
+by sums that each task begins and a shuffle completes. The band holds at most (mean number of distinct terms in a document) /
+(its lower end) terms, however many documents there are: with 1,000 distinct terms a document a million, which are broadcast
+as eight bytes each. No term of the band is left out.
 
-Defined results: null text counts as empty; a text without lexicon terms gets the digest of its distinct terms, so that such
+Defined results: null text counts as empty; a text without lexicon terms gets a hash of its distinct terms, so that such
 texts match only when these agree; words are lower-cased in A-Z; equal texts have equal fingerprints; an empty table gives an
-empty result; a null doc_id comes after all others in descending order and rows of the same doc_id are ordered by text; other
-columns play no part.
+empty result; a null doc_id comes after all others in descending order and rows of the same doc_id are ordered by a hash of
+the text, descending, then by the text; other columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, load, pieces
+from .common import id_text, load, pieces
+from .shingles import mix, word_hashes
 
 #: The band, as shares of the documents that hold the term.
 BAND = (0.001, 0.2)
-MOST_TERMS = 200_000
-#: Candidates beyond this many are counted by a shuffle of all terms instead of a broadcast.
-MOST_CANDIDATES = 1_000_000
 #: Subset 0 is the whole lexicon; the others hold a share of it each, the smaller shares in more subsets.
-SHARES = (1.0, *(2.0**-i for i in range(1, 5) for _ in range(2)), *(2.0**-i for i in range(5, 9) for _ in range(6)))
+SHARES = (1.0, *(2.0**-i for i in range(1, 4) for _ in range(3)), *(2.0**-i for i in range(4, 10) for _ in range(9)))
 WIDTH = 8
+#: Bytes of text whose terms are hashed at a time, and of a range of documents.
+PIECE, RANGE_BYTES = 1 << 20, 32 << 20
 _LEAST = -(1 << 63)
-
-
-def terms_of(text: str) -> set[bytes]:
-    return set(text.encode().lower().split())
-
-
-def subset_mask(term: bytes) -> int:
-    """Bit k is set if subset k of the lexicon holds the term."""
-    mask = 1
-    for k in range(1, len(SHARES)):
-        if xxhash.xxh32_intdigest(term, seed=k) < SHARES[k] * 2**32:
-            mask |= 1 << k
-    return mask
-
-
-class Lexicon:
-    def __init__(self, terms: list[bytes]) -> None:
-        self.terms = sorted(terms)
-        self.index = {t: i for i, t in enumerate(self.terms)}
-        self.hashes = np.array([xxhash.xxh64_intdigest(t) for t in self.terms], np.uint64)
-        self.masks = np.array([subset_mask(t) for t in self.terms], np.uint64)
-
-    def fingerprint(self, text: str) -> str:
-        terms = terms_of(text)
-        get = self.index.get
-        at = [i for t in terms if (i := get(t)) is not None]
-        if not at:
-            return "x" + hashlib.sha256(b"\n".join(sorted(terms))).hexdigest()
-        at = np.sort(np.array(at))
-        hashes, masks = self.hashes[at], self.masks[at]
-        out = []
-        for k in range(len(SHARES)):
-            own = hashes if k == 0 else hashes[(masks >> np.uint64(k)) & np.uint64(1) != 0]
-            out.append("%08x" % (xxhash.xxh32_intdigest(own.tobytes(), seed=k) or 1) if len(own) else "00000000")
-        return "".join(out)
-
-
-_LEXICONS: dict[int, Lexicon] = {}
-
-
-def lexicon_of(terms: list[bytes]) -> Lexicon:
-    """A worker builds a lexicon once and keeps the last."""
-    key = xxhash.xxh64_intdigest(b"\n".join(terms))
-    if key not in _LEXICONS:
-        _LEXICONS.clear()
-        _LEXICONS[key] = Lexicon(terms)
-    return _LEXICONS[key]
+_SALTS = mix(np.arange(1, len(SHARES) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def term_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct term hashes of each text of a string column without nulls, one text after another, and the index of the text each is of."""
+    words, at = word_hashes(pc.ascii_lower(column))
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((words, doc))
+    words, doc = words[order], doc[order]
+    new = np.ones(len(words), bool)
+    new[1:] = (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])
+    return words[new], doc[new]
+
+
+def sequence_hashes(terms: np.ndarray, doc: np.ndarray, n: int, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n texts a hash of its terms in their order, and how many there are."""
+    count = np.bincount(doc, minlength=n)
+    ends = np.cumsum(count)
+    rank = np.arange(len(terms)) - np.repeat(ends - count, count)
+    sums = np.zeros(len(terms) + 1, np.uint64)
+    np.cumsum(mix((terms ^ salt) + rank.astype(np.uint64) * _STEP), out=sums[1:])
+    return mix((sums[ends] - sums[ends - count]) ^ salt), count
+
+
+def fingerprints_of(column: pa.Array, lexicon: np.ndarray) -> list[str]:
+    """lexicon: sorted term hashes."""
+    n = len(column)
+    terms, doc = term_sets(column)
+    at = np.searchsorted(lexicon, terms)
+    known = lexicon[np.minimum(at, len(lexicon) - 1)] == terms if len(lexicon) else np.zeros(len(terms), bool)
+    whole, _ = sequence_hashes(terms, doc, n, np.uint64(0))
+    terms, doc = terms[known], doc[known]
+    out = np.zeros((n, len(SHARES)), np.uint32)
+    for k, share in enumerate(SHARES):
+        own = slice(None) if share == 1 else mix(terms + _SALTS[k]) < np.uint64(int(share * 2**64))
+        h, count = sequence_hashes(terms[own], doc[own], n, _SALTS[k])
+        out[:, k] = np.where(count > 0, np.maximum(h >> np.uint64(32), np.uint64(1)), np.uint64(0))
+    empty = out[:, 0] == 0
+    digits = out.astype(">u4").tobytes().hex()
+    width = WIDTH * len(SHARES)
+    return [f"x{w:016x}" if e else digits[i * width : (i + 1) * width] for i, (e, w) in enumerate(zip(empty.tolist(), whole.tolist()))]
 
 
 def likeness(a: str, b: str) -> float:
@@ -94,128 +89,120 @@ def likeness(a: str, b: str) -> float:
         return 1.0
     if a[:1] == "x" or b[:1] == "x":
         return 0.0
-    same = either = 0
-    for i in range(0, len(a), WIDTH):
-        p, q = a[i : i + WIDTH], b[i : i + WIDTH]
-        if p == q:
-            if p != "00000000":
-                same += 1
-                either += 1
-        else:
-            either += 1
-    return same / either
+    p, q = (np.frombuffer(bytes.fromhex(x), np.uint32) for x in (a, b))
+    either = int(((p | q) != 0).sum())
+    return int(((p == q) & (p != 0)).sum()) / either
 
 
-def _counts(docs: DataFrame, keep, every: int = 1 << 21) -> DataFrame:
-    """Partial document frequencies (term, df); keep(counter, documents) chooses what a part sends."""
+def document_frequencies(docs: DataFrame, every: int = 1 << 21) -> DataFrame:
+    """term, df over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = Counter(), 0
-
-        def sent():
-            items = keep(held, n)
-            for i in range(0, len(items), 50_000):
-                part = items[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], ["term", "df"])
-
-        for batch in batches:
-            for piece in pieces(batch):
-                for text in piece.column("text").to_pylist():
-                    held.update(terms_of(text))
-                    n += 1
-                if len(held) > every:
-                    yield from sent()
-                    held, n = Counter(), 0
-        yield from sent()
+        held, size = [], 0
 
-    return docs.select("text").mapInArrow(run, "term binary, df long")
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            terms, counts = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(terms, kind="stable")
+            terms, counts = terms[order], counts[order]
+            at = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
+            return terms[at], np.add.reduceat(counts, at)
 
+        def sent(terms: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(terms), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + 100_000].view(np.int64)), pa.array(counts[i : i + 100_000])], ["term", "df"])
 
-def build_lexicon(docs: DataFrame, band: tuple[float, float] = BAND, most: int = MOST_TERMS, most_candidates: int = MOST_CANDIDATES) -> list[bytes]:
-    """The terms whose document frequency lies in the band; at most `most`."""
+        for batch in batches:
+            for piece in pieces(batch, "text", PIECE):
+                terms, _ = term_sets(piece.column("text"))
+                if len(terms):
+                    terms, counts = np.unique(terms, return_counts=True)
+                    held.append((terms, counts.astype(np.int64)))
+                    size += len(terms)
+                if size > every:
+                    held = [summed()]
+                    size = len(held[0][0])
+                    if 2 * size > every:
+                        yield from sent(*held.pop())
+                        size = 0
+        if held:
+            yield from sent(*summed())
+
+    return docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def build_lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
+    """The sorted hashes of the terms whose document frequency lies in the band."""
     low, high = band
     total = docs.count()
-    named = cut(_counts(docs, lambda c, n: [(t, k) for t, k in c.items() if k >= low * n]).groupBy("term").agg(F.sum("df").alias("df")), "candidates")
-    if named.count() <= most_candidates:
-        held = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r.term) for r in named.select("term").toLocalIterator()))
-        counted = _counts(docs, lambda c, n: [(t, k) for t, k in c.items() if t in held.value])
-    else:
-        counted = _counts(docs, lambda c, n: list(c.items()))
-    inside = cut(counted.groupBy("term").agg(F.sum("df").alias("df")).filter((F.col("df") >= low * total) & (F.col("df") <= high * total)), "band")
-    if inside.count() > most:
-        # every level of df has a term at least, so no more than `most` levels matter
-        levels, above, floor = inside.groupBy("df").count().orderBy(F.desc("df")).limit(most).collect(), 0, None
-        for r in levels:
-            if above + r["count"] > most:
-                break
-            above, floor = above + r["count"], r.df
-        inside = inside.filter(F.col("df") >= floor) if floor is not None else inside.limit(0)
-    return [bytes(r.term) for r in inside.select("term").collect()]
+    inside = document_frequencies(docs).filter((F.col("df") >= low * total) & (F.col("df") <= high * total)).select("term").toArrow()
+    return np.sort(inside["term"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows dealt into ranges of doc_id, each range in descending order and followed by a guest, the first row of the range below (of the highest range after the lowest): bucket, guest, doc_id, text."""
+    """Rows dealt into ranges of (doc_id, hash of the text), each range in descending order and followed by a guest, the first row of the range below (of the highest range after the lowest): bucket, guest, doc_id, text.
+
+    A doc_id that many rows share is cut into ranges of the hash."""
     spark = docs.sparkSession
-    n = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.withColumn("k", F.coalesce("doc_id", F.lit(_LEAST)))
+    docs = docs.withColumn("k", F.coalesce("doc_id", F.lit(_LEAST))).withColumn("tk", F.xxhash64("text"))
+    n = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     marks = docs.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10_000).alias("m")).first().m if n > 1 else []
-    splits = [-float("inf"), *(sorted({float(m) for m in marks or []}) or [0.0]), float("inf")]
-    deal = Bucketizer(splits=splits, inputCol="x", outputCol="bucket").transform
-    ids = deal(docs.select("k", F.col("k").cast("double").alias("x")))
-    tops = {int(r.bucket): r.top for r in ids.groupBy("bucket").agg(F.max("k").alias("top")).collect()}  # a row for each range
+    starts = sorted({float(m) for m in marks or []}) or [0.0]
+    ranges, bucket = [], 0  # range of doc_ids, its first bucket, the doc_id that is cut further, the number of its buckets
+    for i, start in enumerate([None, *starts]):
+        often = sum(m == start for m in map(float, marks or [])) if start is not None else 0
+        ranges.append((i, bucket, None if often < 2 else int(start), often))
+        bucket += often + 1 if often > 1 else 1
+    table = F.broadcast(spark.createDataFrame(ranges, "range int, first int, often long, parts int"))
+    deal = Bucketizer(splits=[-float("inf"), *starts, float("inf")], inputCol="x", outputCol="range").transform
+    share = (F.col("tk").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    part = F.when(F.col("often").isNull(), 0).when(F.col("k") == F.col("often"), F.least(F.floor(share * F.col("parts")), F.col("parts") - 1)).when(F.col("k") > F.col("often"), F.col("parts")).otherwise(0)
+    dealt = lambda df: deal(df.withColumn("x", F.col("k").cast("double"))).withColumn("range", F.col("range").cast("int")).join(table, "range").withColumn("bucket", (F.col("first") + part).cast("int"))
+    tops = {r.bucket: r.top for r in dealt(docs.select("k", "tk")).groupBy("bucket").agg(F.max(F.struct("k", "tk")).alias("top")).collect()}  # a row for each range
     full = sorted(tops)
-    guests = [(tops[a], b) for a, b in zip(full, full[1:])] + ([(tops[full[-1]], full[0])] if full else [])
-    own = deal(docs.withColumn("x", F.col("k").cast("double"))).select(F.col("bucket").cast("int").alias("bucket"), F.lit(0).alias("guest"), "k", "doc_id", "text")
+    guests = [(*tops[a], b) for a, b in zip(full, full[1:])] + ([(*tops[full[-1]], full[0])] if full else [])
+    own = dealt(docs).select("bucket", F.lit(0).alias("guest"), "k", "tk", "doc_id", "text")
     if not full:
-        return own
-    extra = spark.createDataFrame(guests, "k long, bucket int")
-    sent = docs.join(F.broadcast(extra), "k").select("bucket", F.lit(1).alias("guest"), "k", "doc_id", "text")
-    return own.unionByName(sent).repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.desc("k"), "text").drop("k")
+        return own.drop("k", "tk")
+    extra = spark.createDataFrame(guests, "k long, tk long, bucket int")
+    sent = docs.join(F.broadcast(extra), ["k", "tk"]).select("bucket", F.lit(1).alias("guest"), "k", "tk", "doc_id", "text")
+    return own.unionByName(sent).repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.desc("k"), F.desc("tk"), "text").drop("k", "tk")
 
 
-def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, most: int = MOST_TERMS) -> DataFrame:
+def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id and fingerprint of each row."""
     docs = id_text(docs)
-    terms = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, band, most))
+    held = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, band))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = lexicon_of(terms.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([lexicon.fingerprint(t) for t in batch.column("text").to_pylist()], pa.string())], ["doc_id", "fingerprint"])
+            for piece in pieces(batch, "text", PIECE):
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fingerprints_of(piece.column("text"), held.value), pa.string())], ["doc_id", "fingerprint"])
 
     return docs.mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def edited_fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, most: int = MOST_TERMS) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """Fingerprints of each text, of the text whose last half is replaced by the start of the next document, and their likeness."""
     docs = id_text(docs)
-    terms = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, band, most))
+    held = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, band))
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, last, out = lexicon_of(terms.value), None, []
-
-        def settle(text: str, print_: str) -> None:
-            _, _, doc_id, own, mine = last
-            n = len(own)
-            edited = own[: n - n // 2] + text[: n // 2]
-            other = lexicon.fingerprint(edited)
-            out.append((doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), mine, other, likeness(mine, other), likeness(mine, print_)))
-
+        last = None  # bucket, doc_id, text and fingerprint of the row that waits for the next one
         for batch in batches:
-            for piece in pieces(batch):
-                for bucket, guest, doc_id, text in zip(*(piece.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text"))):
-                    if guest and (last is None or last[0] != bucket):  # all but the first guest of a range that share its doc_id
+            for piece in pieces(batch, "text", PIECE):
+                prints, met = fingerprints_of(piece.column("text"), held.value), []
+                for bucket, guest, doc_id, text, mine in zip(*(piece.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text")), prints):
+                    if guest and (last is None or last[0] != bucket):  # all but the first guest of a range
                         continue
-                    mine = lexicon.fingerprint(text)
                     if last is not None:
-                        settle(text, mine)
-                    last = None if guest else (bucket, guest, doc_id, text, mine)
-                if len(out) >= 2000:
+                        n = len(last[2])
+                        met.append((last[1], n, last[2][: n - n // 2] + text[: n // 2], last[3], mine))
+                    last = None if guest else (bucket, doc_id, text, mine)
+                if met:
+                    edited = fingerprints_of(pa.array([m[2] for m in met], pa.large_string()), held.value)
+                    out = [(i, n, hashlib.sha256(t.encode()).hexdigest(), a, e, likeness(a, e), likeness(a, b)) for (i, n, t, a, b), e in zip(met, edited)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                    out.clear()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 

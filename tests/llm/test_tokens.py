@@ -4,15 +4,18 @@ import hashlib
 import random
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
-import pytest
 import public_tokenizers
+import pyarrow as pa
+import pytest
 import xxhash
 from tokenizers import Tokenizer
 
 from motilis.llm import bpe, fingerprints, token_files
 from motilis.llm.common import scratch
+from motilis.llm.shingles import mix, word_hashes
 
 from .conftest import odd_rows, rows_of
 
@@ -115,38 +118,77 @@ def test_token_files_of_nothing(spark, none, odd_wide):
     assert out.count() == len(odd_rows()) and all(len(r.ids) == 4 * r.n_tokens for r in out.collect())
 
 
-def test_fingerprints_of_edited_texts(odd, odd_wide, none):
-    out = fingerprints.edited_fingerprints(odd, band=(0.0, 1.0)).collect()
-    rows = sorted(odd_rows(), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+def next_order(rows):
+    """Rows of (doc_id, text, ...) as one follows the other: descending doc_id, null last, equal ones by descending hash of the text."""
+    signed = lambda t: (xxhash.xxh64_intdigest(t, seed=42) + (1 << 63)) % (1 << 64)
+    return sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -signed(r[1] or "")))
+
+
+def brute_terms(text):
+    """Distinct words in lower case (A-Z), each hashed on its own."""
+    words = sorted({w.lower() for w in (text or "").encode().split()})
+    return {int(word_hashes(pa.array([w.decode()]))[0][0]) for w in words}
+
+
+def brute_parts(terms, lexicon):
+    """Of each subset, the text's terms that it holds."""
+    own, out = sorted(terms & lexicon), []
+    for k, share in enumerate(fingerprints.SHARES):
+        out.append(tuple(t for t in own if share == 1 or int(mix(np.array([t], np.uint64) + fingerprints._SALTS[k])[0]) < int(share * 2**64)))
+    return out if own else [tuple(sorted(terms))]
+
+
+@pytest.mark.parametrize("band", [(0.0, 1.0), (0.12, 0.6)])
+def test_fingerprints_of_edited_texts(odd, odd_wide, none, band):
+    out = fingerprints.edited_fingerprints(odd, band=band).collect()
+    rows = next_order(odd_rows())
     texts = [r[1] or "" for r in rows]
-    want = sorted((repr(r[0]), len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + texts[(k + 1) % len(texts)][: len(t) // 2]).encode()).hexdigest()) for k, (r, t) in enumerate(zip(rows, texts)))
-    assert sorted((repr(r.doc_id), r.n_chars, r.edited_sha256) for r in out) == want
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
-    assert rows_of(fingerprints.edited_fingerprints(odd_wide, band=(0.0, 1.0))) == rows_of(fingerprints.edited_fingerprints(odd, band=(0.0, 1.0)))
+    edited = [t[: len(t) - len(t) // 2] + texts[(k + 1) % len(texts)][: len(t) // 2] for k, t in enumerate(texts)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((repr(r.doc_id), r.n_chars, r.edited_sha256) for r in out) == sorted((repr(r[0]), len(t), sha(e)) for r, t, e in zip(rows, texts, edited))
+    # two parts of fingerprints are equal where the subsets' terms are, worked out from sets of words
+    terms, count = [brute_terms(t) for t in texts], Counter()
+    for t in terms:
+        count.update(t)
+    lexicon = {t for t, n in count.items() if band[0] * len(texts) <= n <= band[1] * len(texts)}
+    own, other = [brute_parts(t, lexicon) for t in terms], [brute_parts(brute_terms(e), lexicon) for e in edited]
+
+    def like(a, b):
+        if len(a) == 1 or len(b) == 1:
+            return float(a == b)
+        return sum(p == q and p != () for p, q in zip(a, b)) / sum(p != () or q != () for p, q in zip(a, b))
+
+    want = sorted((repr(r[0]), sha(e), round(like(a, b), 9), round(like(a, c), 9)) for r, e, a, b, c in zip(rows, edited, own, other, own[1:] + own[:1]))
+    assert sorted((repr(r.doc_id), r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in out) == want
+    prints = {}
+    for r in out:
+        prints.setdefault(r.doc_id, set()).add(r.fingerprint)
+    assert prints[4] == prints[5] and len(prints[5]) == 1 and prints[6] == prints[7] == prints[8]
+    assert rows_of(fingerprints.edited_fingerprints(odd_wide, band=band)) == rows_of(fingerprints.edited_fingerprints(odd, band=band))
     assert fingerprints.edited_fingerprints(none).count() == 0
 
 
+def test_next_document_where_one_id_is_hot(spark):
+    rows = [(5 if i % 3 else i, f"text {i % 40} " + "w " * (i % 7)) for i in range(900)] + [(None, f"n{i % 9}") for i in range(200)]
+    out = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    rows = next_order(rows)
+    cut = lambda t, u: hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()
+    assert sorted((repr(r.doc_id), r.edited_sha256) for r in out) == sorted((repr(i), cut(t, u)) for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1]))
+    sizes = fingerprints.with_next(fingerprints.id_text(spark.createDataFrame(rows, "doc_id long, text string"))).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in sizes) < 0.25 * len(rows)
+
+
 def test_lexicon_is_the_band_whatever_the_parts(spark):
     rng = random.Random(3)
     texts = [" ".join({f"t{int(rng.paretovariate(0.4))}" for _ in range(60)}) for _ in range(400)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
-    df_ = {}
-    for t in texts:
-        for w in fingerprints.terms_of(t):
-            df_[w] = df_.get(w, 0) + 1
-    want = {w for w, n in df_.items() if 0.02 * 400 <= n <= 0.3 * 400}
-    assert set(fingerprints.build_lexicon(df, (0.02, 0.3))) == want
-    assert set(fingerprints.build_lexicon(df, (0.02, 0.3), most_candidates=0)) == want
-    some = fingerprints.build_lexicon(df, (0.02, 0.3), most=len(want) // 2)
-    assert len(some) <= len(want) // 2 and min(df_[w] for w in some) > max((df_[w] for w in want - set(some)), default=0)
-
-
-def test_likeness():
-    lex = fingerprints.Lexicon([f"w{i}".encode() for i in range(500)])
-    rng = random.Random(1)
-    a = [f"w{rng.randrange(500)}" for _ in range(150)]
-    same, near, far = " ".join(a), " ".join(a[:140] + ["w1", "w2"]), " ".join(f"w{rng.randrange(500)}" for _ in range(150))
-    f = lex.fingerprint
-    assert f(same) == f(" ".join(reversed(a))) and fingerprints.likeness(f(same), f(same)) == 1
-    assert fingerprints.likeness(f(same), f(near)) > fingerprints.likeness(f(same), f(far))
-    assert fingerprints.likeness(f("none here"), f("nor here")) == 0 and fingerprints.likeness(f("none here"), f("here none")) == 1
+    count = Counter(t for text in texts for t in brute_terms(text))
+    want = sorted(t for t, n in count.items() if 0.02 * 400 <= n <= 0.3 * 400)
+    assert fingerprints.build_lexicon(df, (0.02, 0.3)).tolist() == want
+    assert {r.term % (1 << 64): r.df for r in fingerprints.document_frequencies(df, every=100).collect()} == count
+
+
+def test_fingerprints_outlast_edits(spark, sf):
+    """Half of a text replaced leaves it nearer to itself than to the next document, for nine in ten."""
+    out = fingerprints.op10_imatch(spark, sf.replace("0.001", "0.01")).collect()
+    assert np.mean([r.near_edited > r.near_next for r in out]) >= 0.9
