@@ -35,10 +35,10 @@ def window_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def parts(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Parts of runs in concatenated texts that end at `ends`: first and last start, key, and a digest of all bytes the part's strings cover."""
+    """Parts of runs in concatenated texts that end at `ends`: first and last start, how far behind the last one the anchor lies, and key."""
     none = np.zeros(0, np.int64)
     if len(raw) < length:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64)
     room = length - GRAM + 1
     half = (room + 1) // 2
     sums, q = prefix_sums(raw)
@@ -48,7 +48,7 @@ def parts(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
     left = np.repeat(ends, np.diff(np.concatenate([[0], ends])))[: len(anchor)] - np.arange(len(anchor))
     starts = np.flatnonzero(left >= length)
     if not len(starts):
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64)
     anchor = anchor[starts]
     far = anchor - starts >= half
     new = np.empty(len(starts), bool)
@@ -62,8 +62,7 @@ def parts(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
     a = np.where(far, anchor - half, anchor)
     b = np.where(far, anchor - (room - 1) + length, anchor + length - (half - 1))
     key = mix(mix((sums[b] - sums[a]) * q[a]) + far.astype(np.uint64))
-    digest = mix(mix((sums[last + length] - sums[first]) * q[first]) * np.uint64(0x9FB21C651E98DF25) + (anchor - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64))
-    return first, last, key, digest
+    return first, last, anchor - last, key
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

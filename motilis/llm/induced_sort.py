@@ -36,6 +36,7 @@ class BucketQueue:
         self.in_memory: dict[int, int] = defaultdict(int)
 
     def push(self, bucket: int, positions: np.ndarray, common: np.ndarray) -> None:
+        """Tuples in memory always lie behind those on disk, as a spill takes all that a bucket has in memory."""
         chunks = self.chunks[bucket]
         if chunks and not isinstance(chunks[-1], str) and len(chunks[-1][0]) < 1024 and len(positions) < 1024:
             a, b = chunks.pop()
@@ -49,17 +50,16 @@ class BucketQueue:
             self._spill(max(self.in_memory, key=self.in_memory.get))
 
     def _spill(self, bucket: int) -> None:
-        """Write a bucket's tuples in memory to one file; what is on disk already comes before them or stays in its place."""
-        out: deque = deque()
-        for chunk in self.chunks[bucket]:
-            if isinstance(chunk, str):
-                out.append(chunk)
-                continue
-            path = f"{self.folder}/{uuid.uuid4().hex}.run"
-            sharedfs.write_whole(path, [np.int64(len(chunk[0])).tobytes(), chunk[0].astype(np.int64).tobytes(), chunk[1].astype(np.uint16).tobytes()])
-            self.spilled += 1
-            out.append(path)
-        self.chunks[bucket] = out
+        """Write a bucket's tuples in memory to one file behind those on disk already."""
+        chunks = self.chunks[bucket]
+        held = []
+        while chunks and not isinstance(chunks[-1], str):
+            held.append(chunks.pop())
+        positions, common = (np.concatenate(x) for x in zip(*reversed(held)))
+        path = f"{self.folder}/{uuid.uuid4().hex}.run"
+        sharedfs.write_whole(path, [np.int64(len(positions)).tobytes(), positions.astype(np.int64).tobytes(), common.astype(np.uint16).tobytes()])
+        self.spilled += 1
+        chunks.append(path)
         self.size -= self.in_memory.pop(bucket)
 
     def pop(self, bucket: int, last: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
@@ -166,7 +166,7 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) ->
     return np.minimum(out, depth)
 
 
-def leftmost_order(text: np.ndarray, s: np.ndarray, n: int, depth: int, least: int = LEAST) -> np.ndarray:
+def leftmost_order(text: np.ndarray, s: np.ndarray, n: int, depth: int, least: int = LEAST, budget: int = 1 << 28, folder: str | None = None) -> np.ndarray:
     """Leftmost-S positions of text[:n] in the order of their suffixes."""
     p = np.flatnonzero(s[1:n] & ~s[: n - 1]) + 1
     if len(p) < 2:
@@ -199,7 +199,7 @@ def leftmost_order(text: np.ndarray, s: np.ndarray, n: int, depth: int, least: i
     name = np.empty(len(p), np.int64)
     name[order] = names + 1
     if len(p) > least and (names[-1] + 2) * REPEATS < len(p):
-        return p[suffix_order(np.concatenate([name, [0]]), depth, least)[1:]]
+        return p[suffix_order(np.concatenate([name, [0]]), depth, least, budget, folder)[1:]]
     step = 1
     while step < depth:
         tied = _tied(order, rank)
@@ -248,7 +248,7 @@ def induce(text: np.ndarray, depth: int, emit: Callable[[int, np.ndarray, np.nda
     handed over before it, 0 at a character's first. Returns the number of files written."""
     n = len(text)
     s = s_types(text)
-    leftmost = leftmost_order(text, s, n, depth, least)
+    leftmost = leftmost_order(text, s, n, depth, least, budget, folder)
     padded = np.concatenate([text, np.zeros(depth + 8, text.dtype)])
     shared = np.zeros(len(leftmost), np.uint16)
     if len(leftmost) > 1:
@@ -306,7 +306,7 @@ def induce(text: np.ndarray, depth: int, emit: Callable[[int, np.ndarray, np.nda
     return spilled + queue.spilled + kept.spilled
 
 
-def suffix_order(text: np.ndarray, depth: int, least: int = LEAST) -> np.ndarray:
+def suffix_order(text: np.ndarray, depth: int, least: int = LEAST, budget: int = 1 << 28, folder: str | None = None) -> np.ndarray:
     """All suffixes of a string of symbols above 0 that is ended by 0, in order (exact up to depth)."""
     lows: dict[int, list[np.ndarray]] = defaultdict(list)
     highs: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -315,7 +315,7 @@ def suffix_order(text: np.ndarray, depth: int, least: int = LEAST) -> np.ndarray
         (highs if s else lows)[c].append(positions - 1)
 
     shifted = np.concatenate([[0], text])
-    induce(shifted, depth, emit, least=least)
+    induce(shifted, depth, emit, budget, folder, least)
     out = [np.array([len(text) - 1])]
     for c in range(1, int(text.max()) + 1):
         out += lows.get(c, [])
@@ -323,8 +323,8 @@ def suffix_order(text: np.ndarray, depth: int, least: int = LEAST) -> np.ndarray
     return np.concatenate(out)
 
 
-def repeated_starts(segments: list[np.ndarray], depth: int, budget: int = 1 << 28, folder: str | None = None) -> Iterator[np.ndarray]:
-    """For each byte segment, the starts whose next `depth` bytes also start elsewhere in the segments."""
+def repeated_starts(segments: list[np.ndarray], depth: int, budget: int = 1 << 28, folder: str | None = None, report: Callable[[int], None] | None = None) -> Iterator[np.ndarray]:
+    """For each byte segment, the starts whose next `depth` bytes also start elsewhere in the segments. report gets the number of files spilled."""
     at = np.cumsum([1, *(len(x) + 1 for x in segments)])
     text = np.zeros(int(at[-1]), np.uint8)
     for a, x in zip(at[:-1].tolist(), segments):
@@ -345,7 +345,9 @@ def repeated_starts(segments: list[np.ndarray], depth: int, budget: int = 1 << 2
             edges[c] = int(positions[-1])  # the largest L suffix of the character; its smallest S suffix is the last handed over
         ends[c, s] = int(positions[-1])
 
-    induce(text, depth, emit, budget, folder)
+    spilled = induce(text, depth, emit, budget, folder)
+    if report:
+        report(spilled)
     padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
     for c, low in edges.items():
         high = ends.get((c, True))

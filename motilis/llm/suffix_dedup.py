@@ -2,11 +2,14 @@
 
 1. Anchors (anchors.py): every 400-byte string falls into a part of a run, and equal strings fall into parts of one key. Parts
    whose key occurs once hold no repeated string and go no further.
-2. Parts of a key with equal bytes are one: if there are two or more of them, all their strings are repeated; one of them
-   stands for all in the sort.
-3. The remaining parts of a key, which differ, are sorted: shards of whole keys go through external induced sorting
-   (induced_sort.py), whose queues spill to files, and neighbours in suffix order with a common prefix of 400 bytes are
-   repeated strings. A start is in one part only, so such neighbours are two different places.
+2. A key with very many different parts (a passage that stands in many surroundings) is dealt out anew: its parts are cut into
+   pieces of 16 starts at fixed distances from the anchor, whose keys take in all but a few bytes of their strings, so that the
+   pieces inside the passage are one and those beyond it fall apart, and pieces that are still that common into single starts.
+   Exact, as equal strings have their anchor at one distance.
+3. Shards of whole keys go through external induced sorting (induced_sort.py), whose queues spill to files: of parts with equal
+   bytes (by a 128-bit cryptographic digest) the first and the last place, of others the only one. Neighbours in suffix order
+   with a common prefix of 400 bytes are repeated strings. A start is in one part only, so such neighbours are different places.
+   All ranges come from the sort; what it finds for the two places of equal parts holds for the places between them.
 4. Ranges to remove are gathered per document, joined to the texts and cut out.
 
 Only a document's own ranges are gathered in one place, never those of a key or of the corpus. Tables that meet the texts are
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import parts, utf8
-from .common import cut, id_text, load, pieces, scratch
+from .common import cut, id_text, load, pieces, scratch, sized
 from .induced_sort import repeated_starts
 from .jaccard_join import groups
 
@@ -36,16 +39,29 @@ LENGTH = 400
 #: Bytes of text that anchors are found in at a time; a longer text goes through in overlapping stretches.
 STRETCH = 2 << 20
 #: Bytes of segments after which a shard ends at the next key; a larger key is sorted whole, over spilled queues.
-SHARD_BYTES = 8 << 20
-#: Bytes of suffix tuples in memory for a shard.
-QUEUE_BYTES = 192 << 20
+SHARD_BYTES = 2 << 20
+#: Bytes of suffix tuples in memory for a shard, a tenth of what a shard's tuples take.
+QUEUE_BYTES = 4 << 20
 #: Measured size up to which a table is broadcast to meet the texts.
 MOST_BYTES = 1 << 20
+#: Different parts beyond which a key is dealt out anew, and starts in a piece, at first and then.
+HOT_KEY, PIECES = 2000, (16, 1)
+
+_PARTS = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("span", pa.int64())])
+_PARTS_SQL = "key long, digest binary, doc_id long, tk long, span long"
+
+
+def packed(first, further, beyond):
+    """First start, number of further starts and distance of the anchor behind the last one in one long."""
+    return (first << 20) | (further << 10) | beyond
+
+
+def hashed(data, size: int) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
 
 
 def part_table(docs: DataFrame, length: int) -> DataFrame:
-    """key, digest, doc_id, tk (hash of the text), span (first start * 256 + further starts) of all parts."""
-    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("span", pa.int64())])
+    """key, digest, doc_id, tk (hash of the text), span of all parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,12 +71,13 @@ def part_table(docs: DataFrame, length: int) -> DataFrame:
                 doc_ids, tks = piece.column("doc_id"), piece.column("tk")
                 for a in range(0, max(len(raw), 1), STRETCH):
                     own = raw[a : a + STRETCH + length - 1]
-                    first, last, key, digest = parts(own, np.minimum(np.maximum(ends - a, 0), len(own)), length)
+                    first, last, beyond, key = parts(own, np.minimum(np.maximum(ends - a, 0), len(own)), length)
                     doc = np.searchsorted(ends, first + a, side="right")
-                    at = pa.array(doc)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), doc_ids.take(at), tks.take(at), pa.array((first + a - begins[doc]) * 256 + last - first)], schema=schema)
+                    at, view = pa.array(doc), memoryview(np.ascontiguousarray(own))
+                    digest = [hashed(view[i : j + length], 16) for i, j in zip(first.tolist(), last.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digest, pa.binary()), doc_ids.take(at), tks.take(at), pa.array(packed(first + a - begins[doc], last - first, beyond))], schema=_PARTS)
 
-    return docs.mapInArrow(run, "key long, digest long, doc_id long, tk long, span long")
+    return docs.mapInArrow(run, _PARTS_SQL)
 
 
 def fits(df: DataFrame, bytes_of_row) -> bool:
@@ -72,14 +89,64 @@ def on_text(small: DataFrame, docs: DataFrame):
     return docs.doc_id.eqNullSafe(small.id_) & (docs.tk == small.tk_)
 
 
-def sorted_ranges(docs: DataFrame, chosen: DataFrame, length: int, folder: str, shard_bytes: int, queue_bytes: int) -> DataFrame:
-    """Ranges (doc_id, tk, a, b) of bytes in repeated strings of the chosen parts."""
-    spark = docs.sparkSession
-    wanted = cut(chosen.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("key", "span")).alias("parts")).withColumnsRenamed({"doc_id": "id_", "tk": "tk_"}), "wanted")
-    if fits(wanted, F.size("parts") * 16 + 32):
+def met_by(docs: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, tk, text of the rows of docs that wanted (doc_id, tk and more) names, with parts: an array of the columns."""
+    wanted = wanted.groupBy("doc_id", "tk").agg(F.collect_list(F.struct(*columns)).alias("parts"))
+    wanted = cut(wanted.withColumnsRenamed({"doc_id": "id_", "tk": "tk_"}), "wanted")
+    if fits(wanted, F.size("parts") * 48 + 32):
         wanted = F.broadcast(wanted)
-    met = docs.join(wanted, on_text(wanted, docs)).select("doc_id", "tk", "text", "parts")
-    cut_schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("first", pa.int64()), ("data", pa.binary())])
+    return docs.join(wanted, on_text(wanted, docs)).select("doc_id", "tk", "text", "parts")
+
+
+def finer(docs: DataFrame, table: DataFrame, length: int, size: int) -> DataFrame:
+    """The parts of a table cut into pieces by the distance of their starts from the anchor, as part_table() has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text", STRETCH):
+                out = []
+                for doc_id, tk, text, own in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "tk", "text", "parts"))):
+                    raw = memoryview(text.encode())
+                    for x in own:
+                        first, further, beyond = x["span"] >> 20, x["span"] >> 10 & 1023, x["span"] & 1023
+                        last = first + further
+                        while first <= last:
+                            distance = last + beyond - first
+                            end = min(last, first + distance % size)  # starts first..end have one distance // size
+                            nearest = first + distance % size  # the start of that kind that is nearest to the anchor, be it in this part or not
+                            common = b"%d|%d|" % (x["key"], distance // size) + raw[nearest : nearest - size + 1 + length]
+                            key = int.from_bytes(hashed(common, 8), "little", signed=True)
+                            out.append((key, hashed(raw[first : end + length], 16), doc_id, tk, packed(first, end - first, last + beyond - end)))
+                            first = end + 1
+                    if len(out) > 4000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PARTS)], schema=_PARTS)
+                        out = []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PARTS)], schema=_PARTS)
+
+    return met_by(docs, table, "key", "span").mapInArrow(run, _PARTS_SQL)
+
+
+def repeated_keys(table: DataFrame, label: str) -> DataFrame:
+    """The rows of a part table whose key occurs more than once."""
+    # written on its own, so that the join meets two plain exchanges and a hot key's rows can be split
+    often = cut(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "often")
+    return cut(table.join(sized(often), "key", "left_semi"), label)
+
+
+def distinct_parts(table: DataFrame) -> DataFrame:
+    """key, digest, n, and the first and last place of the parts with equal bytes."""
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tk", "span")
+    return cut(table.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("x"), F.max(place).alias("y")), "distinct")
+
+
+def sorted_ranges(docs: DataFrame, same: DataFrame, length: int, folder: str, shard_bytes: int, queue_bytes: int) -> DataFrame:
+    """Ranges of bytes in repeated strings: key, digest, doc_id, tk, span of the place, a, b from its first start, spilled (files of its shard)."""
+    spark = docs.sparkSession
+    twice = F.col("n") > 1
+    places = F.when(twice, F.array(F.struct(F.lit(0).alias("copy"), "x.*"), F.struct(F.lit(1).alias("copy"), "y.*"))).otherwise(F.array(F.struct(F.lit(-1).alias("copy"), "x.*")))
+    chosen = same.select("key", "digest", F.explode(places).alias("z")).select("key", "digest", "z.copy", "z.doc_id", "z.tk", "z.span")
+    cut_schema = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("copy", pa.int32()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("span", pa.int64()), ("data", pa.binary())])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,56 +155,63 @@ def sorted_ranges(docs: DataFrame, chosen: DataFrame, length: int, folder: str,
                 for doc_id, tk, text, own in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "tk", "text", "parts"))):
                     raw = text.encode()
                     for x in own:
-                        a = x["span"] >> 8
-                        out.append((x["key"], doc_id, tk, a, raw[a : a + (x["span"] & 255) + length]))
+                        a = x["span"] >> 20
+                        out.append((x["key"], x["digest"], x["copy"], doc_id, tk, x["span"], raw[a : a + (x["span"] >> 10 & 1023) + length]))
                 for i in range(0, len(out), 4000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 4000]), cut_schema)], schema=cut_schema)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.mapInArrow(segments, "key long, doc_id long, tk long, first long, data binary").repartition(n, "key").sortWithinPartitions("key")
-    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    dealt = met_by(docs, chosen, "key", "digest", "copy", "span").mapInArrow(segments, "key long, digest binary, copy int, doc_id long, tk long, span long, data binary").repartition(n, "key").sortWithinPartitions("key")
+    schema = pa.schema([*cut_schema][:2] + [("one", pa.bool_())] + [*cut_schema][3:6] + [("a", pa.int32()), ("b", pa.int32()), ("spilled", pa.int32())])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def shard() -> pa.RecordBatch:
-            out = []
-            places = [(i, k, f) for i, k, f, _ in held]
-            for (doc_id, tk, first), starts in zip(places, repeated_starts([np.frombuffer(d, np.uint8) for *_, d in held], length, queue_bytes, folder)):
-                if len(starts):
+            out, files = [], [0]
+            for (key, digest, copy, doc_id, tk, span, _), starts in zip(held, repeated_starts([np.frombuffer(x[-1], np.uint8) for x in held], length, queue_bytes, folder, files.append)):
+                if copy < 1 and len(starts):
                     edge = np.flatnonzero(np.diff(starts) > 1)
                     for a, b in zip(starts[np.concatenate([[0], edge + 1])].tolist(), starts[np.concatenate([edge, [len(starts) - 1]])].tolist()):
-                        out.append((doc_id, tk, first + a, first + b + length))
+                        out.append((key, digest, copy < 0, doc_id, tk, span, a, b + length, sum(files)))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else pa.RecordBatch.from_pydict({f.name: [] for f in schema}, schema=schema)
 
         for g in groups(batches, ["key"]):
-            own = dict.fromkeys(zip(g["doc_id"], g["tk"], g["first"], g["data"]))  # a row that repeats doc_id and text brings its parts twice
+            own = dict.fromkeys(zip(*(g[c] for c in cut_schema.names)))  # a row that repeats doc_id and text brings its parts twice
             held += own
-            size += sum(len(x[3]) + 1 for x in own)
+            size += sum(len(x[-1]) + 1 for x in own)
             if size >= shard_bytes:
                 yield shard()
                 held, size = [], 0
         if held:
             yield shard()
 
-    return dealt.mapInArrow(sort, "doc_id long, tk long, a long, b long")
+    return dealt.mapInArrow(sort, "key long, digest binary, one boolean, doc_id long, tk long, span long, a int, b int, spilled int")
+
 
+def found_ranges(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, queue_bytes: int = QUEUE_BYTES, hot: int = HOT_KEY) -> tuple[DataFrame, DataFrame]:
+    """The parts whose key is repeated, and what the sort finds among them."""
+    table = repeated_keys(part_table(docs, length).transform(lambda t: cut(t, "parts")), "candidates")
+    same = distinct_parts(table)
+    for size in PIECES:
+        many = cut(same.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > hot).select("key"), "many")
+        if not many.limit(1).count():
+            break
+        many = sized(many)
+        pieces_ = cut(finer(docs, table.join(many, "key", "left_semi"), length, size), "pieces")
+        table = cut(table.join(many, "key", "left_anti").unionByName(repeated_keys(pieces_, "fine")), "dealt")
+        same = distinct_parts(table)
+    return table, cut(sorted_ranges(docs, same, length, scratch(docs.sparkSession, "runs"), shard_bytes, queue_bytes), "sorted")
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, queue_bytes: int = QUEUE_BYTES) -> DataFrame:
+
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """docs: doc_id, tk, text. One row per document with repeated strings: id_, tk_, ranges (array of a, b)."""
-    spark = docs.sparkSession
-    table = cut(part_table(docs, length), "parts")
-    # written on its own, so that the join below meets two plain exchanges and a hot key's rows can be split
-    often = cut(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "often")
-    table = cut(table.join(often, "key", "left_semi"), "candidates")
-    same = cut(table.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tk", "span")).alias("x")), "distinct")
-    several = cut(same.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select("key"), "several")
-    chosen = same.join(several, "key", "left_semi").select("key", "x.doc_id", "x.tk", "x.span")
-    single = sorted_ranges(docs, chosen, length, scratch(spark, "runs"), shard_bytes, queue_bytes)
-    first = F.shiftright("span", 8)
-    whole = table.join(same.filter("n > 1").select("key", "digest"), ["key", "digest"], "left_semi")
-    whole = whole.select("doc_id", "tk", first.alias("a"), (first + F.col("span").bitwiseAND(255) + length).alias("b"))
-    ranges = whole.unionByName(single).groupBy("doc_id", "tk").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("ranges"))
+    table, found = found_ranges(docs, length, **how)
+    first = F.shiftright("span", 20)
+    alone = found.filter("one").select("doc_id", "tk", (first + F.col("a")).alias("a"), (first + F.col("b")).alias("b"))
+    equal = cut(found.filter("not one").select("key", "digest", "a", "b"), "equal")
+    equal = table.join(sized(equal), ["key", "digest"]).select("doc_id", "tk", (first + F.col("a")).alias("a"), (first + F.col("b")).alias("b"))
+    ranges = equal.unionByName(alone).groupBy("doc_id", "tk").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("ranges"))
     return cut(ranges.withColumnsRenamed({"doc_id": "id_", "tk": "tk_"}), "ranges")
 
 
