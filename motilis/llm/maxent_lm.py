@@ -1,17 +1,23 @@
 """Scoring by a hashed maximum-entropy language model with class-factored softmax.
 
-A token's probability is P(its class | the words before it) times P(the word | its class). The first factor is a softmax over
-classes whose scores add up hashed features of the history: the word before (bigram), the two before together (trigram), and
-the second and third before (skips). Its weights come from rounds of distributed updates: tasks send the features' expected
-class counts under the present weights, and the gradient (observed less expected counts) moves the weights in the scale of
-iterative scaling. The first update and every later round take all training documents. The second factor has the word's own
-feature only, whose maximum-likelihood weight is its count; a discount of the class's share of words seen once goes to unknown words. So the V known tokens and, class by class, the unknown word
-share a probability of 1 after every history.
-
-Words up to rank `FREQUENT` stand for themselves, the others for their last two bytes; both are grouped into classes by the
-words that precede them, counted over the corpus. Counts of all words are kept in a table. The `HEAVY` most frequent are
-broadcast (a fixed number), the rest meet their counts by a shuffled join of per-document word counts, which leaves word order
-out of it because their class, not their count, enters the first factor.
+A token's probability is P(its class | history) times P(its part of the class | class, history) times P(the word | part). The
+first two factors are softmaxes whose scores add up hashed features of the history: the word before (bigram), the two before
+together (trigram), and the second and third before (skips); in the second factor the class is hashed along, so that its
+features are n-grams and skips of a few words. The most frequent words of a class are parts of their own, so that for them both
+factors together are a softmax over words. The last factor is what is left for rarer words, which share a part: its only feature
+is the word itself, whose maximum-likelihood weight is its count; a discount of the part's share of words seen once goes to
+unknown words. So the V known tokens and, part by part, the unknown word share a probability of 1 after every history.
+
+Weights are trained by rounds of distributed gradient updates over all training documents: tasks send the features' expected
+counts under the present weights, and the gradient (observed less expected counts, less the pull of a Gaussian prior) moves each
+weight, in the scale of what its feature was expected to count. Tasks are as few as keep what they send to a share of the corpus, and blocks of the sums are
+added up by a shuffle.
+
+Words up to a rank stand for themselves, the others for their last two bytes; both are grouped into classes by the words that
+precede them, counted over the corpus. That rank and the rows of the feature table grow with the square root of the number of
+training tokens, up to `MOST_ROWS`, which bounds the table that is broadcast. Counts of all words are kept in a table. The
+`HEAVY` most frequent of no more than `LONG` bytes are broadcast, the rest meet their counts by a shuffled join of
+per-document word counts, which leaves word order out of it because their part, not their count, enters the softmaxes.
 
 Only documents with crc32(doc_id as text) mod 7 other than 2 are learnt from; all are scored.
 
@@ -22,6 +28,7 @@ whole; other columns play no part.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,19 +42,22 @@ from pyspark.sql import functions as F
 from .common import cut, id_text, load, pieces
 
 FOLDS, HELD_OUT = 7, 2
-HEAVY = 1 << 18
-FREQUENT = 4096
+HEAVY, LONG = 1 << 18, 64
 SUFFIXES = 1024
-CODES = FREQUENT + SUFFIXES + 1
-BEGIN = CODES - 1
 CONTEXTS = 128
-CLASSES = 32
+CLASSES, PARTS = 32, 32
 ROUNDS = 2
-TABLE = 1 << 14
+LEAST_ROWS, MOST_ROWS = 1 << 14, 1 << 19
 FEATURES = 4
-#: Prior count behind each feature and class.
-KAPPA = 2.0
+#: Prior count behind each feature and outcome.
+KAPPA = 4.0
+#: Weight of the Gaussian prior that holds weights back where a feature is rare.
+DECAY = 4.0
+#: Step of the gradient, and the most that a weight moves in a round.
+STEP, MOST_STEP = 0.5, 1.0
 MOST_WEIGHT = np.float32(12)
+#: Bytes that tasks send for a sum, as a share of the bytes of the ids, and of a block of it.
+SENT, BLOCK_BYTES = 0.25, 1 << 16
 END = b""
 _CHUNK = 1 << 16
 #: Histories whose class scores are held at a time, so that they stay in the cache.
@@ -129,25 +139,30 @@ def ranks_of(tokens: list[bytes]) -> dict[bytes, int]:
     return _RANKS[key]
 
 
-def code_table(tokens: list[bytes]) -> np.ndarray:
-    """Codes by id: frequent words have their own, all others that of their suffix."""
+def table_rows(n_tokens: int) -> int:
+    """Rows of the feature table: a power of two about the square root of the number of tokens."""
+    return min(MOST_ROWS, max(LEAST_ROWS, 1 << round(math.log2(max(1.3 * n_tokens**0.5, 1)))))
+
+
+def code_table(tokens: list[bytes], frequent: int) -> np.ndarray:
+    """Codes by id: frequent words have their own, all others that of their suffix; the last code stands before a text."""
     out = np.empty(HEAVY + SUFFIXES, np.int64)
-    out[: len(tokens)] = [i if i < FREQUENT else FREQUENT + suffix(t) for i, t in enumerate(tokens)]
-    out[len(tokens) : HEAVY] = FREQUENT
-    out[HEAVY:] = FREQUENT + np.arange(SUFFIXES)
+    out[: len(tokens)] = [i if i < frequent else frequent + suffix(t) for i, t in enumerate(tokens)]
+    out[len(tokens) : HEAVY] = frequent
+    out[HEAVY:] = frequent + np.arange(SUFFIXES)
     return out
 
 
 def histories(columns: list[bytes], codes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Ids, codes, and the three codes before each, of about `_CHUNK` tokens at a time; document: index of each token's text."""
-    held, size, first = [], 0, 0
+    held, size, begin = [], 0, codes[-1] + 1
     for k, ids in enumerate(columns):
         own = np.frombuffer(ids, np.uint32)
         for a in range(0, len(own), _CHUNK):  # a long text goes through in parts that overlap by three tokens
             part = own[max(0, a - 3) : a + _CHUNK]
             c = codes[part]
             lead = min(a, 3)
-            c = np.concatenate([np.full(3 - lead, BEGIN), c])
+            c = np.concatenate([np.full(3 - lead, begin), c])
             held.append((part[lead:], c, np.full(len(part) - lead, k)))
             size += len(part) - lead
             if size >= _CHUNK:
@@ -162,18 +177,25 @@ def _joined(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return (np.concatenate([h[0] for h in held]), *(np.concatenate([x[3 - k : len(x) - k] for x in c]) for k in range(4)), np.concatenate([h[2] for h in held]))
 
 
-def feature_rows(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> list[np.ndarray]:
-    """Rows of the weight table for bigram, trigram and two skip features."""
-    m = np.uint64(0x9E3779B97F4A7C15)
-    out = []
-    for k, x in enumerate((one, one * CODES + two, two, three)):
-        h = (x.astype(np.uint64) * np.uint64(FEATURES) + np.uint64(k) + np.uint64(1)) * m
-        out.append((h >> np.uint64(64 - (TABLE.bit_length() - 1))).astype(np.int64))
-    return out
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def feature_hashes(one: np.ndarray, two: np.ndarray, three: np.ndarray, codes: int) -> list[np.ndarray]:
+    """Hashes of bigram, trigram and two skip features of a history."""
+    return [(x.astype(np.uint64) * np.uint64(FEATURES) + np.uint64(k) + np.uint64(1)) * _MIX for k, x in enumerate((one, one * (codes + 1) + two, two, three))]
 
 
-def class_scores(rows: list[np.ndarray], bias: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores of the classes after each history, their exponentials and the sums of these. Weights are bounded by `MOST_WEIGHT`, so that nothing overflows."""
+def rows_of_hashes(hashes: list[np.ndarray], rows: int, classes: np.ndarray | None = None) -> list[np.ndarray]:
+    """Rows of the weight table of the first factor, or with the class hashed along of the second."""
+    shift = np.uint64(64 - (rows.bit_length() - 1))
+    if classes is not None:
+        along = (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        hashes = [(h ^ along) * _MIX for h in hashes]
+    return [(h >> shift).astype(np.int64) for h in hashes]
+
+
+def softmax_scores(rows: list[np.ndarray], bias: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of the outcomes after each history, their exponentials and the sums of these. Weights are bounded by `MOST_WEIGHT`, so that nothing overflows."""
     z = np.take(weights, rows[0], axis=0, mode="clip")
     one = np.empty_like(z)
     for r in rows[1:]:
@@ -183,6 +205,24 @@ def class_scores(rows: list[np.ndarray], bias: np.ndarray, weights: np.ndarray)
     return z, e, e @ np.ones(e.shape[1], e.dtype)
 
 
+def factors(m: dict, code: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray):
+    """For both factors: the rows of the features, the outcome of each token, the bias (a line for each token or one for all) and the weights' place."""
+    hashes, c = feature_hashes(one, two, three, len(m["classes"])), m["classes"][code]
+    yield rows_of_hashes(hashes, m["rows"]), c, m["bias"][0][None], 0
+    yield rows_of_hashes(hashes, m["rows"], c), m["parts"][code], m["bias"][1][c], 1
+
+
+def log_factors(m: dict, code: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
+    """log of P(class | history) * P(part | class, history) of each token."""
+    out = np.zeros(len(code))
+    for rows, outcome, bias, f in factors(m, code, one, two, three):
+        for a in range(0, len(code), _SCORED):
+            at = slice(a, a + _SCORED)
+            z, _, total = softmax_scores([r[at] for r in rows], bias if len(bias) == 1 else bias[at], m["weights"][f])
+            out[at] += z[np.arange(len(z)), outcome[at]].astype(np.float64) - np.log(total)
+    return out
+
+
 def add_by_row(rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
     """Add values (a line for each class) to the columns of out (a line for each class) that `rows` names."""
     for k in range(len(values)):
@@ -194,17 +234,20 @@ def add_counts(rows: np.ndarray, classes: np.ndarray, out: np.ndarray) -> None:
     out += np.bincount(classes * out.shape[1] + rows, minlength=out.size).reshape(out.shape)
 
 
-def summed(encoded: DataFrame, shape: tuple[int, int], add, block: int = 4) -> np.ndarray:
-    """The sum over tasks of arrays that add(columns of ids, array) fills from training documents. Blocks of rows are summed by a shuffle; the driver gets the sum, whose size is fixed."""
-    rows, width = shape
+def summed(encoded: DataFrame, shape: tuple[int, int], add, n_tokens: int) -> np.ndarray:
+    """The sum over tasks of arrays that add(columns of ids, array) fills from training documents. Blocks are summed by a shuffle; the driver gets the sum."""
+    size = shape[0] * shape[1]
+    step = BLOCK_BYTES // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(shape, np.float64)
         for batch in batches:
             for piece in pieces(batch, "ids"):
                 add(piece.column("ids").to_pylist(), own)
-        at = [i for i in range(0, rows, block) if own[i : i + block].any()]
-        yield pa.RecordBatch.from_pydict({"block": pa.array(at, pa.int32()), "part": pa.array([own[i : i + block].astype(np.float32).tobytes() for i in at], pa.binary())})
+        flat = own.ravel()
+        for a in range(0, size, 64 * step):
+            at = [i for i in range(a, min(a + 64 * step, size), step) if flat[i : i + step].any()]
+            yield pa.RecordBatch.from_pydict({"block": pa.array([i // step for i in at], pa.int32()), "part": pa.array([flat[i : i + step].astype(np.float32).tobytes() for i in at], pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
@@ -212,14 +255,17 @@ def summed(encoded: DataFrame, shape: tuple[int, int], add, block: int = 4) -> n
             for k, x in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist()):
                 x = np.frombuffer(x, np.float32)
                 own[k] = own[k] + x if k in own else x.astype(np.float64)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(own, pa.int32()), "part": pa.array([x.astype(np.float64).tobytes() for x in own.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(own, pa.int32()), "part": pa.array([x.astype(np.float32).tobytes() for x in own.values()], pa.binary())})
 
-    parts = encoded.filter("not held_out").select("ids").mapInArrow(run, "block int, part binary")
-    out = np.zeros(shape, np.float64)
-    for r in parts.repartition(16, "block").mapInArrow(merge, "block int, part binary").collect():
-        x = np.frombuffer(bytes(r.part), np.float64).reshape(-1, width)
-        out[r.block : r.block + len(x)] += x
-    return out
+    tasks = max(16, int(SENT * 4 * n_tokens / (4 * size)))
+    n = min(int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // step))
+    parts = encoded.filter("not held_out").select("ids").coalesce(tasks).mapInArrow(run, "block int, part binary")
+    got = parts.repartition(n, "block").mapInArrow(merge, "block int, part binary").toArrow()
+    out = np.zeros(size)
+    for k, x in zip(got["block"].to_pylist(), got["part"].to_pylist()):
+        x = np.frombuffer(x, np.float32)
+        out[k * step : k * step + len(x)] = x
+    return out.reshape(shape)
 
 
 def word_classes(contexts: np.ndarray, classes: int = CLASSES, rounds: int = 15) -> np.ndarray:
@@ -247,10 +293,23 @@ def word_classes(contexts: np.ndarray, classes: int = CLASSES, rounds: int = 15)
     return out
 
 
-def train(counts: DataFrame, encoded: DataFrame, tokens: list[bytes], heavy_counts: np.ndarray, rest: DataFrame, rounds: int = ROUNDS) -> dict:
-    """The model: code table, classes, class statistics and weights. rest: counts of the words that are not heavy."""
+def class_parts(classes: np.ndarray, mass: np.ndarray, frequent: int) -> np.ndarray:
+    """A part of its class for each code: the class's most frequent words have one each, all other codes share the last."""
+    out = np.full(len(classes), PARTS - 1)
+    for c in range(CLASSES):
+        own = np.flatnonzero((classes[:frequent] == c) & (mass[:frequent] > 0))
+        own = own[np.lexsort((own, -mass[own]))][: PARTS - 1]
+        out[own] = np.arange(len(own))
+    return out
+
+
+def train(encoded: DataFrame, tokens: list[bytes], heavy_counts: np.ndarray, rest: DataFrame, n_tokens: int, rounds: int = ROUNDS) -> dict:
+    """The model: code table, classes and parts of codes, statistics of parts, and weights. rest: counts of the words that are not heavy."""
     spark = encoded.sparkSession
-    codes = code_table(tokens)
+    rows = table_rows(n_tokens)
+    frequent = rows // 4
+    codes = code_table(tokens, frequent)
+    n_codes = frequent + SUFFIXES
     share = spark.sparkContext.broadcast(codes)
 
     def contexts(columns: list[bytes], out: np.ndarray) -> None:
@@ -258,53 +317,70 @@ def train(counts: DataFrame, encoded: DataFrame, tokens: list[bytes], heavy_coun
             ok = one < CONTEXTS
             add_counts(own[ok], one[ok], out)
 
-    classes = word_classes(summed(encoded, (CONTEXTS, CODES), contexts).T)
-    # class statistics: tokens, words, words seen once
+    classes = word_classes(summed(encoded, (CONTEXTS, n_codes), contexts, n_tokens).T)
+    # tokens, words and words seen once of each code, then of each part
+    of_code = np.zeros((n_codes, 3))
     code = codes[: len(tokens)]
-    stats = np.zeros((CLASSES, 3))
     for k, w in enumerate((heavy_counts, np.ones(len(tokens)), heavy_counts == 1)):
-        stats[:, k] = np.bincount(classes[code], w, CLASSES)
+        of_code[:, k] = np.bincount(code, w, n_codes)
     tail = rest.groupBy((F.crc32(F.expr("substring(token, -2, 2)")) % SUFFIXES).alias("s")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once"))
     for r in tail.collect():
-        stats[classes[FREQUENT + r.s]] += (r.c, r.n, r.once)
-    prior = (stats[:, 0] + KAPPA) / (stats[:, 0] + KAPPA).sum()
-    bias, weights = np.log(prior).astype(np.float32), np.zeros((TABLE, CLASSES), np.float32)
-    model = spark.sparkContext.broadcast({"codes": codes, "classes": classes})
+        of_code[frequent + r.s] += (r.c, r.n, r.once)
+    parts = class_parts(classes, of_code[:, 0], frequent)
+    leaf = classes * PARTS + parts
+    stats = np.zeros((CLASSES * PARTS, 4))
+    for k in range(3):
+        stats[:, k] = np.bincount(leaf, of_code[:, k], CLASSES * PARTS)
+    stats[:, 3] = np.bincount(leaf[frequent:], minlength=CLASSES * PARTS)  # codes that an unknown word may have
+    there = (stats[:, 0] > 0) | (stats[:, 3] > 0)
+    mass = (stats[:, 0] + KAPPA * there).reshape(CLASSES, PARTS) + 1e-9
+    prior = [mass.sum(1) / mass.sum(), mass / mass.sum(1, keepdims=True)]
+    model = {"codes": codes, "classes": classes, "parts": parts, "leaf": leaf, "stats": stats, "rows": rows, "bias": [np.log(p).astype(np.float32) for p in prior]}
+    held = spark.sparkContext.broadcast(model)
 
     def observed(columns: list[bytes], out: np.ndarray) -> None:
-        m = model.value
+        m = held.value
         for _, own, one, two, three, _ in histories(columns, m["codes"]):
-            c = m["classes"][own]
-            for r in feature_rows(one, two, three):
-                add_counts(r, c, out)
-
-    def step(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        """The gradient of the log-likelihood, observed less expected counts, in the scale of iterative scaling."""
-        return (np.log((seen + KAPPA * prior) / (expected + KAPPA * prior)) / FEATURES).astype(np.float32)
-
-    seen = summed(encoded, (CLASSES, TABLE), observed).T  # at weights of 0 the classes are expected by their shares
-    weights = np.clip(weights + step(seen, seen.sum(1, keepdims=True) * prior), -MOST_WEIGHT, MOST_WEIGHT)
+            for at, outcome, _, f in factors(m, own, one, two, three):
+                for r in at:
+                    add_counts(r, outcome, out[f * CLASSES : f * CLASSES + CLASSES])
+
+    seen = summed(encoded, (CLASSES + PARTS, rows), observed, n_tokens)
+    seen = [np.ascontiguousarray(seen[:CLASSES].T), np.ascontiguousarray(seen[CLASSES:].T)]
+    # a feature's rows are shared by classes in the second factor, so that their mean prior stands behind it
+    behind = [KAPPA * prior[0], KAPPA * (prior[0] @ prior[1]) + 1e-9]
+    # the first weights: how far each feature's counts are from the prior, shared among the features of a history
+    weights = [(np.log((s + b) / (s.sum(1, keepdims=True) + KAPPA) / (b / KAPPA)) / FEATURES).astype(np.float32) for s, b in zip(seen, behind)]
+    weights = [np.clip(w, -MOST_WEIGHT, MOST_WEIGHT) for w in weights]
     for _ in range(rounds):
-        now = spark.sparkContext.broadcast((bias, weights.copy()))
+        now = spark.sparkContext.broadcast(weights)
 
         def expect(columns: list[bytes], out: np.ndarray, now=now) -> None:
-            for _, own, one, two, three, _ in histories(columns, model.value["codes"]):
-                rows, p = feature_rows(one, two, three), np.empty((CLASSES, len(own)))
-                for a in range(0, len(own), _SCORED):
-                    _, e, total = class_scores([r[a : a + _SCORED] for r in rows], *now.value)
-                    p[:, a : a + _SCORED] = (e / total[:, None]).T
-                for r in rows:
-                    add_by_row(r, p, out)
+            m = held.value
+            for _, own, one, two, three, _ in histories(columns, m["codes"]):
+                for at, _, bias, f in factors(m, own, one, two, three):
+                    p = np.empty((CLASSES, len(own)))
+                    for a in range(0, len(own), _SCORED):
+                        k = slice(a, a + _SCORED)
+                        _, e, total = softmax_scores([r[k] for r in at], bias if len(bias) == 1 else bias[k], now.value[f])
+                        p[:, k] = (e / total[:, None]).T
+                    for r in at:
+                        add_by_row(r, p, out[f * CLASSES : f * CLASSES + CLASSES])
 
         # a round goes over all training documents, as the observed counts do
-        weights = np.clip(weights + step(seen, summed(encoded, (CLASSES, TABLE), expect).T), -MOST_WEIGHT, MOST_WEIGHT)
-    return {"codes": codes, "classes": classes, "stats": stats, "bias": bias, "weights": np.ascontiguousarray(weights)}  # else each slice that is scored copies the table
+        expected = summed(encoded, (CLASSES + PARTS, rows), expect, n_tokens)
+        for f, (s, b) in enumerate(zip(seen, behind)):
+            e = expected[f * CLASSES : f * CLASSES + CLASSES].T
+            step = np.clip(STEP * (s - e - DECAY * weights[f]) / (e + DECAY + b), -MOST_STEP, MOST_STEP)
+            weights[f] = np.ascontiguousarray(np.clip(weights[f] + step, -MOST_WEIGHT, MOST_WEIGHT), np.float32)
+        now.unpersist()
+    return model | {"weights": weights}
 
 
 def word_factors(stats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per class: the discount of a known word's count, log10 of the class's tokens, log10 of the unknown word's share."""
-    mass, words, once = stats.T
-    discount = np.where(words > 0, np.clip((once + 0.5) / np.maximum(words, 1), 0.01, 0.9), 0.0)
+    """Per part: the discount of a known word's count, log10 of the part's tokens, log10 of the unknown word's share. A part that no unknown word can have discounts nothing."""
+    mass, words, once, open_ = stats.T
+    discount = np.where((words > 0) & (open_ > 0), np.clip((once + 0.5) / np.maximum(words, 1), 0.01, 0.9), 0.0)
     total = np.log10(np.maximum(mass, 1.0))
     unknown = np.where(mass > 0, np.log10(np.maximum(discount * words, 1e-12)) - total, 0.0)
     return discount, total, unknown
@@ -317,22 +393,23 @@ def score(docs: DataFrame, heavy: int = HEAVY, rounds: int = ROUNDS) -> DataFram
     counts = cut(count_tokens(docs), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # counts fall into a few hundred levels; as many whole levels count as heavy as hold no more than `heavy` words
-    levels, above, least = counts.groupBy(F.floor(F.log2("c") * 8).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect(), 0, None
+    short = F.octet_length("token") <= LONG
+    levels, above, least = counts.filter(short).groupBy(F.floor(F.log2("c") * 8).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect(), 0, None
     for r in sorted(levels, key=lambda r: -r.level):
         if above + r.n > heavy:
             break
         above, least = above + r.n, r.c
-    never = F.lit(False)
-    top = counts.filter(F.col("c") >= least if least is not None else never).toArrow().sort_by([("c", "descending"), ("token", "ascending")])
+    chosen = short & (F.col("c") >= least) if least is not None else F.lit(False)
+    top = counts.filter(chosen).toArrow().sort_by([("c", "descending"), ("token", "ascending")])
     tokens, heavy_counts = top["token"].to_pylist(), np.array(top["c"].to_pylist(), np.float64)
-    rest = counts.filter(F.col("c") < least) if least is not None else counts
+    rest = counts.filter(~chosen)
     encoded = cut(encode(docs, spark.sparkContext.broadcast(tokens)).withColumn("rid", F.monotonically_increasing_id()), "encoded")
-    model = train(counts, encoded, tokens, heavy_counts, rest, rounds)
+    model = train(encoded, tokens, heavy_counts, rest, int(n), rounds)
     discount, total, unknown = word_factors(model["stats"])
-    classes, codes = model["classes"], model["codes"]
-    per_class = classes[codes[: len(tokens)]]
-    own = np.zeros(HEAVY + SUFFIXES)  # log10 P(word | class) of heavy words; others get theirs by the join
-    own[: len(tokens)] = np.log10(np.maximum(heavy_counts - discount[per_class], 1e-12)) - total[per_class]
+    leaf, codes = model["leaf"], model["codes"]
+    of_word = leaf[codes[: len(tokens)]]
+    own = np.zeros(HEAVY + SUFFIXES)  # log10 P(word | part) of heavy words; others get theirs by the join
+    own[: len(tokens)] = np.log10(np.maximum(heavy_counts - discount[of_word], 1e-12)) - total[of_word]
     base = np.zeros(HEAVY + SUFFIXES)
     base[: len(tokens)] = np.log10(heavy_counts + 1)
     held = spark.sparkContext.broadcast(model | {"own": own, "base": base})
@@ -345,22 +422,18 @@ def score(docs: DataFrame, heavy: int = HEAVY, rounds: int = ROUNDS) -> DataFram
                 columns, k = piece.column("ids").to_pylist(), piece.num_rows
                 sums = np.zeros((4, k))
                 for ids, code, one, two, three, doc in histories(columns, m["codes"]):
-                    rows, c, z = feature_rows(one, two, three), m["classes"][code], np.empty(len(code))
-                    for a in range(0, len(code), _SCORED):
-                        x, _, total = class_scores([r[a : a + _SCORED] for r in rows], m["bias"], m["weights"])
-                        z[a : a + _SCORED] = x[np.arange(len(x)), c[a : a + _SCORED]].astype(np.float64) - np.log(total)
-                    z = z / np.log(10) + m["own"][ids]
+                    z = log_factors(m, code, one, two, three) / np.log(10) + m["own"][ids]
                     for j, w in enumerate((None, ids < HEAVY, m["base"][ids], z)):
                         sums[j] += np.bincount(doc, w, k)
                 yield pa.RecordBatch.from_arrays([piece.column("rid"), piece.column("doc_id"), piece.column("held_out"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])], schema=schema)
 
     near = encoded.select("rid", "doc_id", "held_out", "ids").mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
-    per = F.array(*(F.struct(F.lit(float(d)).alias("d"), F.lit(float(t)).alias("t"), F.lit(float(u)).alias("u")) for d, t, u in zip(discount, total, unknown)))
-    of_suffix = F.array(*(F.lit(int(c)) for c in classes[FREQUENT : FREQUENT + SUFFIXES]))
+    tails = leaf[-SUFFIXES:]
+    per = F.broadcast(spark.createDataFrame([(i, float(discount[x]), float(total[x]), float(unknown[x])) for i, x in enumerate(tails.tolist())], "s int, d double, t double, u double"))  # a row for each suffix
     far = encoded.select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("rid", F.col("x.words").alias("token"), F.col("x.times").alias("times"))
     far = far.join(rest, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    far = far.withColumn("k", per[of_suffix[(F.crc32(F.expr("substring(token, -2, 2)")) % SUFFIXES).cast("int")]])
-    word = F.when(F.col("c") > 0, F.log10(F.greatest(F.col("c") - F.col("k.d"), F.lit(1e-12))) - F.col("k.t")).otherwise(F.col("k.u"))
+    far = far.withColumn("s", (F.crc32(F.expr("substring(token, -2, 2)")) % SUFFIXES).cast("int")).join(per, "s")
+    word = F.when(F.col("c") > 0, F.log10(F.greatest(F.col("c") - F.col("d"), F.lit(1e-12))) - F.col("t")).otherwise(F.col("u"))
     far = far.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known2"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("base2"), F.sum(F.col("times") * word).alias("score2"))
     scale = float(np.log10(n + v + 1))
     return near.join(far, "rid", "left").select(

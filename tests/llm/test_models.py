@@ -187,14 +187,50 @@ def test_lm_rounds_take_all_training_documents(spark):
     assert score([None] * len(texts)) == pytest.approx(apart, abs=1e-3)
 
 
-def test_lm_probabilities_sum_to_one():
-    stats = np.array([[100, 30, 10], [50, 5, 0], [0, 0, 0]], float)
-    discount, total, unknown = maxent_lm.word_factors(stats)
-    for k in range(2):
-        known = (stats[k, 0] - discount[k] * stats[k, 1]) / 10 ** total[k]
-        assert known + 10 ** unknown[k] == pytest.approx(1)
-    z, e, total = maxent_lm.class_scores([np.array([0, 1]), np.array([1, 1])], np.zeros(4, np.float32), np.random.default_rng(1).normal(size=(2, 4)).astype(np.float32))
-    assert (e / total[:, None]).sum(1) == pytest.approx([1, 1]) and np.exp(z - np.log(total)[:, None]).sum(1) == pytest.approx([1, 1])
+def trained(spark, rows, rounds=2):
+    docs = maxent_lm.id_text(spark.createDataFrame(rows, "doc_id long, text string"))
+    top = sorted(((bytes(r.token), r.c) for r in maxent_lm.count_tokens(docs).collect()), key=lambda x: (-x[1], x[0]))
+    tokens, counts = [t for t, _ in top], np.array([c for _, c in top], float)
+    encoded = maxent_lm.cut(maxent_lm.encode(docs, spark.sparkContext.broadcast(tokens)))
+    none = spark.createDataFrame([], "token binary, c long")
+    return maxent_lm.train(encoded, tokens, counts, none, int(counts.sum()), rounds), tokens, counts
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """After any history the known tokens and the unknown word of each part share a probability of 1."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["the", "of", "a"]) + " " + words(rng, 3, 900) for _ in range(25))) for i in range(150)]
+    m, tokens, counts = trained(spark, rows)
+    discount, total, unknown = maxent_lm.word_factors(m["stats"])
+    code = m["codes"][: len(tokens)]
+    leaf, of_leaf = m["leaf"][code], {}
+    for c in range(len(m["leaf"])):
+        if m["stats"][m["leaf"][c], 3] > 0 or m["stats"][m["leaf"][c], 0] > 0:
+            of_leaf.setdefault(int(m["leaf"][c]), c)
+    assert len(of_leaf) > 60
+    seen = []
+    for _ in range(20):
+        one, two, three = (np.int64(rng.choice([*code[:40].tolist(), len(m["leaf"])])) for _ in range(3))
+        p = lambda codes: np.exp(maxent_lm.log_factors(m, np.array(codes), *(np.full(len(codes), x) for x in (one, two, three))))
+        known = p(code) * np.maximum(counts - discount[leaf], 1e-12) / 10 ** total[leaf]
+        open_ = [x for x in of_leaf if m["stats"][x, 3] > 0]
+        rest = p([of_leaf[x] for x in open_]) * 10 ** unknown[open_]
+        assert known.sum() + rest.sum() == pytest.approx(1, abs=1e-4)
+        seen.append(known[:30])
+    assert np.std(seen, axis=0).max() > 0.01  # what comes next hangs on the history
+
+
+def test_lm_training_raises_the_likelihood(spark):
+    rng = random.Random(10)
+    rows = [(i, " ".join(x for _ in range(40) for x in rng.choice((["a1", "b1", "z"], ["c1", "b1", "y"], ["e1", "f1"])))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    mean = [np.mean([r.score for r in maxent_lm.score(df, rounds=k).filter("held_out").collect()]) for k in (0, 2)]
+    assert mean[1] > mean[0]  # "z" or "y" after "b1" hangs on the word two before: a skip feature
+
+
+def test_lm_table_grows_with_the_corpus():
+    sizes = [maxent_lm.table_rows(n) for n in (0, 10**6, 10**8, 10**10, 10**12, 10**16)]
+    assert sizes == sorted(sizes) and sizes[0] == maxent_lm.LEAST_ROWS and sizes[3] > 4 * sizes[2] and sizes[-1] == maxent_lm.MOST_ROWS
 
 
 def tool_call(i, after=None, **more):
