@@ -25,6 +25,8 @@ from . import sharedfs
 
 #: A string of names is sorted by recursion if it has this many symbols to a name, and more than the least.
 REPEATS, LEAST = 256, 1 << 12
+#: Bytes compared at a time.
+_WIDE = 64
 
 
 class BucketQueue:
@@ -144,25 +146,26 @@ class _Scan:
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Symbols that the suffixes at a and b share, up to depth. The text is padded with depth symbols behind its last one."""
+    """Symbols that the suffixes at a and b share, up to depth. The text is padded with depth + _WIDE symbols behind its last one."""
     out = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
-    wide = text.dtype == np.uint8
-    words = np.lib.stride_tricks.as_strided(text, (max(len(text) - 7, 0), 8), (1, 1)) if wide else None
-    k = 0
-    while len(live) and k < depth:
-        if wide:
-            x = words[a[live] + k].reshape(-1).view(np.uint64) ^ words[b[live] + k].reshape(-1).view(np.uint64)
-            same = x == 0
-            part = live[~same]
-            low = x[~same]
-            out[part] = k + (np.frexp((low & (~low + np.uint64(1))).astype(np.float64))[1] - 1) // 8
-            out[live[same]] = k + 8
-            live, k = live[same], k + 8
-        else:
-            same = text[a[live] + k] == text[b[live] + k]
-            live, k = live[same], k + 1
+    if text.dtype != np.uint8:
+        k = 0
+        while len(live) and k < depth:
+            live, k = live[text[a[live] + k] == text[b[live] + k]], k + 1
             out[live] = k
+        return np.minimum(out, depth)
+    k, wide = 0, 8  # most differ in the first bytes; what does not is compared in longer strides
+    while len(live) and k < depth:
+        rows = np.lib.stride_tricks.as_strided(text, (max(len(text) - wide + 1, 0), wide), (1, 1))
+        x = rows[a[live] + k].view(np.uint64) ^ rows[b[live] + k].view(np.uint64)
+        at = (x != 0).argmax(1)
+        word = x[np.arange(len(x)), at]
+        same = word == 0
+        low = word[~same]
+        out[live[~same]] = k + 8 * at[~same] + (np.frexp((low & (~low + np.uint64(1))).astype(np.float64))[1] - 1) // 8
+        live, k, wide = live[same], k + wide, _WIDE
+        out[live] = k
     return np.minimum(out, depth)
 
 
@@ -223,13 +226,13 @@ def _tied(order: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def _ranked(members: np.ndarray, key: np.ndarray, rank: np.ndarray, n: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Order and ranks after members of tied groups are sorted by key within their group. A rank is the index of its group's first member in the order."""
     if order is None:
-        order, rank = np.argsort(key, kind="stable"), rank.copy()
+        order, rank = np.argsort(key), rank.copy()
         k = key[order]
         first = np.concatenate([[True], k[1:] != k[:-1]])
         rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
         return order, rank
     old = rank[members]
-    by = np.lexsort((key, old))
+    by = np.argsort(old * (int(key.max()) + 1) + key) if int(key.max()) < (1 << 62) // n else np.lexsort((key, old))
     members, key, old = members[by], key[by], old[by]
     begin = np.concatenate([[True], old[1:] != old[:-1]])
     place = old + np.arange(len(old)) - np.maximum.accumulate(np.where(begin, np.arange(len(old)), 0))
@@ -249,7 +252,7 @@ def induce(text: np.ndarray, depth: int, emit: Callable[[int, np.ndarray, np.nda
     n = len(text)
     s = s_types(text)
     leftmost = leftmost_order(text, s, n, depth, least, budget, folder)
-    padded = np.concatenate([text, np.zeros(depth + 8, text.dtype)])
+    padded = np.concatenate([text, np.zeros(depth + _WIDE, text.dtype)])
     shared = np.zeros(len(leftmost), np.uint16)
     if len(leftmost) > 1:
         shared[1:] = common_prefix(padded, leftmost[:-1], leftmost[1:], depth)
@@ -348,7 +351,7 @@ def repeated_starts(segments: list[np.ndarray], depth: int, budget: int = 1 << 2
     spilled = induce(text, depth, emit, budget, folder)
     if report:
         report(spilled)
-    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
+    padded = np.concatenate([text, np.zeros(depth + _WIDE, np.uint8)])
     for c, low in edges.items():
         high = ends.get((c, True))
         if high is not None and common_prefix(padded, np.array([low]), np.array([high]), depth)[0] >= depth:
