@@ -107,9 +107,3 @@ def has_identifier(c: Column) -> Column:
 def subfile_url(url: Column, start: Column, end: Column) -> Column:
     """Byte window of an archive as a decoder's input."""
     return F.concat(F.lit("subfile,,start,"), start.cast("string"), F.lit(",end,"), end.cast("string"), F.lit(",,:"), url)
-
-
-def theta_d(theta: Column, k: tuple[float, float, float, float]) -> Column:
-    """Kannala-Brandt radial polynomial."""
-    t2 = theta * theta
-    return theta * (1 + t2 * (k[0] + t2 * (k[1] + t2 * (k[2] + t2 * k[3]))))

@@ -47,29 +47,33 @@ def cluster_bootstrap_means(observations: DataFrame, b: int = K.BOOTSTRAP_B, see
     return cluster_sums(observations).groupBy().applyInPandas(run, "replicate long, mean double")
 
 
-def iid_bootstrap_means(observations: DataFrame, b: int = K.BOOTSTRAP_B, seed: int = K.BOOTSTRAP_SEED, most: int = 200_000, per_task: int = 20_000) -> DataFrame:
-    """replicate, mean, as if clips were independent. Up to `most` clips one task draws them as it draws clusters; beyond, hashed parts of bounded size draw Poisson weights each, and their sums add up."""
-    n = observations.count()
-
-    def exact(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["factory_id", "worker_id", "hal"])
-        return pd.DataFrame({"replicate": np.arange(b), "mean": resampled_means(rows.hal.to_numpy(float), np.ones(len(rows)), b, seed)})
-
-    if n <= most:
-        return observations.select("factory_id", "worker_id", "hal").groupBy().applyInPandas(exact, "replicate long, mean double")
-
-    def part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(rows.hal.to_numpy(float))
-        rng, s, w = np.random.default_rng([seed, int(key[0])]), np.zeros(b), np.zeros(b)
-        for a in range(0, b, 64):
-            draws = rng.poisson(1.0, (min(64, b - a), len(x)))
-            s[a : a + 64], w[a : a + 64] = draws @ x, draws.sum(1)
-        return pd.DataFrame({"replicate": np.arange(b), "s": s, "w": w})
+def iid_bootstrap_means(observations: DataFrame, b: int = K.BOOTSTRAP_B, seed: int = K.BOOTSTRAP_SEED, per_task: int = 200_000, most_parts: int = 1000) -> DataFrame:
+    """replicate, mean, as if clips were independent: each replicate draws as many clips as there are, with replacement.
 
+    Clips are dealt out in parts of about `per_task`. How many of a replicate's draws fall to each part is a multinomial draw,
+    the same in every task, and the part draws that many of its clips; so the whole is drawn with replacement, whatever the
+    number of parts, and one part draws from the stream as clusters do."""
+    parts = min(most_parts, max(1, -(-observations.count() // per_task)))
     # equal clips are dealt out as well, by their rank among equals
     rank = F.row_number().over(Window.partitionBy("factory_id", "worker_id", "hal").orderBy("hal"))
-    rows = observations.select("hal", F.pmod(F.xxhash64("factory_id", "worker_id", "hal", rank), F.lit(-(-n // per_task))).alias("part"))
-    return rows.groupBy("part").applyInPandas(part, "replicate long, s double, w double").groupBy("replicate").agg((F.sum("s") / F.sum("w")).alias("mean"))
+    place = F.pmod(F.xxhash64("factory_id", "worker_id", "hal", rank), F.lit(parts)) if parts > 1 else F.lit(0)
+    rows = observations.select("factory_id", "worker_id", "hal", place.cast("long").alias("part"))
+    sizes = {r.part: r.n for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each part
+    order = sorted(sizes)
+    total = sum(sizes.values())
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(["factory_id", "worker_id", "hal"]).hal.to_numpy(float)
+        if len(order) == 1:
+            s = resampled_means(x, np.ones(len(x)), b, seed) * total
+        else:
+            shares = np.array([sizes[k] for k in order]) / total
+            share, rng = np.random.default_rng(seed), np.random.default_rng([seed, int(key[0])])
+            s = np.array([x[rng.integers(0, len(x), share.multinomial(total, shares)[order.index(key[0])])].sum() for _ in range(b)])
+        return pd.DataFrame({"replicate": np.arange(b), "s": s})
+
+    drawn = rows.groupBy("part").applyInPandas(draw, "replicate long, s double")
+    return drawn.groupBy("replicate").agg((F.sum("s") / total).alias("mean"))
 
 
 def interval(means: DataFrame) -> DataFrame:

@@ -58,9 +58,9 @@ def p5(spark: SparkSession, d: str) -> DataFrame:
     return plan.pilot_factory(clips(spark, d))
 
 
-@query("p6_native_frames", sql("s AS (SELECT clip_id, CAST(floor(i * CAST(0.11 AS DOUBLE) * 30 + 0.5) AS BIGINT) AS idx, min(i) AS i FROM samples WHERE k % 10 = 1 GROUP BY 1, 2) SELECT clip_id, idx, CAST(i AS INTEGER) AS i, coalesce(lag(idx) OVER (PARTITION BY clip_id ORDER BY idx) = idx - 1, false) AS after_previous FROM s"))
+@query("p6_native_frames", sql("s AS (SELECT clip_id, CAST(floor(i * CAST(0.11 AS DOUBLE) * 30 + 0.5) AS BIGINT) AS idx, min(i) AS i FROM samples GROUP BY 1, 2) SELECT clip_id, idx, CAST(i AS INTEGER) AS i, coalesce(lag(idx) OVER (PARTITION BY clip_id ORDER BY idx) = idx - 1, false) AS after_previous FROM s"))
 def p6(spark: SparkSession, d: str) -> DataFrame:
-    return plan.native_frames(samples(spark, d).filter("k % 10 = 1").select("clip_id", "i", (F.col("i") * 0.11).alias("t_s"), F.lit(30).alias("fps")))
+    return plan.native_frames(samples(spark, d).select("clip_id", "i", (F.col("i") * 0.11).alias("t_s"), F.lit(30).alias("fps")))
 
 
 @query("p7_rate_of", sql("f AS (SELECT DISTINCT t_s FROM samples WHERE clip_id = (SELECT min(clip_id) FROM samples)), g AS (SELECT t_s, t_s - lag(t_s) OVER (ORDER BY t_s) AS gap FROM f), h AS (SELECT round(gap, 6) AS r, count(*) AS n, min(t_s) AS first_t, arg_min(gap, t_s) AS gap FROM g WHERE gap > 0 GROUP BY 1) SELECT (SELECT 1 / gap FROM h ORDER BY n DESC, first_t LIMIT 1) AS hz"))
@@ -228,17 +228,16 @@ def r8(spark: SparkSession, d: str) -> DataFrame:
 # --- spectral ---------------------------------------------------------------------------------------------------------
 
 SPECTRAL = """
-m AS (SELECT clip_id, k, n, n - n % 2 AS keep, duration_s FROM clips),
-e0 AS (SELECT clip_id, i, v, duration_s, keep FROM samples JOIN m USING (clip_id) WHERE i < keep),
-e AS (SELECT clip_id, i, CASE WHEN i = 0 OR i = keep - 1 THEN coalesce(v, false) ELSE v END AS v, duration_s FROM e0),
+e AS (SELECT clip_id, i, v, duration_s FROM samples JOIN clips USING (clip_id)),
 g AS (SELECT clip_id, duration_s, count(*) AS n, count(v) AS scored, (max(i) FILTER (v IS NOT NULL) - min(i) FILTER (v IS NOT NULL)) / 4.0 AS span, avg(CAST(v AS INTEGER)) AS mean FROM e GROUP BY 1, 2),
 h AS (SELECT *, CASE WHEN duration_s < 60 THEN 'too_short' WHEN n = 0 OR (n - scored) / n > 0.10 OR scored < 8 OR span <= 0 THEN 'no_labels' END AS early, CAST(floor(span * 2) AS BIGINT) AS bins FROM g),
 y AS (SELECT e.clip_id, i / 4.0 AS t, CAST(v AS INTEGER) - mean AS y, span, bins FROM e JOIN h USING (clip_id) WHERE early IS NULL AND v IS NOT NULL AND bins >= 2),
 f AS (SELECT clip_id, unnest(range(1, bins + 1)) AS b, span FROM h WHERE early IS NULL AND bins >= 2),
 tau AS (SELECT f.clip_id, b, 2 * pi() * b / f.span AS w, atan2(sum(sin(4 * pi() * b / f.span * t)), sum(cos(4 * pi() * b / f.span * t))) / (4 * pi() * b / f.span) AS tau FROM f JOIN y ON f.clip_id = y.clip_id GROUP BY f.clip_id, b, f.span),
-pw AS (SELECT tau.clip_id, b, w, (pow(sum(y * cos(w * (t - tau))), 2) / sum(pow(cos(w * (t - tau)), 2)) + pow(sum(y * sin(w * (t - tau))), 2) / sum(pow(sin(w * (t - tau)), 2))) / sum(y * y) AS p FROM tau JOIN y ON tau.clip_id = y.clip_id GROUP BY tau.clip_id, b, w),
+pw0 AS (SELECT tau.clip_id, b, any_value(span) AS span, count(*) AS n, sum(y * cos(w * (t - tau))) AS cy, sum(pow(cos(w * (t - tau)), 2)) AS cc, sum(y * sin(w * (t - tau))) AS sy, sum(pow(sin(w * (t - tau)), 2)) AS ss, sum(y * y) AS yy FROM tau JOIN y ON tau.clip_id = y.clip_id GROUP BY tau.clip_id, b),
+pw AS (SELECT clip_id, b, b / span AS f, (CASE WHEN cc > 1e-9 * n THEN pow(cy, 2) / cc ELSE 0 END + CASE WHEN ss > 1e-9 * n THEN pow(sy, 2) / ss ELSE 0 END) / yy AS p FROM pw0),
 rk AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY p DESC, b) AS r FROM pw),
-pk AS (SELECT clip_id, max(p) FILTER (r = 1) AS peak, max(w) FILTER (r = 1) / (2 * pi()) AS hz, median(p) FILTER (r > 1) AS rest FROM rk GROUP BY 1),
+pk AS (SELECT clip_id, max(p) FILTER (r = 1) AS peak, max(f) FILTER (r = 1) AS hz, median(p) FILTER (r > 1) AS rest FROM rk GROUP BY 1),
 q AS (SELECT h.clip_id, early, bins, peak / rest AS ratio, -ln(1 - pow(0.95, 1.0 / bins)) / ln(2) AS floor, hz FROM h LEFT JOIN pk USING (clip_id)),
 spectrum AS (SELECT clip_id, CASE WHEN early IS NULL THEN CAST(bins AS INTEGER) END AS n_bins, CASE WHEN early IS NULL AND ratio >= floor AND hz < 2 THEN hz END AS hz, CASE WHEN early IS NULL THEN ratio END AS ratio, CASE WHEN early IS NULL THEN floor END AS floor,
   CASE WHEN early IS NOT NULL THEN early WHEN bins < 2 OR ratio < floor THEN 'no_peak' WHEN hz >= 2 THEN 'aliased' ELSE 'ok' END AS status FROM q)
@@ -246,11 +245,8 @@ spectrum AS (SELECT clip_id, CASE WHEN early IS NULL THEN CAST(bins AS INTEGER)
 
 
 def spectral_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Instants trimmed so that the top bin never falls on the Nyquist rate, where the last digits decide."""
-    c = clips(spark, d)
-    rows = samples(spark, d).select("clip_id", "i", "v").join(c.select("clip_id", (F.col("n") - F.col("n") % 2).alias("keep")), "clip_id").filter("i < keep")
-    edge = (F.col("i") == 0) | (F.col("i") == F.col("keep") - 1)
-    return spectral.spectral_frequency(rows.withColumn("v", F.when(edge, F.coalesce("v", F.lit(False))).otherwise(F.col("v"))), c)
+    """All instants; where the top bin falls on the Nyquist rate its sine has no power, there as here."""
+    return spectral.spectral_frequency(samples(spark, d).select("clip_id", "i", "v"), clips(spark, d))
 
 
 @query("r10_spectral_frequency", sql(SPECTRAL + "SELECT clip_id, n_bins, round(hz, 6) AS hz, round(ratio, 4) AS peak_power_ratio, round(floor, 6) AS resolvability_floor, status, status = 'ok' AS resolvable FROM spectrum"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import columns as C
 from ..operators import bouts, contracts, exposure, gain, gates, geometry, probe, release, speed, textgates
+from ..sources import stores, tar_shards
 from .catalog import AGREE, DUTY, QUERIES, SCORE, SETTLED, SPEED, query, r6, rate_pairs
 from .fixtures import clips, observations, samples, sql, table
 
@@ -288,3 +290,60 @@ def e2b(spark: SparkSession, d: str) -> DataFrame:
 @query("x_observation_means", sql("SELECT factory_id, count(*) AS n, round(avg(hal), 6) AS hal FROM observations GROUP BY 1"))
 def xo(spark: SparkSession, d: str) -> DataFrame:
     return observations(spark, d).groupBy("factory_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hal"), 6).alias("hal"))
+
+
+# --- sources ----------------------------------------------------------------------------------------------------------
+
+
+@query("s2_clip_records", sql("""m AS (SELECT *, k % 7 != 0 AS side, k % 11 != 0 AS media, k % 13 = 0 AS big FROM clips)
+SELECT factory_id, worker_id, clip_index, factory_id || '/' || worker_id || '.tar' AS shard, k * 4096 AS byte_start, k * 4096 + 100 + k % 900 AS byte_end, duration_s, fps, 1920 AS width, 1080 AS height, 'h265' AS codec FROM m WHERE side AND media AND NOT big"""))
+def s2(spark: SparkSession, d: str) -> DataFrame:
+    return tar_shards.clip_records(members(spark, d))[0]
+
+
+@query("s2_left_out", sql("""m AS (SELECT *, factory_id || '/' || worker_id || '.tar' AS shard, k % 7 != 0 AS side, k % 11 != 0 AS media, k % 13 = 0 AS big FROM clips WHERE k % 7 != 0 OR k % 11 != 0)
+SELECT shard, count(*) FILTER (NOT side) AS orphan_media, count(*) FILTER (NOT media) AS orphan_sidecars, count(*) FILTER (side AND big) AS oversized FROM m GROUP BY 1"""))
+def s2_left(spark: SparkSession, d: str) -> DataFrame:
+    return tar_shards.clip_records(members(spark, d))[1].drop("error")
+
+
+def members(spark: SparkSession, d: str) -> DataFrame:
+    """Clips as members of their workers' shards: a sidecar and its media, some without the one or the other, some sidecars too large."""
+    c = clips(spark, d)
+    k, shard, stem = F.col("k"), F.concat_ws("/", "factory_id", F.concat("worker_id", F.lit(".tar"))), F.format_string("v%06d", "k")
+    content = F.to_json(F.struct("factory_id", "worker_id", F.col("clip_index").alias("video_index"), F.col("duration_s").alias("duration_sec"), "fps", F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit("h265").alias("codec")))
+    none = F.lit(None).cast("string")
+    side = c.filter("k % 7 != 0").select(shard.alias("shard"), F.concat(stem, F.lit(".json")).alias("name"), (k * 4096 - 512).alias("offset"), F.when(k % 13 == 0, 20_000).otherwise(F.length(content)).cast("long").alias("size"), F.when(k % 13 != 0, content).alias("content"), none.alias("error"))
+    media = c.filter("k % 11 != 0").select(shard.alias("shard"), F.concat(stem, F.lit(".mp4")).alias("name"), (k * 4096).alias("offset"), (100 + k % 900).cast("long").alias("size"), none.alias("content"), none.alias("error"))
+    return side.unionByName(media)
+
+
+@query("s6_factory_ids", sql("SELECT DISTINCT factory_id FROM clips"))
+def s6(spark: SparkSession, d: str) -> DataFrame:
+    return tar_shards.factory_ids(clips(spark, d).select(F.concat_ws("/", "factory_id", F.concat("worker_id", F.lit(".tar"))).alias("path")))
+
+
+@query("s10_detection_store", sql("SELECT clip_id, t_s, CASE WHEN width IS NULL THEN 0 ELSE 1 END AS n_boxes, width AS box_width, CASE WHEN i % 50 = 7 THEN 'decode failed' END AS failed_reason FROM samples"))
+def s10(spark: SparkSession, d: str) -> DataFrame:
+    box = F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.col("width").cast("double").alias("width"), F.lit(80.0).alias("height"), F.lit(0.9).alias("score"))
+    rows = samples(spark, d).select("clip_id", "t_s", F.lit(K.MASK_SOURCES[0]).alias("mask_source"), F.when(F.col("width").isNull(), F.array().cast("array<struct<x:double,y:double,width:double,height:double,score:double>>")).otherwise(F.array(box)).alias("boxes"), F.when(F.col("i") % 50 == 7, F.lit("decode failed")).alias("failed_reason"))
+    stores.write_jsonl(rows, path := stores.scratch_folder(spark))
+    return stores.read_detections(spark, path).select("clip_id", "t_s", F.size("boxes").alias("n_boxes"), F.try_element_at("boxes", F.lit(1)).getField("width").alias("box_width"), "failed_reason")
+
+
+@query("s11_label_store", sql("SELECT clip_id, t_s, v AS manipulation, CAST(hands AS INTEGER) AS hands_visible, CASE WHEN v IS NULL THEN 'unreadable' END AS unreadable_reason, 4.0 AS fps_sampled FROM samples"))
+def s11(spark: SparkSession, d: str) -> DataFrame:
+    rows = samples(spark, d).select("clip_id", "t_s", F.lit("r1").alias("corpus_rev"), F.lit(4.0).alias("fps_sampled"), F.lit("model").alias("label_source"), F.lit("v1").alias("label_rev"), F.lit("plain").alias("prompt_variant"), F.col("v").alias("manipulation"), F.col("hands").alias("hands_visible"), F.when(F.col("v").isNull(), F.lit("unreadable")).alias("unreadable_reason"))
+    stores.write_jsonl(rows, path := stores.scratch_folder(spark))
+    return stores.read_labels(spark, path).select("clip_id", "t_s", "manipulation", "hands_visible", "unreadable_reason", "fps_sampled")
+
+
+@query("s12_manifest", sql("SELECT clip_id, factory_id, worker_id, clip_index, 'r1' AS corpus_rev, duration_s, fps FROM clips WHERE k % 7 != 0 AND k % 11 != 0 AND k % 13 != 0"))
+def s12(spark: SparkSession, d: str) -> DataFrame:
+    stores.write_jsonl(tar_shards.clip_records(members(spark, d))[0], path := stores.scratch_folder(spark))
+    return tar_shards.clip_refs(stores.read_jsonl(spark, path, stores.MANIFEST), "r1").select("clip_id", "factory_id", "worker_id", "clip_index", "corpus_rev", "duration_s", "fps")
+
+
+@query("s3_clip_refs", sql("SELECT clip_id, corpus_rev FROM (SELECT clip_id, 'r1' AS corpus_rev FROM clips)"))
+def s3_refs(spark: SparkSession, d: str) -> DataFrame:
+    return tar_shards.clip_refs(clips(spark, d).drop("clip_id"), "r1").select("clip_id", "corpus_rev")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +51,13 @@ def write_jsonl(df: DataFrame, path: str, by: str | None = None) -> None:
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Result documents (claim, status) of a folder, a file each."""
     return spark.read.schema("claim string, status string, lo double, hi double").option("multiLine", True).json(path).select(F.col("claim").alias("claim_id"), "status", "lo", "hi")
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, which all executors share; where that is unset, a local one on a local master only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="motilis-")
+    return f"{root.rstrip('/')}/motilis-{uuid.uuid4().hex[:12]}"

@@ -30,12 +30,33 @@ def padded(size: int) -> int:
     return -(-size // HEADER) * HEADER
 
 
+def _text(field: bytes) -> str:
+    return field.split(b"\0", 1)[0].decode("utf-8", "replace")
+
+
+def _pax_path(data: bytes) -> str | None:
+    """The path record of an extended header: records are "length key=value" and a line end."""
+    path = None
+    while data:
+        length, _, rest = data.partition(b" ")
+        if not length.isdigit() or not 0 < int(length) <= len(data):
+            break
+        key, _, value = rest[: int(length) - len(length) - 2].partition(b"=")
+        if key == b"path":
+            path = value.decode("utf-8", "replace")
+        data = data[int(length) :]
+    return path
+
+
 def walk_members(read, total: int | None = None) -> Iterator[tuple[str, int, int]]:
-    """(name, offset of the payload, size) of each member. read(offset, length) returns bytes; a header of zeros ends the archive."""
-    at = 0
+    """(name, offset of the payload, size) of each regular file. read(offset, length) returns bytes; a header of zeros ends the archive.
+
+    Names are those of the ustar header, its prefix before its name, or of the long-name (GNU) or extended (pax) entry in front
+    of it. Directories, links and other kinds are passed over."""
+    at, longer = 0, None
     while total is None or at < total:
         head = read(at, HEADER)
-        if not head or not head[:100].strip(b"\0"):
+        if not head or head[:1] == b"\0":
             return
         if len(head) < HEADER:
             raise ShardReadError(f"short header at {at}")
@@ -44,8 +65,18 @@ def walk_members(read, total: int | None = None) -> Iterator[tuple[str, int, int
             size = int(field or b"0", 8)
         except ValueError:
             raise ShardReadError(f"bad size at {at}: {field!r}") from None
-        yield head[:100].rstrip(b"\0").decode("utf-8", "replace"), at + HEADER, size
-        at += HEADER + padded(size)
+        kind, start = head[156:157], at + HEADER
+        if kind == b"L":
+            longer = _text(read(start, size))
+        elif kind == b"x":
+            longer = _pax_path(read(start, size)) or longer
+        else:
+            folder = _text(head[345:500]) if head[257:262] == b"ustar" and head[262:264] != b"  " else ""
+            name = longer or "/".join(x for x in (folder, _text(head[:100])) if x)
+            longer = None
+            if kind in (b"0", b"\0", b"7") and name:
+                yield name, start, size
+        at = start + padded(size)
 
 
 class BlockCache:
@@ -82,19 +113,82 @@ def with_retries(f, attempts: int = 4, base_s: float = 0.5, sleep=None):
             (sleep or time.sleep)(base_s * 2**k)
 
 
+class HttpRanges:
+    """read(offset, length) of an object behind a signed URL, in blocks that are kept.
+
+    resolve() gives the URL; a refused one (401, 403) is resolved anew, busy servers are asked again after a pause that doubles,
+    and a range past the end of the object (416) is empty."""
+
+    BUSY = frozenset({429, 500, 502, 503, 504})
+
+    def __init__(self, resolve, block: int = 8192, attempts: int = 4, keep: int = 64, open_url=None, sleep=None) -> None:
+        import time
+        from urllib.request import urlopen
+
+        self.resolve, self.block, self.attempts, self.keep = resolve, block, attempts, keep
+        self.open_url, self.sleep = open_url or (lambda request: urlopen(request, timeout=60)), sleep or time.sleep
+        self.url: str | None = None
+        self.blocks: dict[int, bytes] = {}
+        self.requests = self.fetched = 0
+
+    def _fetch(self, first: int) -> bytes:
+        from urllib.error import HTTPError
+        from urllib.request import Request
+
+        for k in range(self.attempts):
+            try:
+                self.url = self.url or self.resolve()
+                with self.open_url(Request(self.url, headers={"Range": f"bytes={first}-{first + self.block - 1}"})) as answer:
+                    data = answer.read()
+                self.requests, self.fetched = self.requests + 1, self.fetched + len(data)
+                return data
+            except HTTPError as e:
+                if e.code == 416:
+                    return b""
+                if e.code in (401, 403):
+                    self.url = None
+                elif e.code not in self.BUSY:
+                    raise
+            except OSError:
+                pass
+            self.sleep(2.0**k)
+        raise ShardReadError(f"bytes from {first} on could not be read in {self.attempts} attempts")
+
+    def __call__(self, offset: int, length: int) -> bytes:
+        out, at = b"", offset
+        while at < offset + length:
+            first = at - at % self.block
+            if first not in self.blocks:
+                while len(self.blocks) >= self.keep:
+                    self.blocks.pop(next(iter(self.blocks)))
+                self.blocks[first] = self._fetch(first)
+            part = self.blocks[first][at - first : offset + length - first]
+            if not part:
+                break
+            out, at = out + part, at + len(part)
+        return out
+
+
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def _members(uri: str, read, total: int | None) -> Iterator[tuple]:
+    for name, offset, size in walk_members(read, total):
+        small = name.endswith(".json") and size <= SIDECAR_MAX
+        yield uri, name, offset, size, read(offset, size).decode("utf-8", "replace") if small else None, None
+
+
 def scan_shard(uri: str) -> Iterator[tuple]:
-    """Rows of SCHEMA for one shard."""
+    """Rows of SCHEMA for one shard, a path, a URI of a file system, or an http address."""
     try:
+        if uri.startswith(("http://", "https://")):
+            yield from _members(uri, HttpRanges(lambda: uri), None)
+            return
         where, path = opened(uri)
         with with_retries(lambda: where.open_input_file(path)) as file:
             read = BlockCache(file)
-            for name, offset, size in walk_members(read, read.size):
-                small = name.endswith(".json") and size <= SIDECAR_MAX
-                yield uri, name, offset, size, read(offset, size).decode("utf-8", "replace") if small else None, None
+            yield from _members(uri, lambda a, n: with_retries(lambda: read(a, n)), read.size)
     except (OSError, ValueError) as e:
         yield uri, None, None, None, None, str(e)[:200]
 

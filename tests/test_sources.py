@@ -46,6 +46,64 @@ def test_members_agree_with_tarfile(spark, shards):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", [tarfile.USTAR_FORMAT, tarfile.GNU_FORMAT, tarfile.PAX_FORMAT])
+def test_long_names_and_other_kinds_agree_with_tarfile(tmp_path, kind):
+    path = tmp_path / "long.tar"
+    names = ["short.json", "d" * 60 + "/" + "e" * 60 + "/clip.mp4", "f" * 99, "a/b.mp4"] + ([] if kind == tarfile.USTAR_FORMAT else ["g" * 180 + "/h.mp4", "ü" * 120])
+    with tarfile.open(path, "w", format=kind) as t:
+        for folder in ("plain", "p" * 90 + "/" + "q" * 40):
+            info = tarfile.TarInfo(folder)
+            info.type = tarfile.DIRTYPE
+            t.addfile(info)
+        for i, n in enumerate(names):
+            info = tarfile.TarInfo(n)
+            info.size = 700 * i
+            t.addfile(info, io.BytesIO(b"x" * info.size))
+        link = tarfile.TarInfo("link")
+        link.type, link.linkname = tarfile.SYMTYPE, "short.json"
+        t.addfile(link)
+    data = path.read_bytes()
+    with tarfile.open(path) as t:
+        want = [(m.name, m.offset_data, m.size) for m in t.getmembers() if m.isfile()]
+    assert list(tar_shards.walk_members(lambda a, n: data[a : a + n], len(data))) == want and len(want) == len(names)
+
+
+class Served:
+    """An object behind a URL that expires, a server that is busy at times, and ranges past the end."""
+
+    def __init__(self, data, busy=(), lasts=10**9):
+        self.data, self.busy, self.lasts, self.asked, self.issued, self.slept = data, set(busy), lasts, 0, 0, []
+
+    def resolve(self):
+        self.issued += 1
+        return f"http://x/{self.issued}"
+
+    def __call__(self, request):
+        from urllib.error import HTTPError
+
+        self.asked += 1
+        fail = lambda code: HTTPError(request.full_url, code, "no", {}, None)
+        if self.asked in self.busy:
+            raise fail(503)
+        if int(request.full_url.rsplit("/", 1)[1]) < self.issued or self.asked % self.lasts == 0:
+            raise fail(403)
+        a, b = map(int, request.headers["Range"].removeprefix("bytes=").split("-"))
+        if a >= len(self.data):
+            raise fail(416)
+        return io.BytesIO(self.data[a : b + 1])
+
+
+def test_ranges_over_http():
+    data = bytes(range(256)) * 100
+    served = Served(data, busy=(2, 3), lasts=5)
+    read = tar_shards.HttpRanges(served.resolve, block=1000, open_url=served, sleep=served.slept.append)
+    assert read(0, 10) == data[:10] and read(995, 4000) == data[995:4995] and read(25_590, 100) == data[25_590:] and read(30_000, 5) == b""
+    assert served.issued == 1 + served.asked // 5 and served.slept and read.fetched <= 8000
+    assert read(3, 900) == data[3:903] and read.requests <= 8
+    with pytest.raises(tar_shards.ShardReadError, match="4 attempts"):
+        tar_shards.HttpRanges(served.resolve, open_url=Served(data, busy=range(99)), sleep=lambda s: None)(0, 1)
+
+
 def test_records_count_what_they_leave_out(spark, shards):
     clips, left = tar_shards.clip_records(tar_shards.read_members(spark, str(shards)))
     assert sorted((r.clip_index, r.byte_end - r.byte_start) for r in clips.collect()) == [(1, 700), (5, 2000)]
