@@ -24,13 +24,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir, which all executors share; where it is unset, a temporary one on a local master, whose executors are this machine's own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="motilis-")
-        if not held.isDefined():
+        if held.isDefined():
+            root = held.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            root = tempfile.mkdtemp(prefix="motilis-")
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
