@@ -52,6 +52,13 @@ def test_mix_meets_targets(spark, block):
         by[r.source][0] += r.taken
         by[r.source][1] = r.target
     assert all(abs(t - want) <= 60 for t, want in by.values())
+    for name in "abc":  # documents are balanced along with words: as many copies as the source's rate asks for, worked out by hand
+        own = [len(t.split()) for _, t, s in rows if s == name]
+        copies = sum(r.copies for r in out if r.source == name)
+        assert abs(copies - by[name][1] / sum(own) * len(own)) <= 3
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    assert [by[s][1] for s in "abc"] == pytest.approx(mixing.targets(list(sizes.values()), [5, 2, 1], 1.5 * sum(sizes.values())))
+    assert {r.doc_id: r.size for r in out} == {i: len(t.split()) for i, t, _ in rows} and all(r.source_size == sizes[r.source] for r in out)
     assert sorted(out) == sorted(mixing.mix_decisions(df.repartition(5), block=block).collect())
     assert mixing.mix(df, block=block).count() == sum(r.copies for r in out)
 
