@@ -51,13 +51,17 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows up to which a table that was counted is broadcast to meet the texts; beyond it both sides are shuffled.
-MOST_BROADCAST = 500_000
+#: Bytes up to which a written table is broadcast to meet the texts; beyond it both sides are shuffled.
+BROADCAST_BYTES = 8 << 20
 
 
-def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A written table of narrow rows, marked for broadcast if it has no more than `most` of them."""
-    return F.broadcast(df) if df.count() <= most else df
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if its rows take no more than `most` bytes, strings and binaries at their measured lengths."""
+    row = F.lit(16 + 8 * len(df.columns))
+    for f in df.schema:
+        if f.dataType.typeName() in ("string", "binary"):
+            row = row + F.coalesce(F.octet_length(f.name), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= most else df
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

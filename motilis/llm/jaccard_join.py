@@ -40,8 +40,6 @@ TOLERANCE = 1e-6
 #: Representatives in a block of a bucket, and of a component.
 BUCKET_BLOCK = 1024
 BLOCK = 512
-#: Component members up to which their table is broadcast to meet the texts; beyond it both are shuffled.
-MOST_BROADCAST = 200_000
 
 _rng = np.random.default_rng(5)
 _A = (_rng.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -273,7 +271,7 @@ def verified(docs: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
     size = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     members = cut(comps.join(size, "comp").join(reps.select("cid", "rep", "rep_key", "copies"), "cid"), "members")
     docs = docs.withColumn("text_key", text_key(F.col("text")))
-    met = docs.join(sized(members, MOST_BROADCAST), docs.doc_id.eqNullSafe(F.col("rep")) & (docs.text_key == F.col("rep_key")))
+    met = docs.join(sized(members), docs.doc_id.eqNullSafe(F.col("rep")) & (docs.text_key == F.col("rep_key")))
     # rows that repeat doc_id and text are one from here on, before anything is dealt out
     met = met.groupBy("cid").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in ("comp", "size", "copies")))
     met = in_block_pairs(met, "comp", "size", BLOCK)

@@ -205,3 +205,19 @@ def test_queue_spills_and_keeps_the_order(tmp_path):
     while (chunk := q.pop(3)) is not None:
         got += chunk[0].tolist()
     assert q.spilled > 5 and got == want and not list(tmp_path.iterdir())
+
+
+def test_tables_are_broadcast_by_their_bytes(spark):
+    from motilis.llm.common import sized
+
+    rows = spark.createDataFrame([(i, "é" * 10) for i in range(100)], "a long, b string")  # 100 rows of 32 bytes and 20 of text
+    marked = lambda most: "hint" in sized(rows, most)._jdf.queryExecution().logical().toString().lower()
+    assert marked(5200) and not marked(5199)
+
+
+def test_rows_that_stay_do_not_depend_on_the_join(odd, monkeypatch):
+    drops = (exact_dedup.dedup, jaccard_join.drop_near_copies)
+    before = [rows_of(f(odd)) for f in drops]
+    for module in (exact_dedup, jaccard_join):
+        monkeypatch.setattr(module, "sized", lambda df: df)
+    assert [rows_of(f(odd)) for f in drops] == before
