@@ -87,7 +87,7 @@ def s_types(text: np.ndarray) -> np.ndarray:
     n = len(text)
     differs = np.flatnonzero(text[1:] != text[:-1])
     up = np.concatenate([text[differs] < text[differs + 1], [True]])
-    return up[np.searchsorted(differs, np.arange(n))]
+    return np.repeat(up, np.diff(np.concatenate([[-1], differs, [n - 1]])))
 
 
 def range_min(values: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
