@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, maxent_lm, mixing, quality, suffix_dedup, token_files, tool_calls
+from . import bpe, exact_dedup, fill_middle, fingerprints, jaccard_join, maxent_lm, mixing, quality, suffix_dedup, token_files, tool_calls
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_maxent_lm": maxent_lm.op8_maxent_lm,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_imatch": fingerprints.op10_imatch,
+        "op11_fill_middle": fill_middle.op11_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL}
+    return {"op5_exact_dedup": exact_dedup.SQL, "op11_fill_middle": fill_middle.SQL}
