@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fill_middle, fingerprints, jaccard_join, maxent_lm, mixing, quality, suffix_dedup, token_files, tool_calls
+from . import bpe, exact_dedup, fill_middle, fingerprints, html_text, jaccard_join, maxent_lm, mixing, quality, suffix_dedup, token_files, tool_calls
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_imatch": fingerprints.op10_imatch,
         "op11_fill_middle": fill_middle.op11_fill_middle,
+        "op12_html_text": html_text.op12_html_text,
     }
 
 
