@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fill_middle, fingerprints, html_text, jaccard_join, maxent_lm, mixing, quality, suffix_dedup, token_files, tool_calls
+from . import bpe, exact_dedup, fill_middle, fingerprints, html_text, importance, jaccard_join, maxent_lm, mixing, quality, suffix_dedup, token_files, tool_calls
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_imatch": fingerprints.op10_imatch,
         "op11_fill_middle": fill_middle.op11_fill_middle,
         "op12_html_text": html_text.op12_html_text,
+        "op13_resample": importance.op13_resample,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL, "op11_fill_middle": fill_middle.SQL}
+    return {"op5_exact_dedup": exact_dedup.SQL, "op11_fill_middle": fill_middle.SQL, "op13_resample": importance.SQL}

@@ -43,5 +43,5 @@ def test_run_gives_the_last_stage(spark, sf, stages):
 
 def test_all_queries_are_registered():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op")} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(entry.queries())
