@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import columns as C
 from ..operators import bouts, contracts, estimation, exposure, gates, plan, signals, spectral, speed
+from ..sources import scans
 
 from .fixtures import clips, observations, samples, sql, table
 
@@ -543,7 +544,7 @@ def j6(spark: SparkSession, d: str) -> DataFrame:
 @query("s16_resume_shards", "SELECT DISTINCT s_nationkey AS shard FROM supplier WHERE s_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 9 = 0)")
 def s16(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("shard"), "s_suppkey")
-    return s.select("shard").distinct().join(s.filter("s_suppkey % 9 = 0").select("shard").distinct(), "shard", "left_anti")
+    return scans.pending(s.select("shard"), s.filter("s_suppkey % 9 = 0"), "shard")
 
 
 @query("s3_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motilis.operators import signals
-from motilis.sources import frames, stores, tar_shards
+from motilis.sources import frames, ranges, stores, tar_shards
 from motilis.streaming import labels
 
 
@@ -96,12 +96,37 @@ class Served:
 def test_ranges_over_http():
     data = bytes(range(256)) * 100
     served = Served(data, busy=(2, 3), lasts=5)
-    read = tar_shards.HttpRanges(served.resolve, block=1000, open_url=served, sleep=served.slept.append)
+    read = ranges.Blocks(ranges.SignedRanges(served.resolve, open_url=served, sleep=served.slept.append), block=1000)
     assert read(0, 10) == data[:10] and read(995, 4000) == data[995:4995] and read(25_590, 100) == data[25_590:] and read(30_000, 5) == b""
     assert served.issued == 1 + served.asked // 5 and served.slept and read.fetched <= 8000
     assert read(3, 900) == data[3:903] and read.requests <= 8
-    with pytest.raises(tar_shards.ShardReadError, match="4 attempts"):
-        tar_shards.HttpRanges(served.resolve, open_url=Served(data, busy=range(99)), sleep=lambda s: None)(0, 1)
+    with pytest.raises(ranges.ShardReadError, match="4 attempts"):
+        ranges.SignedRanges(served.resolve, open_url=Served(data, busy=range(99)), sleep=lambda s: None)(0, 1)
+
+
+@pytest.mark.parametrize("block", [1, 7, 512, 10_000])
+def test_blocks_are_one_object(block):
+    data = bytes(range(256)) * 9
+    read = ranges.Blocks(lambda a, n: data[a : a + n], block=block, keep=3)
+    for a, n in [(0, 0), (0, 1), (5, 600), (511, 2), (2300, 10), (2300, 4), (2304, 5), (9000, 1), (0, 9999)]:
+        assert read(a, n) == data[a : a + n]
+
+
+def test_sizes_beyond_eight_gigabytes():
+    """Numbers of base 256 and pax sizes, by headers whose payload is passed over."""
+    big = (1 << 33) + 5
+    for kind in (tarfile.GNU_FORMAT, tarfile.PAX_FORMAT):
+        info = tarfile.TarInfo("big.mp4")
+        info.size = big
+        after = tarfile.TarInfo("after.json")
+        head = info.tobuf(kind)
+        at = len(head) + tar_shards.padded(big)
+        parts = {0: head, at: after.tobuf(kind) + bytes(1024)}
+
+        def read(a, n, parts=parts):
+            return next((p[a - k : a - k + n] for k, p in parts.items() if k <= a < k + len(p)), b"")
+
+        assert list(tar_shards.walk_members(read)) == [("big.mp4", len(head), big), ("after.json", at + 512, 0)]
 
 
 def test_records_count_what_they_leave_out(spark, shards):
@@ -124,9 +149,9 @@ def test_retries():
             raise OSError("again")
         return 7
 
-    assert tar_shards.with_retries(flaky, sleep=pauses.append) == 7 and pauses == [0.5, 1.0]
+    assert ranges.with_retries(flaky, sleep=pauses.append) == 7 and pauses == [0.5, 1.0]
     with pytest.raises(PermissionError):
-        tar_shards.with_retries(lambda: (_ for _ in ()).throw(PermissionError()), sleep=pauses.append)
+        ranges.with_retries(lambda: (_ for _ in ()).throw(PermissionError()), sleep=pauses.append)
 
 
 def label(t, **more):
