@@ -6,7 +6,7 @@ verified winners are broadcast and settle their rows without moving them. All ot
 shuffle, in which no group can hold more than about rows / tracked rows.
 
 Defined results: null text counts as empty; an empty table gives an empty result; a null doc_id comes after all others; of
-rows that repeat both doc_id and text exactly one is kept; other columns, whatever their names, play no part.
+rows that repeat both doc_id and text exactly one is kept; other columns, whatever their names, play no part in the decisions.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WS, cut, load, sized
+from .common import WS, cut, load
 
 HEAVY = 256
 TRACKED = 2048
@@ -27,10 +27,19 @@ def text_digest(text: Column) -> Column:
 
 def dedup_decisions(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest")).withColumn("rid", F.monotonically_increasing_id()),
-        "digests",
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("rid"))
+    return _decided(rows, heavy, tracked).select(
+        "doc_id",
+        F.col("first.doc_id").alias("keep_id"),
+        "group_size",
+        (F.col("rid") == F.col("first.rid")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def _decided(rows: DataFrame, heavy: int, tracked: int) -> DataFrame:
+    """rows (doc_id, digest, rid and what else they carry) with group_size and first, the doc_id and rid of the first row of their digest."""
+    rows = cut(rows, "digests")
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rid")
     names = rows.agg(F.expr(f"approx_top_k(hex(digest), {heavy}, {tracked})").alias("top"))
     names = names.select(F.explode("top").alias("t")).select(F.unhex("t.item").alias("digest"))
@@ -41,27 +50,26 @@ def dedup_decisions(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED)
     w = Window.partitionBy("digest")
     rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     rest = rest.withColumn("group_size", F.count(F.lit(1)).over(w)).withColumn("first", F.min(order).over(w))
-    return settled.unionByName(rest).select(
-        "doc_id",
-        F.col("first.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("rid") == F.col("first.rid")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    return settled.unionByName(rest)
 
 
 def dedup(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    out = dedup_decisions(docs, heavy, tracked)
-    out = cut(out.select("doc_id", F.unhex("text_sha256").alias("digest"), "kept"), "decisions")
-    gone = out.filter("not kept").select("doc_id", "digest")
-    again = out.groupBy("doc_id", "digest").agg(F.max("kept").alias("k"), F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
-    left = docs.withColumn("__digest", text_digest(F.col("text")))
-    if again:  # rows that repeat a doc_id and its text: one of them stays
-        left = left.dropDuplicates(["doc_id", "__digest"])
-        gone = out.groupBy("doc_id", "digest").agg(F.max("kept").alias("k")).filter("not k").select("doc_id", "digest")
-    gone = sized(cut(gone.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__gone")), "gone"))
-    return left.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")), "left_anti").drop("__digest")
+    """The rows of docs that stay, with all their columns. Of rows that share the smallest doc_id of their group, the one with the smallest hash of all its columns stays.
+
+    Rows meet their decisions by doc_id and that hash in a plain join, at every size alike; rows equal in both are equal in all
+    columns, so which of them stays makes no difference."""
+    # the hash's place in the order is that of a row's number: rows of one hash are interchangeable
+    mark = F.xxhash64(*docs.columns) if docs.columns else F.lit(0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), mark.alias("rid"))
+    decided = _decided(rows, heavy, tracked).groupBy(F.col("doc_id").alias("__id"), F.col("rid").alias("__mark")).agg(F.min((F.col("rid") == F.col("first.rid")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).alias("__kept"), F.count(F.lit(1)).alias("__n"))
+    decided = cut(decided.filter("not __kept or __n > 1"), "decided")  # other rows simply stay
+    repeated = decided.agg(F.max(F.col("__kept"))).first()[0]
+    met = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__here") == F.col("__mark"))
+    left = docs.withColumn("__here", mark).join(decided.select("__id", "__mark"), met, "left_anti").drop("__here")
+    if repeated:  # one of each set of equal rows that stay
+        again = docs.withColumn("__here", mark).join(decided.filter("__kept").select("__id", "__mark"), met, "left_semi")
+        left = left.unionByName(again.dropDuplicates(["doc_id", "__here"]).drop("__here"))
+    return left
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
