@@ -7,7 +7,8 @@ that fly apart from each other; each block leaves at most two undecided document
 blocks of the next level. Once a source has few left, one last flight leaves at most `LANDING` documents, and landing rounds
 those to whichever ends keep the words nearest their total.
 
-Draws are seeded by source, level and block, and documents are ordered by a hash of doc_id, so reruns agree.
+Draws are seeded by source, level and block, and documents are dealt out and ordered by a hash of doc_id, text and, among rows
+that repeat these, a number of their own; so reruns agree, and no doc_id that many rows share, null included, fills a block.
 
 Defined results: null text has size 0; a null source is a source of its own, after all others; documents of size 0 take no
 words; an empty table gives an empty result; rows that repeat a doc_id are mixed as rows of their own; other columns play no
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, load, sized
+from .common import WORD, cut, load
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words to take in all, as a share of all words, and at most from a source, as a multiple of its words.
@@ -120,14 +121,17 @@ def mix_decisions(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     """One row per row of docs: doc_id, size, source_size, target, taken, copies, source."""
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("t"))
+    # rows alike in all of these are counted, and told apart by a number of their own, so that no hash is that of many rows
+    rows = rows.groupBy("doc_id", "source", "size", "t").agg(F.count(F.lit(1)).alias("n"))
+    rows = cut(rows.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n"), "sizes")
     found = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).collect()
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r.source_size for r in found]
     want = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share * sum(sizes), most)
     table = [(r.source, r.source_size, t, float(t / r.source_size) if r.source_size else 0.0, -(-r.n // block)) for r, t in zip(found, want)]
     plan = spark.createDataFrame(table, "source string, source_size long, target double, rate double, blocks long")
-    h = F.xxhash64(F.lit(seed), "doc_id")
+    h = F.xxhash64(F.lit(seed), "doc_id", "t", "again")
     rows = rows.join(F.broadcast(plan).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("base", F.floor(F.col("rate") + EPS)).withColumn("h", h)
     rows = rows.withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("base"))).withColumn("block", F.pmod(F.shiftright("h", 7), F.col("blocks")))
@@ -162,7 +166,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
         key = [*key, "__n"]
         left = left.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy("text")))
     right = cut(taken.filter("copies > 0").select(*(F.col(c).alias(f"{c}_r") for c in key), F.col("copies").alias("__copies")), "chosen")
-    both = left.join(sized(right), [F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in key])
+    both = left.join(right, [F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in key])
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 

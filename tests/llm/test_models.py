@@ -72,10 +72,34 @@ def test_mix_of_odd_rows(odd, odd_wide, none):
     assert mixed.columns == odd_wide.columns and mixed.count() == sum(r.copies for r in out.collect())
 
 
-def test_mix_beyond_the_broadcast(spark, odd, monkeypatch):
+def test_documents_of_one_id_are_spread_over_blocks(spark, monkeypatch):
+    fly = mixing._fly
+    rows = [(None if i % 3 else 7, "same words again" if i % 2 else " ".join(["w"] * (i % 90)) + f" x{i}", "a") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+    def watched(level, land, seed):
+        run = fly(level, land, seed)
+
+        def told(pdf):
+            assert level or len(pdf) < 400
+            return run(pdf)
+
+        return told
+
+    monkeypatch.setattr(mixing, "_fly", watched)
+    out = mixing.mix_decisions(df, block=256, share=1.5).collect()
+    assert len(out) == 4000 and abs(sum(r.taken for r in out) - out[0].target) < 100
+    assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, mixing.mix_decisions(df.repartition(7), block=256).collect()), key=repr)
+
+
+def test_mix_does_not_depend_on_the_join(spark, odd):
     want = rows_of(mixing.mix(odd).select("doc_id", "source"))
-    monkeypatch.setattr(mixing, "sized", lambda df: df)
-    assert rows_of(mixing.mix(odd).select("doc_id", "source")) == want
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert rows_of(mixing.mix(odd).select("doc_id", "source")) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
 def quality_rows(n=400):
