@@ -1,17 +1,18 @@
 """From clips to publishable rows: clusters, bootstrap, components, disclosure floor.
 
-Everything relational is aggregated in Spark. What reaches the bootstrap is one sum and count per cluster, a number of rows that
-follows the workforce and not the clips; the resampling itself is a seeded numpy kernel in one task.
+Everything relational is aggregated in Spark. What reaches the cluster bootstrap is one sum and count per cluster, a number of rows
+that follows the workforce and not the clips; replicates are dealt out over tasks (resampling.py), quantiles are exact at any
+size (ranks.py).
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .ranks import exact_quantiles
+from .resampling import cluster_replicates, value_replicates
 
 
 def composite_cluster(df: DataFrame) -> DataFrame:
@@ -23,57 +24,14 @@ def cluster_sums(observations: DataFrame) -> DataFrame:
     return composite_cluster(observations).groupBy("cluster").agg(F.sum("hal").alias("s"), F.count(F.lit(1)).alias("n"))
 
 
-def resampled_means(sums: np.ndarray, counts: np.ndarray, b: int, seed: int, most: int = 1 << 22) -> np.ndarray:
-    """Means of b resamples of clusters, drawn row by row in chunks from one stream."""
-    if len(sums) < 2:
-        raise ValueError("a cluster bootstrap needs two clusters")
-    rng, n, out, a = np.random.default_rng(seed), len(sums), np.empty(b), 0
-    step = max(1, most // n)
-    while a < b:
-        k = min(step, b - a)
-        at = rng.integers(0, n, (k, n))
-        out[a : a + k] = sums[at].sum(1) / counts[at].sum(1)
-        a += k
-    return out
-
-
 def cluster_bootstrap_means(observations: DataFrame, b: int = K.BOOTSTRAP_B, seed: int = K.BOOTSTRAP_SEED) -> DataFrame:
-    """replicate, mean: clusters in lexicographic order."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cluster")
-        return pd.DataFrame({"replicate": np.arange(b), "mean": resampled_means(rows.s.to_numpy(float), rows.n.to_numpy(float), b, seed)})
-
-    return cluster_sums(observations).groupBy().applyInPandas(run, "replicate long, mean double")
+    """replicate, mean: clusters in lexicographic order, drawn from one stream."""
+    return cluster_replicates(cluster_sums(observations), b, seed)
 
 
-def iid_bootstrap_means(observations: DataFrame, b: int = K.BOOTSTRAP_B, seed: int = K.BOOTSTRAP_SEED, per_task: int = 200_000, most_parts: int = 1000) -> DataFrame:
-    """replicate, mean, as if clips were independent: each replicate draws as many clips as there are, with replacement.
-
-    Clips are dealt out in parts of about `per_task`. How many of a replicate's draws fall to each part is a multinomial draw,
-    the same in every task, and the part draws that many of its clips; so the whole is drawn with replacement, whatever the
-    number of parts, and one part draws from the stream as clusters do."""
-    parts = min(most_parts, max(1, -(-observations.count() // per_task)))
-    # equal clips are dealt out as well, by their rank among equals
-    rank = F.row_number().over(Window.partitionBy("factory_id", "worker_id", "hal").orderBy("hal"))
-    place = F.pmod(F.xxhash64("factory_id", "worker_id", "hal", rank), F.lit(parts)) if parts > 1 else F.lit(0)
-    rows = observations.select("factory_id", "worker_id", "hal", place.cast("long").alias("part"))
-    sizes = {r.part: r.n for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each part
-    order = sorted(sizes)
-    total = sum(sizes.values())
-
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(["factory_id", "worker_id", "hal"]).hal.to_numpy(float)
-        if len(order) == 1:
-            s = resampled_means(x, np.ones(len(x)), b, seed) * total
-        else:
-            shares = np.array([sizes[k] for k in order]) / total
-            share, rng = np.random.default_rng(seed), np.random.default_rng([seed, int(key[0])])
-            s = np.array([x[rng.integers(0, len(x), share.multinomial(total, shares)[order.index(key[0])])].sum() for _ in range(b)])
-        return pd.DataFrame({"replicate": np.arange(b), "s": s})
-
-    drawn = rows.groupBy("part").applyInPandas(draw, "replicate long, s double")
-    return drawn.groupBy("replicate").agg((F.sum("s") / total).alias("mean"))
+def iid_bootstrap_means(observations: DataFrame, b: int = K.BOOTSTRAP_B, seed: int = K.BOOTSTRAP_SEED) -> DataFrame:
+    """replicate, mean, as if clips were independent: each replicate draws as many clips as there are, with replacement."""
+    return value_replicates(observations, "hal", b, seed)
 
 
 def interval(means: DataFrame) -> DataFrame:
@@ -82,10 +40,12 @@ def interval(means: DataFrame) -> DataFrame:
     return means.agg(p[0].alias("lo"), p[1].alias("hi"), F.count(F.lit(1)).alias("b"))
 
 
-def design_effect(clustered: DataFrame, iid: DataFrame) -> DataFrame:
-    a, b = clustered.select((F.col("hi") - F.col("lo")).alias("wc")), iid.select((F.col("hi") - F.col("lo")).alias("wi"))
-    ratio = F.try_divide("wc", "wi")
-    return a.crossJoin(b).select(F.when(F.col("wi") > 0, ratio * ratio).alias("variance_ratio"), F.when(F.col("wi") > 0, ratio).alias("width_ratio"))
+def design_effect(clustered: DataFrame, iid: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """variance_ratio and width_ratio of two intervals (lo, hi), one each or one for each value of `by`; null where the second has no width."""
+    by = by or []
+    a, b = clustered.select(*by, (F.col("hi") - F.col("lo")).alias("wc")), iid.select(*by, (F.col("hi") - F.col("lo")).alias("wi"))
+    ratio = F.when(F.col("wi") > 0, F.try_divide("wc", "wi"))
+    return (a.join(b, by) if by else a.crossJoin(b)).select(*by, (ratio * ratio).alias("variance_ratio"), ratio.alias("width_ratio"))
 
 
 def variance_components(observations: DataFrame) -> DataFrame:
@@ -117,8 +77,10 @@ def floor_check(observations: DataFrame, by: list[str] | None = None) -> DataFra
 
 
 def quantiles(observations: DataFrame, by: list[str] | None = None) -> DataFrame:
-    p = F.percentile("hal", F.array(*(F.lit(q / 100) for q in K.QUANTILES)))
-    return observations.groupBy(*(by or [])).agg(*(p[i].alias(f"p{q}") for i, q in enumerate(K.QUANTILES)))
+    """The published percentiles of hal, exact, in all or for each value of `by`."""
+    names = [f"p{q}" for q in K.QUANTILES]
+    found = exact_quantiles(observations, "hal", [q / 100 for q in K.QUANTILES], by)
+    return found.select(*(by or []), *(F.col(f"q{i}").alias(n) for i, n in enumerate(names)))
 
 
 def size_terciles(observations: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import exact_quantiles
+
 
 def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Features and targets of frames labelled ok, by id: frame_id, features, y. An empty set is an error."""
@@ -63,6 +65,8 @@ def beats_majority(scores: DataFrame) -> DataFrame:
 
 
 def detector_stats(frames: DataFrame, seconds: float, projected: int) -> DataFrame:
-    """frames_per_s, box coverage, width percentiles, hours for `projected` frames, and whether no box was found at all. frames: width (null without a box)."""
-    p = F.percentile("width", F.array(*(F.lit(q) for q in (0.1, 0.5, 0.9, 1.0))))
-    return frames.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / seconds).alias("frames_per_s"), F.try_divide(F.count("width"), F.count(F.lit(1))).alias("box_coverage"), *(p[i].alias(n) for i, n in enumerate(("p10", "p50", "p90", "p100"))), (projected / (F.count(F.lit(1)) / seconds) / 3600).alias("projected_hours"), (F.count("width") == 0).alias("no_box"))
+    """frames_per_s, box coverage, width percentiles (exact), hours for `projected` frames, and whether no box was found at all. frames: width (null without a box)."""
+    names = ("p10", "p50", "p90", "p100")
+    found = exact_quantiles(frames, "width", [0.1, 0.5, 0.9, 1.0]).select(*(F.col(f"q{i}").alias(n) for i, n in enumerate(names)))
+    totals = frames.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / seconds).alias("frames_per_s"), F.try_divide(F.count("width"), F.count(F.lit(1))).alias("box_coverage"), (projected / (F.count(F.lit(1)) / seconds) / 3600).alias("projected_hours"), (F.count("width") == 0).alias("no_box"))
+    return totals.crossJoin(found).select("n", "frames_per_s", "box_coverage", *names, "projected_hours", "no_box")  # a row each

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import columns as C
-from ..operators import bouts, contracts, estimation, exposure, gates, plan, signals, spectral, speed
+from ..operators import bouts, contracts, estimation, exposure, gates, plan, ranks, signals, spectral, speed
 from ..sources import scans
 
 from .fixtures import clips, observations, samples, sql, table
@@ -108,12 +108,13 @@ def j2(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("clip_id", "i", "failed_reason", C.largest_box(F.col("boxes"))["width"].alias("largest_width"), C.largest_box(C.scale_boxes(F.col("boxes"), F.lit(2.0), F.lit(2.0)))["width"].alias("scaled_width"))
 
 
-@query("f8_box_mask", "WITH p AS (SELECT unnest(range(40)) AS x), q AS (SELECT unnest(range(30)) AS y), b AS (SELECT 1 AS b, 2.5 AS bx, -3.0 AS by_, 7.2 AS bw, 9.9 AS bh UNION ALL SELECT 2, 30.0, 20.1, 50.0, 4.0) SELECT b, count(*) AS n, sum(x) AS sx, sum(y) AS sy FROM p, q, b WHERE x >= greatest(floor(bx), 0) AND x < least(ceil(bx + bw), 40) AND y >= greatest(floor(by_), 0) AND y < least(ceil(by_ + bh), 30) GROUP BY b")
+@query("f8_box_mask", sql("b AS (SELECT width AS w, i % 5 AS a, k % 3 AS c, count(*) AS instants FROM samples WHERE width IS NOT NULL GROUP BY 1, 2, 3), r AS (SELECT *, 9.5 * a - 3 AS bx, 11.25 * c - 2 AS by_, w / 10 AS bw, (w - 140) / 7 AS bh FROM b), p AS (SELECT unnest(range(40)) AS x), q AS (SELECT unnest(range(30)) AS y) SELECT w, a, c, instants, count(x) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy FROM r LEFT JOIN (p CROSS JOIN q) ON x >= greatest(floor(bx), 0) AND x < least(ceil(bx + bw), 40) AND y >= greatest(floor(by_), 0) AND y < least(ceil(by_ + bh), 30) GROUP BY 1, 2, 3, 4"))
 def f8(spark: SparkSession, d: str) -> DataFrame:
-    grid = spark.range(1200).select((F.col("id") % 40).alias("x"), F.floor(F.col("id") / 40).alias("y"))
-    box = lambda x, y, w, h: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(w).alias("width"), F.lit(h).alias("height"))
-    rows = grid.withColumn("b", F.explode(F.array(F.struct(F.lit(1).alias("b"), box(2.5, -3.0, 7.2, 9.9).alias("box")), F.struct(F.lit(2).alias("b"), box(30.0, 20.1, 50.0, 4.0).alias("box")))))
-    return rows.filter(C.in_box(F.col("x"), F.col("y"), F.col("b.box"), F.lit(40), F.lit(30))).groupBy(F.col("b.b").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    boxes = samples(spark, d).filter("width is not null").groupBy(F.col("width").alias("w"), (F.col("i") % 5).alias("a"), (F.col("k") % 3).alias("c")).agg(F.count(F.lit(1)).alias("instants"))
+    box = F.struct((9.5 * F.col("a") - 3).alias("x"), (11.25 * F.col("c") - 2).alias("y"), (F.col("w") / 10).alias("width"), ((F.col("w") - 140) / 7).alias("height"))
+    pixels = boxes.withColumn("box", box).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(29))))
+    inside = C.in_box(F.col("x"), F.col("y"), F.col("box"), F.lit(40), F.lit(30))
+    return pixels.groupBy("w", "a", "c", "instants").agg(F.count_if(inside).alias("n"), F.sum(F.when(inside, F.col("x"))).alias("sx"), F.sum(F.when(inside, F.col("y"))).alias("sy"))
 
 
 CONFLICT = "CASE WHEN width IS NOT NULL AND hands IS NULL THEN 'labeller could not read the frame' WHEN width IS NOT NULL AND hands = 0 THEN 'labeller saw no hand' END"
@@ -221,9 +222,9 @@ def r6_(spark: SparkSession, d: str) -> DataFrame:
     return bouts.transition_frequency(samples(spark, d)).withColumn("hz", F.round("hz", 6))
 
 
-@query("r8_resolvability_floor", "SELECT n, round(-ln(1 - pow(0.95, 1.0 / n)) / ln(2), 6) AS floor FROM (SELECT unnest(range(2, 3000)) AS n)")
+@query("r8_resolvability_floor", sql("SELECT clip_id, n, CASE WHEN n >= 2 THEN round(-ln(1 - pow(0.95, 1.0 / n)) / ln(2), 6) END AS floor FROM clips"))
 def r8(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(2, 3000).select(F.col("id").alias("n"), F.round(C.resolvability_floor(F.col("id")), 6).alias("floor"))
+    return clips(spark, d).select("clip_id", "n", F.round(C.resolvability_floor(F.col("n")), 6).alias("floor"))
 
 
 # --- spectral ---------------------------------------------------------------------------------------------------------
@@ -352,10 +353,11 @@ def e6b(spark: SparkSession, d: str) -> DataFrame:
     return exposure.score_spectral_path(exposure.duty_cycle_estimate(s, c), bouts.transition_frequency(s)).select("clip_id", "status", "hal", "out_of_range")
 
 
-@query("e3_e5_mappings", "SELECT i, round(6.56 * ln(i) * pow(i / 50.0, 1.31) / (1 + 3.18 * pow(i / 50.0, 1.31)), 6) AS radwin, round(10 / (1 + exp(-(-15.87 + 0.02 * i + 2.25 * ln(i * 15.0)))), 6) AS akkas, i / 50.0 BETWEEN 0.125 AND 1.67 AS in_f, i * 15.0 BETWEEN 255.3 AND 1288 AND i BETWEEN 11 AND 100 AS in_s FROM (SELECT unnest(range(1, 101)) AS i)")
+@query("e3_e5_mappings", sql("u AS (SELECT clip_id, 100.0 * count(*) FILTER (v) / count(*) AS i FROM samples GROUP BY 1) SELECT clip_id, round(CASE WHEN i > 0 THEN 6.56 * ln(i) * pow(i / 50.0, 1.31) / (1 + 3.18 * pow(i / 50.0, 1.31)) END, 6) AS radwin, round(CASE WHEN i > 0 THEN 10 / (1 + exp(-(-15.87 + 0.02 * i + 2.25 * ln(i * 15.0)))) END, 6) AS akkas, i / 50.0 BETWEEN 0.125 AND 1.67 AS in_f, i * 15.0 BETWEEN 255.3 AND 1288 AND i BETWEEN 11 AND 100 AS in_s FROM u"))
 def e3(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("id")
-    return spark.range(1, 101).select(i.alias("i"), F.round(C.hal_radwin(i / 50.0, i), 6).alias("radwin"), F.round(C.hal_akkas(i * 15.0, i), 6).alias("akkas"), C.radwin_in_range(i / 50.0).alias("in_f"), C.akkas_in_range(i * 15.0, i).alias("in_s"))
+    i = F.col("duty_pct")
+    rows = samples(spark, d).groupBy("clip_id").agg((100.0 * F.count_if("v") / F.count(F.lit(1))).alias("duty_pct"))
+    return rows.select("clip_id", F.round(C.hal_radwin(i / 50.0, i), 6).alias("radwin"), F.round(C.hal_akkas(i * 15.0, i), 6).alias("akkas"), C.radwin_in_range(i / 50.0).alias("in_f"), C.akkas_in_range(i * 15.0, i).alias("in_s"))
 
 
 AGREE = """
@@ -410,9 +412,17 @@ def a5(spark: SparkSession, d: str) -> DataFrame:
     return estimation.design_effect(estimation.interval(estimation.cluster_bootstrap_means(o)), estimation.interval(estimation.iid_bootstrap_means(o)))
 
 
-@query("a6_kish", "SELECT i AS m, round(1 + (i - 1) * 0.3, 6) AS deff FROM (SELECT unnest(range(1, 50)) AS i)")
+@query("a5_effect_of_intervals", sql("w AS (SELECT factory_id, worker_id, avg(hal) AS m FROM observations GROUP BY 1, 2), c AS (SELECT factory_id, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) AS wc FROM w GROUP BY 1), o AS (SELECT factory_id, quantile_cont(hal, 0.975) - quantile_cont(hal, 0.025) AS wi FROM observations GROUP BY 1) SELECT factory_id, round(pow(wc / wi, 2), 6) AS variance_ratio, round(wc / wi, 6) AS width_ratio FROM c JOIN o USING (factory_id)"))
+def a5b(spark: SparkSession, d: str) -> DataFrame:
+    o = observations(spark, d)
+    spread = lambda rows, value: ranks.exact_quantiles(rows, value, [0.025, 0.975], ["factory_id"]).select("factory_id", F.col("q0").alias("lo"), F.col("q1").alias("hi"))
+    workers = o.groupBy("factory_id", "worker_id").agg(F.avg("hal").alias("m"))
+    return estimation.design_effect(spread(workers, "m"), spread(o, "hal"), ["factory_id"]).select("factory_id", r6("variance_ratio"), r6("width_ratio"))
+
+
+@query("a6_kish", sql("SELECT factory_id || '/' || worker_id AS cluster, count(*) AS m, round(1 + (count(*) - 1) * 0.3, 6) AS deff FROM observations GROUP BY 1"))
 def a6(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1, 50).select(F.col("id").alias("m"), F.round(C.kish(F.col("id"), F.lit(0.3)), 6).alias("deff"))
+    return estimation.cluster_sums(observations(spark, d)).select("cluster", F.col("n").alias("m"), F.round(C.kish(F.col("n"), F.lit(0.3)), 6).alias("deff"))
 
 
 @query("a7_variance_components", sql("""w AS (SELECT factory_id, worker_id, avg(hal) AS m FROM observations GROUP BY 1, 2), f AS (SELECT factory_id, avg(m) AS m, var_samp(m) AS wi, count(*) AS n FROM w GROUP BY 1)

@@ -145,22 +145,6 @@ def test_largest_box_is_the_first_of_equals(spark):
     assert one(spark, C.largest_box(F.filter(F.array(b(1.0, 1.0)), lambda x: x.width > 5))) is None
 
 
-def test_bootstrap_equals_one_draw(spark):
-    rng = np.random.default_rng(0)
-    s, n = rng.random(101), rng.integers(1, 9, 101).astype(float)
-    at = np.random.default_rng(777).integers(0, 101, (500, 101))
-    assert (estimation.resampled_means(s, n, 500, 777, most=1000) == s[at].sum(1) / n[at].sum(1)).all()
-    with pytest.raises(ValueError):
-        estimation.resampled_means(s[:1], n[:1], 10, 1)
-    rows = [(f"f{k % 20}", f"w{k}", float(x)) for k in range(400) for x in rng.normal(rng.normal(0, math.sqrt(0.3)), math.sqrt(0.7), 10)]
-    o = spark.createDataFrame(rows, "factory_id string, worker_id string, hal double")
-    a, b = (estimation.interval(f(o, 2000)) for f in (estimation.cluster_bootstrap_means, estimation.iid_bootstrap_means))
-    assert estimation.design_effect(a, b).first().variance_ratio == pytest.approx(1 + 9 * 0.3, rel=0.25)
-    loose = estimation.interval(estimation.iid_bootstrap_means(o, 2000, per_task=500)).first()
-    exact = b.first()
-    assert loose.hi - loose.lo == pytest.approx(exact.hi - exact.lo, rel=0.1)
-
-
 def test_components_and_suppression(spark):
     rows = [(f"f{f}", f"w{w}", 4 + 0.1 * ((f + w) % 5)) for f in range(10) for w in range(8) for _ in range(3)]
     o = spark.createDataFrame(rows, "factory_id string, worker_id string, hal double")
