@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -178,6 +179,27 @@ def test_next_document_where_one_id_is_hot(spark):
     assert max(r["count"] for r in sizes) < 0.25 * len(rows)
 
 
+def test_a_lexicon_too_large_to_send_meets_the_terms_in_a_join(spark, odd, none):
+    for band in ((0.0, 1.0), (0.12, 0.6)):
+        assert rows_of(fingerprints.edited_fingerprints(odd, band=band, lexicon_bytes=0)) == rows_of(fingerprints.edited_fingerprints(odd, band=band))
+        assert rows_of(fingerprints.fingerprints(odd, band=band, lexicon_bytes=0)) == rows_of(fingerprints.fingerprints(odd, band=band))
+    assert fingerprints.edited_fingerprints(none, lexicon_bytes=-1).count() == 0
+
+
+@pytest.mark.parametrize("marks", [1, 3, 4096])
+def test_next_document_over_very_many_ranges(spark, marks):
+    """50,000 ranges and more, most of them empty; ids far apart, negative, hot and null."""
+    rng = random.Random(9)
+    rows = [(rng.choice((7, -(1 << 62), (1 << 62) + rng.randrange(3), rng.randrange(2000), rng.randrange(1 << 40))), f"text {i} " + "w" * rng.randrange(60)) for i in range(1500)] + [(None, f"n{i}") for i in range(40)]
+    df = fingerprints.id_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    began = time.time()
+    got = list(fingerprints._edited([fingerprints.with_next(df, 1, marks).coalesce(1).toArrow().combine_chunks().to_batches()[0]]))
+    assert time.time() - began < 60
+    pairs = [(t[0], x[0], x[2]) for told, texts in got for t, x in zip(told, texts)]
+    order = next_order(rows)
+    assert sorted(map(repr, pairs)) == sorted(repr((i, t, u)) for (i, t), (_, u) in zip(order, order[1:] + order[:1]))
+
+
 def test_lexicon_is_the_band_whatever_the_parts(spark):
     rng = random.Random(3)
     texts = [" ".join({f"t{int(rng.paretovariate(0.4))}" for _ in range(60)}) for _ in range(400)]
