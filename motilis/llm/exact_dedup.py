@@ -65,9 +65,10 @@ def dedup(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFr
     decided = cut(decided.filter("not __kept or __n > 1"), "decided")  # other rows simply stay
     repeated = decided.agg(F.max(F.col("__kept"))).first()[0]
     met = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__here") == F.col("__mark"))
-    left = docs.withColumn("__here", mark).join(decided.select("__id", "__mark"), met, "left_anti").drop("__here")
+    # merged at every size: what is true of a small table, that one side can be sent around, isn't of a large one
+    left = docs.withColumn("__here", mark).join(decided.select("__id", "__mark").hint("merge"), met, "left_anti").drop("__here")
     if repeated:  # one of each set of equal rows that stay
-        again = docs.withColumn("__here", mark).join(decided.filter("__kept").select("__id", "__mark"), met, "left_semi")
+        again = docs.withColumn("__here", mark).join(decided.filter("__kept").select("__id", "__mark").hint("merge"), met, "left_semi")
         left = left.unionByName(again.dropDuplicates(["doc_id", "__here"]).drop("__here"))
     return left
 

@@ -271,7 +271,7 @@ def verified(docs: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
     size = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     members = cut(comps.join(size, "comp").join(reps.select("cid", "rep", "rep_key", "copies"), "cid"), "members")
     docs = docs.withColumn("text_key", text_key(F.col("text")))
-    met = docs.join(members, docs.doc_id.eqNullSafe(F.col("rep")) & (docs.text_key == F.col("rep_key")))
+    met = docs.join(members.hint("merge"), docs.doc_id.eqNullSafe(F.col("rep")) & (docs.text_key == F.col("rep_key")))
     # rows that repeat doc_id and text are one from here on, before anything is dealt out
     met = met.groupBy("cid").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in ("comp", "size", "copies")))
     met = in_block_pairs(met, "comp", "size", BLOCK)
@@ -361,7 +361,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     # rows of one doc_id and text have one set: all stay (it is empty), all go, or one stays
     pairs = out.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__gone")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("long")).alias("k"))
     pairs = cut(pairs.filter("k < n"), "pairs")
-    met = lambda df, of, how: df.join(of, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), how)
+    met = lambda df, of, how: df.join(of.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), how)
     left = docs.withColumn("__key", text_key(F.col("text")))
     left_alone = met(left, pairs.select("__id", "__gone"), "left_anti")
     some = pairs.filter("k > 0").select("__id", "__gone")

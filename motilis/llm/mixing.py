@@ -166,7 +166,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
         key = [*key, "__n"]
         left = left.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy("text")))
     right = cut(taken.filter("copies > 0").select(*(F.col(c).alias(f"{c}_r") for c in key), F.col("copies").alias("__copies")), "chosen")
-    both = left.join(right, [F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in key])
+    both = left.join(right.hint("merge"), [F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in key])
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
