@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ranks import exact_quantiles
+from .ranks import exact_quantiles, written
 
 
 def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
@@ -27,6 +27,49 @@ def fit(rows: DataFrame, width: int, iterations: int = 1000) -> LogisticRegressi
     return LogisticRegression(regParam=1.0 / seen.n, elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-9).fit(data)
 
 
+class Probe:
+    """A fitted linear head with what it was fitted to: features of one backbone and width, one target."""
+
+    def __init__(self, weights: list[float], bias: float, backbone: str, target: str) -> None:
+        self.weights, self.bias, self.backbone, self.target = weights, bias, backbone, target
+
+    def score(self, rows: DataFrame, features: str = "features") -> DataFrame:
+        """rows with score and predicted (score above 0); both null where the features are null, hold a null or have another width."""
+        x = F.col(features).cast("array<double>")
+        score = F.when(F.size(x) == len(self.weights), logit(x, self.weights, self.bias))
+        return rows.withColumn("score", score).withColumn("predicted", (F.col("score") > 0).cast("int"))
+
+
+def save_probe(model: LogisticRegressionModel, spark: SparkSession, path: str, backbone: str, target: str, report: dict[str, float]) -> None:
+    """The model as a Spark ML model, and beside it, written last, what it was fitted to and how it did. What is there is replaced."""
+    model.write().overwrite().save(f"{path}/model")
+    told = [(backbone, target, model.numFeatures, {k: float(v) for k, v in report.items()})]
+    spark.createDataFrame(told, "backbone string, target string, width int, report map<string,double>").coalesce(1).write.mode("overwrite").json(f"{path}/fitted_to")
+
+
+def load_probe(spark: SparkSession, path: str, backbone: str, target: str) -> Probe:
+    """The saved probe; one fitted to other features or for another target is refused, since its answers would be to another question."""
+    told = spark.read.schema("backbone string, target string, width int, report map<string,double>").json(f"{path}/fitted_to").first()
+    if told is None or (told.backbone, told.target) != (backbone, target):
+        raise ValueError(f"the probe at {path} was fitted to {told and told.backbone} for {told and told.target}, not to {backbone} for {target}")
+    model = LogisticRegressionModel.load(f"{path}/model")
+    if model.numFeatures != told.width:
+        raise ValueError(f"the probe at {path} has {model.numFeatures} weights and was saved with {told.width}")
+    return Probe(model.coefficients.tolist(), float(model.intercept), backbone, target)
+
+
+def train_probe(features: DataFrame, labels: DataFrame, path: str, backbone: str, target: str, width: int, n_folds: int = 5) -> dict[str, float]:
+    """Fit a probe on all frames that have features and a label, save it, and return its fidelity on folds it did not see.
+
+    One that does not beat the majority's share is an error, and nothing is saved."""
+    rows = written(training_set(features, labels))
+    report = beats_majority(cross_validated_fidelity(rows, width, n_folds)).first().asDict()
+    if not report.pop("passes"):
+        raise ValueError(f"accuracy {report['accuracy']:.4f} does not beat the majority's {report['majority']:.4f}")
+    save_probe(fit(rows, width), rows.sparkSession, path, backbone, target, report)
+    return report
+
+
 def logit(features: Column, weights: list[float], bias: float) -> Column:
     """Score as a dot product of arrays, in generated code."""
     return F.aggregate(F.zip_with(features, F.array(*(F.lit(float(w)) for w in weights)), lambda a, b: a * b), F.lit(float(bias)), lambda s, x: s + x)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import columns as C
-from ..operators import bouts, contracts, exposure, gain, gates, geometry, probe, release, speed, textgates
+from ..operators import bouts, chains, contracts, exposure, gain, gates, geometry, masks, preprocess, probe, release, speed, textgates
 from ..sources import stores, tar_shards
 from .catalog import AGREE, DUTY, QUERIES, SCORE, SETTLED, SPEED, query, r6, rate_pairs
 from .fixtures import clips, observations, samples, sql, table
@@ -347,3 +347,84 @@ def s12(spark: SparkSession, d: str) -> DataFrame:
 @query("s3_clip_refs", sql("SELECT clip_id, corpus_rev FROM (SELECT clip_id, 'r1' AS corpus_rev FROM clips)"))
 def s3_refs(spark: SparkSession, d: str) -> DataFrame:
     return tar_shards.clip_refs(clips(spark, d).drop("clip_id"), "r1").select("clip_id", "corpus_rev")
+
+
+# --- chains of versions -----------------------------------------------------------------------------------------------
+
+VERSIONS = """
+o AS (SELECT o_custkey AS document, o_orderkey AS version, lag(o_orderkey) OVER w AS before, lag(o_orderkey, 2) OVER w AS before2, lead(o_orderkey) OVER w AS next FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+v AS (SELECT document, version, CASE version % 23 WHEN 5 THEN before2 WHEN 7 THEN coalesce(next, before) WHEN 11 THEN -1 WHEN 13 THEN NULL ELSE before END AS prior FROM o)
+"""
+
+
+def versions(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders as versions that amend one another; some skip one, point forwards, name an unknown one or none."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("document"), F.col("o_orderkey").alias("version"), F.lag("o_orderkey").over(w).alias("before"), F.lag("o_orderkey", 2).over(w).alias("before2"), F.lead("o_orderkey").over(w).alias("next"))
+    kind = F.col("version") % 23
+    prior = F.when(kind == 5, F.col("before2")).when(kind == 7, F.coalesce("next", "before")).when(kind == 11, F.lit(-1)).when(kind == 13, F.lit(None)).otherwise(F.col("before"))
+    return o.select("document", "version", prior.alias("prior"))
+
+
+@query("f15_amendment_chain", "WITH RECURSIVE" + VERSIONS.rstrip() + """,
+r AS (SELECT document, min(version) AS version, 0 AS steps FROM v WHERE prior IS NULL GROUP BY 1 UNION ALL SELECT v.document, v.version, r.steps + 1 FROM r JOIN v ON v.document = r.document AND v.prior = r.version),
+p AS (SELECT v.*, r.steps, CASE WHEN v.prior IS NULL AND r.steps IS NULL THEN 'second root' WHEN v.prior IS NOT NULL AND k.version IS NULL THEN 'unknown prior' WHEN v.prior IS NOT NULL AND count(*) OVER (PARTITION BY v.document, v.prior) > 1 THEN 'fork' END AS own
+  FROM v LEFT JOIN r ON r.document = v.document AND r.version = v.version LEFT JOIN v k ON k.document = v.document AND k.version = v.prior),
+s AS (SELECT c.document, c.version FROM p JOIN p c ON c.document = p.document AND c.prior = p.version WHERE p.own IS NOT NULL UNION SELECT c.document, c.version FROM s JOIN v c ON c.document = s.document AND c.prior = s.version)
+SELECT p.document, p.version, CASE WHEN own = 'second root' THEN NULL ELSE steps END AS steps, coalesce(own, CASE WHEN s.version IS NOT NULL THEN 'after a problem' WHEN steps IS NULL THEN 'loop' END) AS problem FROM p LEFT JOIN s ON s.document = p.document AND s.version = p.version""")
+def f15_chain(spark: SparkSession, d: str) -> DataFrame:
+    return chains.amendment_chain(versions(spark, d))
+
+
+@query("f15_plan_before_code", "WITH o AS (SELECT o_custkey AS repo, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders) SELECT repo, 'src/' || id AS path, CASE WHEN repo % 7 = 0 OR m < 3 THEN 'no plan' WHEN id % 19 = 3 THEN 'uncommitted' WHEN n = 3 THEN 'same commit' ELSE 'not an ancestor' END AS problem FROM o WHERE repo % 7 = 0 OR m < 3 OR n <= 3 OR id % 19 = 3")
+def f15_plan(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(w).alias("parent"), F.row_number().over(w).alias("n"))
+    code = o.select("repo", F.concat(F.lit("src/"), F.col("id").cast("string")).alias("path"), F.when(F.col("id") % 19 != 3, F.col("id")).alias("id"))
+    return chains.plan_before_code(o.select("repo", "id", "parent"), code.unionByName(o.filter("n = 3 and repo % 7 != 0").select("repo", F.lit("PLAN.md").alias("path"), "id")), "PLAN.md")
+
+
+# --- images -----------------------------------------------------------------------------------------------------------
+
+MASK_WIDTH = 40
+LABEL_BOXES = """
+px AS (SELECT clip_id, i, CASE WHEN v THEN 1 ELSE 2 END AS c FROM samples WHERE v IS NOT NULL),
+half AS (SELECT a.clip_id, a.i AS a, b.i AS b FROM px a JOIN px b ON b.clip_id = a.clip_id AND b.c = a.c AND (b.i = a.i + 40 OR b.i = a.i + 1 AND a.i % 40 < 39)),
+edge AS (SELECT * FROM half UNION ALL SELECT clip_id, b, a FROM half),
+reach AS (SELECT clip_id, i AS root, i FROM px UNION SELECT r.clip_id, r.root, e.b FROM reach r JOIN edge e ON e.clip_id = r.clip_id AND e.a = r.i WHERE e.b > r.root),
+comp AS (SELECT clip_id, i, min(root) AS root FROM reach GROUP BY 1, 2),
+"""
+
+
+@query("f9_label_boxes", sql(LABEL_BOXES.rstrip() + """
+size AS (SELECT clip_id, root, px.c AS class, count(*) AS pixels, min(i % 40) AS x, min(i // 40) AS y, max(i % 40) - min(i % 40) + 1 AS width, max(i // 40) - min(i // 40) + 1 AS height FROM comp JOIN px USING (clip_id, i) GROUP BY 1, 2, 3)
+SELECT clip_id, class, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height, pixels FROM size WHERE pixels >= 64 QUALIFY row_number() OVER (PARTITION BY clip_id, class ORDER BY pixels DESC, root) = 1""").replace("WITH ", "WITH RECURSIVE ", 1))
+def f9(spark: SparkSession, d: str) -> DataFrame:
+    """A clip's settled instants as an image of 40 columns: exertion in one class, rest in the other."""
+    cls = F.when(F.col("v").isNull(), "00").when(F.col("v"), "01").otherwise("02")
+    rows = samples(spark, d).groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("i", cls.alias("c")))).alias("px"))  # a clip is bounded by its length
+    high = F.ceil(F.size("px") / MASK_WIDTH).cast("int")
+    data = F.unhex(F.rpad(F.array_join(F.transform("px", lambda p: p["c"]), ""), 2 * MASK_WIDTH * high, "0"))
+    masks_ = rows.select("clip_id", F.lit(0.0).alias("t_s"), F.lit(MASK_WIDTH).alias("width"), high.alias("height"), data.alias("mask"))
+    return masks.boxes_from_masks(masks_).select("clip_id", F.explode("boxes").alias("b")).select("clip_id", "b.*")
+
+
+@query("m4_model_inputs")
+def m4(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of 48 x 27 made of each embedding, brought to a small model's size: a digest of each input."""
+    e = table(spark, d, "embeddings")
+    level = F.expr("transform(sequence(0, 48 * 27 * 3 - 1), j -> lpad(hex(cast(abs(element_at(embedding, cast(j % size(embedding) as int) + 1)) * 700 + 3 * j as int) % 256), 2, '0'))")
+    frames = e.select(F.col("vec_id").cast("string").alias("clip_id"), F.lit(0.0).alias("t_s"), F.lit(48).alias("width"), F.lit(27).alias("height"), F.unhex(F.array_join(level, "")).alias("rgb"))
+    return preprocess.model_inputs(frames, edge=20, crop=18).select("clip_id", F.octet_length("input").alias("bytes"), F.sha2("input", 256).alias("input_sha256"), "failed_reason")
+
+
+@query("m6_saved_probe")
+def m6(spark: SparkSession, d: str) -> DataFrame:
+    """A probe trained by its driver, saved, loaded and applied to all embeddings. The target is a half-space with a label in eleven turned round."""
+    e = table(spark, d, "embeddings")
+    features = e.select(F.col("vec_id").alias("frame_id"), F.col("embedding").alias("features"))
+    half = F.col("embedding")[0] + F.col("embedding")[1] / 2 > 0
+    labels = e.select(F.col("vec_id").alias("frame_id"), F.when(F.col("vec_id") % 11 == 0, ~half).otherwise(half).alias("manipulation"), F.when(F.col("vec_id") % 10 == 0, "unreadable").otherwise("ok").alias("status"))
+    path = stores.scratch_folder(spark)
+    probe.train_probe(features, labels, path, "embeddings", "half-space", len(e.first().embedding))
+    return probe.load_probe(spark, path, "embeddings", "half-space").score(features).select("frame_id", F.round("score", 3).alias("score"), "predicted")

@@ -78,31 +78,3 @@ def detect(clips: DataFrame, frames_of: Callable[[dict], Iterator[bytes]], detec
                 yield pd.DataFrame(out, columns=["clip_id", "t_s", "mask_source", "boxes", "failed_reason"])
 
     return clips.mapInPandas(run, shape)
-
-
-def largest_components(mask, least: int = 64) -> dict[int, tuple[int, int, int, int] | None]:
-    """For classes 1 and 2 of a label image: bounding box (x, y, width, height) of the largest 4-connected component of `least` pixels or more; the first of equals."""
-    import numpy as np
-
-    out: dict[int, tuple[int, int, int, int] | None] = {}
-    for cls in (1, 2):
-        on = mask == cls
-        h, w = on.shape
-        root = np.arange(h * w).reshape(h, w)
-        root[~on] = h * w
-        while True:  # the smallest index spreads to neighbours
-            new = root.copy()
-            new[1:] = np.where(on[1:], np.minimum(new[1:], root[:-1]), h * w)
-            new[:-1] = np.where(on[:-1], np.minimum(new[:-1], root[1:]), h * w)
-            new[:, 1:] = np.where(on[:, 1:], np.minimum(new[:, 1:], root[:, :-1]), h * w)
-            new[:, :-1] = np.where(on[:, :-1], np.minimum(new[:, :-1], root[:, 1:]), h * w)
-            if (new == root).all():
-                break
-            root = new
-        ids, counts = np.unique(root[on], return_counts=True)
-        if not len(ids) or counts.max() < least:
-            out[cls] = None
-            continue
-        ys, xs = np.nonzero(root == ids[int(np.argmax(counts))])
-        out[cls] = (int(xs.min()), int(ys.min()), int(xs.max() - xs.min() + 1), int(ys.max() - ys.min() + 1))
-    return out

@@ -5,7 +5,6 @@ import json
 import sys
 import tarfile
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,15 +208,6 @@ def test_probe_and_detector_keep_every_instant(spark):
     assert [(len(r.boxes), r.failed_reason) for r in rows] == [(1, None), (0, "model failed"), (0, None)]
 
 
-def test_largest_components():
-    m = np.zeros((20, 30), int)
-    m[2:12, 3:13] = 1
-    m[14:18, 20:28] = 1
-    m[12, 13] = 1  # touches by a corner only
-    m[0:2, 0:2] = 2
-    assert frames.largest_components(m) == {1: (3, 2, 10, 10), 2: None}
-
-
 def test_label_stream_merges_batches(spark, tmp_path):
     source, state = tmp_path / "in", str(tmp_path / "state")
     source.mkdir()
