@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import columns as C
 
-NO_LABEL = "no label was written"
-NO_DETECTION = "no detection was written"
+NO_LABEL = "instant has no label row"
+NO_DETECTION = "instant has no detection row"
 NO_HANDS_READ = "labeller could not read the frame"
 HANDS_ZERO = "labeller saw no hand"
 

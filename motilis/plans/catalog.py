@@ -90,7 +90,7 @@ def label_rows(spark: SparkSession, d: str) -> DataFrame:
     return now.unionByName(old)
 
 
-@query("j1_plan_labels", sql("SELECT clip_id, CAST(i AS INTEGER) AS i, CASE WHEN i % 7 != 3 THEN v END AS manipulation, CASE WHEN i % 7 = 3 THEN 'no label was written' WHEN v IS NULL THEN 'unreadable' END AS reason FROM samples"))
+@query("j1_plan_labels", sql("SELECT clip_id, CAST(i AS INTEGER) AS i, CASE WHEN i % 7 != 3 THEN v END AS manipulation, CASE WHEN i % 7 = 3 THEN 'instant has no label row' WHEN v IS NULL THEN 'unreadable' END AS reason FROM samples"))
 def j1(spark: SparkSession, d: str) -> DataFrame:
     return signals.join_labels(plan.sample_times(clips(spark, d)).select("clip_id", "i", "t_s"), label_rows(spark, d)).select("clip_id", "i", "manipulation", F.col("unreadable_reason").alias("reason"))
 
@@ -101,7 +101,7 @@ def box_rows(spark: SparkSession, d: str) -> DataFrame:
     return samples(spark, d).filter("i % 11 != 5").select("clip_id", "t_s", F.lit(0).alias("seq"), F.when(F.col("width").isNotNull(), F.array(small, box)).otherwise(F.array().cast("array<struct<x:double,y:double,width:double,height:double,score:double>>")).alias("boxes"), F.lit(None).cast("string").alias("failed_reason"))
 
 
-@query("j2_plan_detections", sql("SELECT clip_id, CAST(i AS INTEGER) AS i, CASE WHEN i % 11 = 5 THEN 'no detection was written' END AS failed_reason, CASE WHEN i % 11 != 5 THEN width / 2 END AS largest_width, CASE WHEN i % 11 != 5 THEN width END AS scaled_width FROM samples"))
+@query("j2_plan_detections", sql("SELECT clip_id, CAST(i AS INTEGER) AS i, CASE WHEN i % 11 = 5 THEN 'instant has no detection row' END AS failed_reason, CASE WHEN i % 11 != 5 THEN width / 2 END AS largest_width, CASE WHEN i % 11 != 5 THEN width END AS scaled_width FROM samples"))
 def j2(spark: SparkSession, d: str) -> DataFrame:
     rows = signals.join_detections(plan.sample_times(clips(spark, d)).select("clip_id", "i", "t_s"), box_rows(spark, d))
     # of two boxes of one area the first counts; doubling both axes leaves that so
@@ -289,7 +289,7 @@ def v7(spark: SparkSession, d: str) -> DataFrame:
     return speed.coverage_gate(speed.hand_speed_estimate(samples(spark, d), c), c.filter("k % 2 = 0")).withColumns({x: F.round(x, 6) for x in ("coverage", "flow_null_rate")})
 
 
-@query("v3_speed_samples", sql("SELECT clip_id, CAST(i AS INTEGER) AS i, CASE WHEN width IS NOT NULL AND q2 AND px IS NOT NULL AND i % 13 != 0 THEN round(px / 0.25, 6) END AS px_per_s, CASE WHEN width IS NULL THEN 'no detected hand box; never a region prior' WHEN NOT q2 THEN 'the flow estimator returned no field' WHEN px IS NULL THEN 'ego-motion unavailable' WHEN i % 13 = 0 THEN 'zero residual is a failure, not a measurement' END AS null_reason FROM (SELECT *, i % 10 != 0 AS q2 FROM samples)"))
+@query("v3_speed_samples", sql("SELECT clip_id, CAST(i AS INTEGER) AS i, CASE WHEN width IS NOT NULL AND q2 AND px IS NOT NULL AND i % 13 != 0 THEN round(px / 0.25, 6) END AS px_per_s, CASE WHEN width IS NULL THEN 'instant without a hand box' WHEN NOT q2 THEN 'no flow between the two frames' WHEN px IS NULL THEN 'ego-motion unavailable' WHEN i % 13 = 0 THEN 'no motion left inside the box: estimate refused' END AS null_reason FROM (SELECT *, i % 10 != 0 AS q2 FROM samples)"))
 def v3(spark: SparkSession, d: str) -> DataFrame:
     box = F.when(F.col("width").isNotNull(), F.struct("width"))
     residual = F.when(F.col("i") % 13 == 0, F.col("px") * 0).otherwise(F.col("px"))
