@@ -197,13 +197,13 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def calibrated(x: np.ndarray, w: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Scale and shift of a view's log-odds, and how much better than chance it does, both kinds counted alike."""
+    """Scale and shift of a view's log-odds, and by how much its log-loss is below that of a coin, both kinds counted alike."""
     z = odds(x, w).astype(np.float64)
     norm = float(np.abs(z).mean() + 1e-9)
     a, b = platt(z / norm, y)
-    said = a * z / norm + b > np.log(y.mean() / (1 - y.mean()))
-    right = ((said & (y > 0)).sum() / (y > 0).sum() + (~said & (y == 0)).sum() / (y == 0).sum()) / 2
-    return a / norm, b, max(float(right) - 0.5, 0.01)
+    said = a * z / norm + b - np.log(y.mean() / (1 - y.mean()))
+    loss = np.logaddexp(0, np.where(y > 0, -said, said))
+    return a / norm, b, max(float(np.log(2) - (loss[y > 0].mean() + loss[y == 0].mean()) / 2), 1e-3)
 
 
 def cotrain(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, keep: np.ndarray, exchange, rounds: int = ROUNDS) -> dict:
