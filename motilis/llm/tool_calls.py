@@ -12,13 +12,15 @@ Events come from the table (conv_id, turn, role, text): `<tool_call>{"id", "name
 
 Defined results: null text counts as empty; a text without tags has no events; a null conversation is one conversation, a null
 turn comes first; a call without a result is `unanswered`, a result without a call `orphan`; JSON that is malformed, or nested
-more than `DEEPEST` levels deep, is a call or result with the error `malformed`, whose payload is its body; ids without a call
+more than `DEEPEST` levels deep, is a call or result with the error `malformed`, whose payload is its body and whose id is made of its place and a digest of its body, so that other bodies
+at one place are other calls; ids without a call
 that are referred to give `unknown reference`; calls on a cycle, or behind one, come after all others in turn order with the
 error `cycle`; repeated rows are duplicates; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import math
@@ -52,7 +54,7 @@ _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null":
 
 
 def parse(text: str) -> Any:
-    """JSON without NaN or infinities; repeated keys and too many levels are refused by ValueError."""
+    """JSON without NaN or infinities, also such as only numbers too large become; repeated keys and too many levels are refused by ValueError."""
 
     def whole(pairs: list[tuple[str, Any]]) -> dict:
         out = dict(pairs)
@@ -63,8 +65,11 @@ def parse(text: str) -> Any:
     def no(name: str) -> None:
         raise ValueError(name)
 
+    def finite(digits: str) -> float:
+        return x if math.isfinite(x := float(digits)) else no(digits)
+
     try:
-        x = json.loads(text, object_pairs_hook=whole, parse_constant=no)
+        x = json.loads(text, object_pairs_hook=whole, parse_constant=no, parse_float=finite)
     except RecursionError:
         raise ValueError("too deep") from None
     level, depth = [x], 0
@@ -183,7 +188,7 @@ def events_of(turn: int | None, text: str) -> list[tuple[str, str, str | None, s
             if not isinstance(x, dict) or not isinstance(x.get("id"), str):
                 raise ValueError("no id")
         except ValueError:
-            out.append((kind, f"malformed-{turn}-{n}", None, canonical(body), [], ["malformed"]))
+            out.append((kind, f"malformed-{turn}-{n}-{hashlib.sha256(body.encode()).hexdigest()[:16]}", None, canonical(body), [], ["malformed"]))
             continue
         if kind == "call":
             name, arguments = x.get("name"), x.get("arguments", {})

@@ -283,13 +283,21 @@ def test_tool_calls_link_and_order(spark):
     assert a.record == '{"arguments":{"prompt":"x","turn":1},"conversation":1,"id":"a","name":"reply","order":0,"result":{"a":[true,null],"z":1}}'
     assert out[2, "r", "unanswered"].seq == 0 and out[2, "p", "unanswered"].errors == ["cycle"] and (2, "lost", "orphan") in out
     assert out[3, "h", "linked"].valid and (3, "h", "duplicate call") in out and out[3, "u", "unanswered"].errors == ["$.prompt: size 0"]
-    assert out[5, "s", "unanswered"].errors == ["unknown reference nowhere"] and out[5, "malformed-0-0", "unanswered"].errors == ["malformed"]
+    assert out[5, "s", "unanswered"].errors == ["unknown reference nowhere"] and [r.errors for k, r in out.items() if k[0] == 5 and k[1].startswith("malformed-0-0-")] == [["malformed"]]
     assert (None, "x", "unanswered") in out
     assert all(json.loads(r.record) for r in out.values())
     wide = df.withColumns({c: F.lit(1).cast(k) for c, k in {"rid": "long", "k": "long", "kind": "string", "call_id": "string", "copy": "int", "at": "long", "part": "long", "payload": "string", "refs": "string", "seq": "long", "n": "long"}.items()})
     assert rows_of(tool_calls.link_tool_calls(wide)) == rows_of(tool_calls.link_tool_calls(df))
 
 
+def test_malformed_calls_have_ids_of_their_own(spark):
+    rows = [(1, 3, "user", "<tool_call>{bad</tool_call>"), (1, 3, "user", "<tool_call>{worse</tool_call>"), (1, 3, "user", "<tool_call>{bad</tool_call>"), (1, 3, "user", tool_call("malformed-3-0")), (2, 0, "user", tool_call("big", turn=1).replace('"turn": 1', '"turn": 1e999'))]
+    out = tool_calls.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    told = sorted((r.conv_id, r.call_id[:13], r.status, r.errors[:1]) for r in out)
+    assert told == [(1, "malformed-3-0", "duplicate call", ["malformed"]), (1, "malformed-3-0", "unanswered", []), (1, "malformed-3-0", "unanswered", ["malformed"]), (1, "malformed-3-0", "unanswered", ["malformed"]), (2, "malformed-0-0", "unanswered", ["malformed"])]
+    assert len({r.call_id for r in out}) == 4 and all(json.loads(r.record) for r in out)
+
+
 def test_tool_calls_nested_and_long(spark):
     depths = [1, 150, 199, 201, 500, 2000, 20_000, 100_000]
     rows = [(1, d, "user", tool_call(f"d{d}", x=0).replace('"x": 0', '"x": ' + "[" * d + "]" * d)) for d in depths]
