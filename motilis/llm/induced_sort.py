@@ -25,8 +25,8 @@ from . import sharedfs
 
 #: A string of names is sorted by recursion if it has this many symbols to a name, and more than the least.
 REPEATS, LEAST = 256, 1 << 12
-#: Bytes compared at a time.
-_WIDE = 64
+#: Bytes compared at a time; of so many neighbours in the text one is compared from its start.
+_WIDE, _EVERY = 64, 4
 
 
 class BucketQueue:
@@ -169,6 +169,29 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) ->
     return np.minimum(out, depth)
 
 
+def neighbours_shared(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefixes of neighbours in an order of suffixes, as common_prefix() has them.
+
+    If a suffix shares L symbols with the one in front of it, then d symbols further on its text and that one's still share L - d;
+    where that place is in the order, too, and in front, all between the two share as much, the suffix's own neighbour among
+    them, so it is compared from there on. (The order is exact up to depth symbols only, so the place is looked up.) A long repeat is thus compared once in every `_EVERY` places, and a few symbols at the others."""
+    before, own = order[:-1], order[1:]
+    by_place = np.argsort(own)
+    out = np.zeros(len(own), np.int64)
+    lead = by_place[::_EVERY]
+    out[lead] = common_prefix(text, before[lead], own[lead], depth)
+    led = np.repeat(lead, _EVERY)[: len(by_place)]
+    rest, led = by_place[np.arange(len(by_place)) % _EVERY > 0], led[np.arange(len(by_place)) % _EVERY > 0]
+    place = np.zeros(len(text), np.int32)
+    place[order] = np.arange(1, len(order) + 1)
+    ahead = own[rest] - own[led]
+    known = out[led] - ahead
+    there = place[np.minimum(before[led] + ahead, len(text) - 1)]
+    known[(known < 0) | (there == 0) | (there >= place[own[rest]])] = 0
+    out[rest] = np.minimum(known + common_prefix(text, before[rest] + known, own[rest] + known, depth), depth)
+    return out
+
+
 def leftmost_order(text: np.ndarray, s: np.ndarray, n: int, depth: int, least: int = LEAST, budget: int = 1 << 28, folder: str | None = None) -> np.ndarray:
     """Leftmost-S positions of text[:n] in the order of their suffixes."""
     p = np.flatnonzero(s[1:n] & ~s[: n - 1]) + 1
@@ -206,6 +229,9 @@ def leftmost_order(text: np.ndarray, s: np.ndarray, n: int, depth: int, least: i
     step = 1
     while step < depth:
         tied = _tied(order, rank)
+        # equal ranks cover `step` substrings; groups of which these are depth symbols or more, by their first member, stay as they are
+        lead = order[rank[tied]]
+        tied = tied[np.where(lead + step < len(p), p[np.minimum(lead + step, len(p) - 1)] - p[lead], 0) < depth]
         if not len(tied):
             break
         beyond = tied + step
@@ -224,9 +250,9 @@ def _tied(order: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def _ranked(members: np.ndarray, key: np.ndarray, rank: np.ndarray, n: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Order and ranks after members of tied groups are sorted by key within their group. A rank is the index of its group's first member in the order."""
+    """Order and ranks, changed in place, after members of tied groups are sorted by key within their group. A rank is the index of its group's first member in the order."""
     if order is None:
-        order, rank = np.argsort(key), rank.copy()
+        order = np.argsort(key)
         k = key[order]
         first = np.concatenate([[True], k[1:] != k[:-1]])
         rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
@@ -236,7 +262,6 @@ def _ranked(members: np.ndarray, key: np.ndarray, rank: np.ndarray, n: int, orde
     members, key, old = members[by], key[by], old[by]
     begin = np.concatenate([[True], old[1:] != old[:-1]])
     place = old + np.arange(len(old)) - np.maximum.accumulate(np.where(begin, np.arange(len(old)), 0))
-    order, rank = order.copy(), rank.copy()
     order[place] = members
     first = begin | np.concatenate([[True], key[1:] != key[:-1]])
     rank[members] = np.maximum.accumulate(np.where(first, place, 0))
@@ -255,7 +280,7 @@ def induce(text: np.ndarray, depth: int, emit: Callable[[int, np.ndarray, np.nda
     padded = np.concatenate([text, np.zeros(depth + _WIDE, text.dtype)])
     shared = np.zeros(len(leftmost), np.uint16)
     if len(leftmost) > 1:
-        shared[1:] = common_prefix(padded, leftmost[:-1], leftmost[1:], depth)
+        shared[1:] = neighbours_shared(padded, leftmost, depth)
     chars = text[leftmost]
     bounds = np.searchsorted(chars, np.arange(int(text.max()) + 2)) if len(leftmost) else np.zeros(int(text.max()) + 2, np.int64)
 
