@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import columns as C
 from ..operators import bouts, contracts, estimation, exposure, gates, plan, ranks, signals, spectral, speed
-from ..sources import scans
+from ..sources import bucketed, scans
 
 from .fixtures import clips, observations, samples, sql, table
 
@@ -101,6 +101,15 @@ def box_rows(spark: SparkSession, d: str) -> DataFrame:
     return samples(spark, d).filter("i % 11 != 5").select("clip_id", "t_s", F.lit(0).alias("seq"), F.when(F.col("width").isNotNull(), F.array(small, box)).otherwise(F.array().cast("array<struct<x:double,y:double,width:double,height:double,score:double>>")).alias("boxes"), F.lit(None).cast("string").alias("failed_reason"))
 
 
+@query("j1_bucketed", sql("SELECT clip_id, CAST(i AS INTEGER) AS i, CASE WHEN i % 7 != 3 THEN v END AS manipulation, CASE WHEN i % 7 = 3 THEN 'instant has no label row' WHEN v IS NULL THEN 'unreadable' END AS reason FROM samples"))
+def j1_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """j1 over tables written once in buckets of clip_id: nothing is shuffled below the join."""
+    planned, labels = bucketed.bucketed(plan.sample_times(clips(spark, d)).select("clip_id", "i", "t_s"), "clip_id"), bucketed.bucketed(label_rows(spark, d), "clip_id")
+    with bucketed.without_shuffle(spark):
+        rows = signals.join_labels(planned, labels).select("clip_id", "i", "manipulation", F.col("unreadable_reason").alias("reason"))
+        return ranks.written(rows)  # planned and run here
+
+
 @query("j2_plan_detections", sql("SELECT clip_id, CAST(i AS INTEGER) AS i, CASE WHEN i % 11 = 5 THEN 'instant has no detection row' END AS failed_reason, CASE WHEN i % 11 != 5 THEN width / 2 END AS largest_width, CASE WHEN i % 11 != 5 THEN width END AS scaled_width FROM samples"))
 def j2(spark: SparkSession, d: str) -> DataFrame:
     rows = signals.join_detections(plan.sample_times(clips(spark, d)).select("clip_id", "i", "t_s"), box_rows(spark, d))
