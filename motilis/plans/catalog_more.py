@@ -76,38 +76,35 @@ def x6b(spark: SparkSession, d: str) -> DataFrame:
     return textgates.strip_title(wrapped(spark, d), "doc_id", "text").select("doc_id", F.md5("body").alias("body"))
 
 
-@query("s15_known_gaps", "SELECT CAST(1 AS INTEGER) AS n, 'Force' AS gap UNION ALL SELECT 4, 'Posture'")
+@query("s15_known_gaps", "SELECT CAST(s_suppkey AS INTEGER) AS n, 'Gap ' || s_suppkey AS gap FROM supplier WHERE s_suppkey % 4 IN (0, 1)")
 def s15(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "| **Force** | x | **Unobservable** in video |"), (2, "| **Speed** | y | **Observed** |"), (3, "| Unobservable | z | **no** |"), (4, "| **Posture** | w | see | **Partly Unobservable** |")]
-    return gates.known_gaps(spark.createDataFrame(rows, "n int, line string"))
+    k, name = F.col("s_suppkey"), F.concat(F.lit("Gap "), F.col("s_suppkey").cast("string"))
+    line = F.when(k % 4 == 0, F.concat(F.lit("| **"), name, F.lit("** | x | **Unobservable** in video |"))).when(k % 4 == 1, F.concat(F.lit("| **"), name, F.lit("** | w | see | **Partly Unobservable** |")))
+    line = line.when(k % 4 == 2, F.concat(F.lit("| **"), name, F.lit("** | y | **Observed** |"))).otherwise(F.lit("| Unobservable | z | **no** |"))
+    return gates.known_gaps(table(spark, d, "supplier").select(k.cast("int").alias("n"), line.alias("line")))
 
 
 # --- gain curves ------------------------------------------------------------------------------------------------------
 
-# published sweep, fixed values: frame width, displacement in px, gain
-SWEEP = [
-    (480, 2.849, 0.9429), (480, 5.698, 0.964), (480, 11.395, 0.7656), (480, 17.086, 0.2212), (480, 22.759, 0.1705), (480, 33.981, 0.1853), (480, 45.009, 0.1943), (480, 66.327, 0.1681), (480, 81.495, 0.1813),
-    (960, 5.7, 0.9973), (960, 11.399, 0.9973), (960, 22.794, 0.9925), (960, 34.181, 0.2024), (960, 45.539, 0.2323), (960, 68.025, 0.1773), (960, 90.136, 0.1869), (960, 132.883, 0.1964), (960, 163.312, 0.0552),
-    (1440, 8.549, 0.9971), (1440, 17.098, 0.9964), (1440, 34.191, 0.2036), (1440, 51.271, 0.199), (1440, 68.313, 0.153), (1440, 102.058, 0.1897), (1440, 135.236, 0.1753), (1440, 199.391, 0.0755), (1440, 245.091, 0.0455),
-    (1920, 11.399, 0.9968), (1920, 22.798, 0.9968), (1920, 45.588, 0.1978), (1920, 68.363, 0.1937), (1920, 91.09, 0.1056), (1920, 136.1, 0.1628), (1920, 180.357, 0.0708), (1920, 265.943, 0.0345), (1920, 326.912, 0.039),
-]
-SWEEP_SQL = "sweep AS (SELECT * FROM (VALUES " + ", ".join(f"({w}, CAST({x} AS DOUBLE), CAST({g} AS DOUBLE))" for w, x, g in SWEEP) + ") AS t(width, hand_displacement_px, gain))"
+SWEEP_SQL = "sweep AS (SELECT CAST(480 + l_suppkey AS INTEGER) AS width, CAST(l_quantity AS DOUBLE) * 3 + l_linenumber / 8.0 AS hand_displacement_px, 1.0 - CAST(l_quantity AS DOUBLE) / 60 - CAST(l_tax AS DOUBLE) * 2 AS gain FROM lineitem)"
 CURVES = SWEEP_SQL + ", a AS (SELECT width, min(hand_displacement_px) FILTER (gain < 0.50) AS collapse_px, min(hand_displacement_px) AS least_px, max(hand_displacement_px) AS most_px, median(gain) FILTER (gain < 0.50 AND gain >= 0.5 * 0.18) AS floor_gain FROM sweep GROUP BY 1), k AS (SELECT width, max(hand_displacement_px) FILTER (gain >= 0.90 AND (collapse_px IS NULL OR hand_displacement_px < collapse_px)) AS knee_px FROM sweep JOIN a USING (width) GROUP BY 1), curves AS (SELECT a.*, knee_px, coalesce(abs(floor_gain - 0.18) <= 0.25 * 0.18, false) AS tracks_background FROM a JOIN k USING (width))"
 
 
-def sweep(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SWEEP, "width int, hand_displacement_px double, gain double")
+def sweep(spark: SparkSession, d: str) -> DataFrame:
+    """A curve for each supplier, a point for each of its lines."""
+    q = F.col("l_quantity").cast("double")
+    return table(spark, d, "lineitem").select((480 + F.col("l_suppkey")).cast("int").alias("width"), (q * 3 + F.col("l_linenumber") / 8.0).alias("hand_displacement_px"), (1.0 - q / 60 - F.col("l_tax").cast("double") * 2).alias("gain"))
 
 
 @query("g9_gain_curves", "WITH " + CURVES + " SELECT * FROM curves")
 def g9(spark: SparkSession, d: str) -> DataFrame:
-    return gain.curve_from_rows(sweep(spark), geometry.DEPTH_RATIO, ["width"])
+    return gain.curve_from_rows(sweep(spark, d), geometry.DEPTH_RATIO, ["width"])
 
 
 @query("g10_verdicts", "WITH " + CURVES + " SELECT width, x, CASE WHEN x < least_px OR x > most_px THEN 'UNTESTED' WHEN knee_px IS NULL THEN 'FAIL' WHEN x <= knee_px THEN 'PASS' ELSE 'FAIL' END AS verdict FROM curves, (SELECT unnest(range(1, 400, 3)) AS x)")
 def g10(spark: SparkSession, d: str) -> DataFrame:
     points = spark.range(1, 400, 3).select(F.col("id").alias("x"))
-    return gain.curve_from_rows(sweep(spark), geometry.DEPTH_RATIO, ["width"]).join(F.broadcast(points)).select("width", "x", gain.verdict(F.col("x")).alias("verdict"))
+    return gain.curve_from_rows(sweep(spark, d), geometry.DEPTH_RATIO, ["width"]).join(F.broadcast(points)).select("width", "x", gain.verdict(F.col("x")).alias("verdict"))
 
 
 # --- geometry ---------------------------------------------------------------------------------------------------------
@@ -149,15 +146,19 @@ def g7b(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x1_gain_rows", "WITH " + SWEEP_SQL + " SELECT 'farneback' AS estimator, width, width * 9 // 16 AS height, hand_displacement_px, gain, false AS flow_returned_none, round(hand_displacement_px / (width / 10.0), 4) AS displacement_per_box FROM sweep")
 def x1(spark: SparkSession, d: str) -> DataFrame:
-    rows = sweep(spark).groupBy("width").agg(F.collect_list(F.struct("hand_displacement_px", "gain", F.lit(False).alias("flow_returned_none"))).alias("rows"))
+    rows = sweep(spark, d).groupBy("width").agg(F.collect_list(F.struct("hand_displacement_px", "gain", F.lit(False).alias("flow_returned_none"))).alias("rows"))
     scales = rows.select(F.array("width", (F.col("width") * 9 / 16).cast("int")).alias("frame_size"), (F.col("width") / 10).alias("hand_box_width_px"), "rows")
-    return release.gain_rows(scales.agg(F.collect_list(F.struct("frame_size", "hand_box_width_px", "rows")).alias("scales")).select(F.lit("farneback").alias("estimator"), "scales"))
+    return release.gain_rows(scales.select(F.lit("farneback").alias("estimator"), F.array(F.struct("frame_size", "hand_box_width_px", "rows")).alias("scales")))  # a result for each frame size
 
 
-@query("x2_benchmark_rows", "SELECT * FROM (VALUES ('farneback', CAST(7.568 AS DOUBLE), CAST(NULL AS DOUBLE)), ('raft', 21.5, 0.0)) AS t(arm, pairs_per_s, flow_null_rate)")
+@query("x2_benchmark_rows", sql("SELECT 'arm' || k % 5 AS arm, count(*) / 60.0 AS pairs_per_s, CASE WHEN k % 5 != 0 THEN round((count(width) - count(px)) / count(width), 6) END AS flow_null_rate FROM samples GROUP BY k % 5"))
 def x2(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([({"farneback": {"pairs_per_s": 7.568, "pilot": 1.0}, "raft": {"pairs_per_s": 21.5, "flow_null_rate": 0.0}},)], "arms map<string, map<string, double>>")
-    return release.benchmark_rows(rows, ["pairs_per_s", "flow_null_rate"])
+    arm = F.concat(F.lit("arm"), (F.col("k") % 5).cast("string"))
+    told = samples(spark, d).groupBy(arm.alias("arm")).agg((F.count(F.lit(1)) / 60.0).alias("pairs_per_s"), F.round((F.count("width") - F.count("px")) / F.count("width"), 6).alias("flow_null_rate"))
+    pilot = F.create_map(F.lit("pairs_per_s"), "pairs_per_s", F.lit("pilot"), F.lit(1.0))  # a field that is not listed, and an arm that lacks one that is
+    fields = F.when(F.col("arm") == "arm0", pilot).otherwise(F.map_concat(pilot, F.create_map(F.lit("flow_null_rate"), "flow_null_rate")))
+    arms = told.select("arm", fields.alias("f")).agg(F.map_from_entries(F.collect_list(F.struct("arm", "f"))).alias("arms"))  # five arms
+    return release.benchmark_rows(arms, ["pairs_per_s", "flow_null_rate"])
 
 
 @query("x3_floor_rows", "SELECT 'rotation' AS series, CAST(s_nationkey AS DOUBLE) AS rotation_deg_per_s, 0.0 AS translation_m_per_s, s_acctbal AS floor_mm_s FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'translation', 0.0, CAST(s_nationkey AS DOUBLE), s_acctbal FROM supplier WHERE s_suppkey % 3 = 1 UNION ALL SELECT 'narrow_control', CAST(s_nationkey AS DOUBLE), 0.0, s_acctbal FROM supplier WHERE s_suppkey % 3 = 2")
@@ -277,9 +278,10 @@ def c2(spark: SparkSession, d: str) -> DataFrame:
     return gates.build_card(s14(spark, d), spark.createDataFrame([("Force",)], "gap string"))
 
 
-@query("c3_arms", "SELECT false AS decided, 2 AS n_arms")
+@query("c3_arms", "WITH a AS (SELECT s_nationkey, min(s_acctbal) > -500 AS measured FROM supplier GROUP BY 1) SELECT min(CAST(measured AS INTEGER)) = 1 AS decided, count(*) AS n_arms FROM a")
 def c3(spark: SparkSession, d: str) -> DataFrame:
-    return gates.arms_decided(spark.createDataFrame([("farneback", True), ("raft", False)], "arm string, measured boolean"))
+    arms = table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("arm")).agg((F.min("s_acctbal") > -500).alias("measured"))
+    return gates.arms_decided(arms)
 
 
 @query("e2_duty_pairs", sql(AGREE + "SELECT clip_id, round(a, 6) AS a, round(b, 6) AS b FROM pairs"))

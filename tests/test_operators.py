@@ -260,3 +260,15 @@ def test_plan_of_short_clips(spark):
     one_instant = spark.createDataFrame([("a", 0.0)], "clip_id string, t_s double")
     assert plan.rate_of(one_instant).first().hz is None
     assert K.BOOTSTRAP_B == 10_000
+
+
+def test_knees_of_the_published_sweep(spark):
+    # published sweep, fixed values: frame width, displacement in px, gain
+    rows = [
+        (480, 2.849, 0.9429), (480, 5.698, 0.964), (480, 11.395, 0.7656), (480, 17.086, 0.2212), (480, 22.759, 0.1705),
+        (960, 5.7, 0.9973), (960, 11.399, 0.9973), (960, 22.794, 0.9925), (960, 34.181, 0.2024), (960, 45.539, 0.2323),
+        (1440, 8.549, 0.9971), (1440, 17.098, 0.9964), (1440, 34.191, 0.2036), (1440, 51.271, 0.199),
+    ]
+    out = {r.width: r for r in gain.curve_from_rows(spark.createDataFrame(rows, "width int, hand_displacement_px double, gain double"), 0.18, ["width"]).collect()}
+    assert {w: (r.knee_px, r.collapse_px) for w, r in out.items()} == {480: (5.698, 17.086), 960: (22.794, 34.181), 1440: (17.098, 34.191)}
+    assert all(r.tracks_background for r in out.values())
