@@ -9,7 +9,7 @@ runs at a time cost double work at worst.
 
 Where the number of rows is known beforehand (`expected`, the instants planned of a clip), a unit that comes back short or long is
 not whole; else the rows that came are what the unit has. A row of a unit that failed has no number: it is kept for its reason
-and its unit is tried again.
+and its unit is tried again, and so is a unit of which no row came.
 """
 
 from __future__ import annotations
