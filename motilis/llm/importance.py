@@ -4,8 +4,8 @@ Documents are grouped by their whole text, so features are taken, hashed and wei
 are multiplied by the number of its copies. Features are runs of 1 to 2 consecutive words; a feature's bucket is the crc32 of
 its bytes modulo BUCKETS. The two bucket tables have a fixed number of rows, whatever the corpus, and are the only thing sent to all
 tasks. A weight is the mean of the gains of a text's features. Weights meet the documents again by the text's digest: those of
-texts with very many copies by broadcast, at most SPLIT of them by construction, all others by an ordinary shuffle in which no
-text has more than a SPLITth of all rows. Only then does each document draw its own Gumbel noise from its id, and the highest
+texts with very many copies by broadcast, fewer than SPLIT of them by construction, all others by a join in which no text has
+more than a SPLITth of all rows. Only then does each document draw its own Gumbel noise from its id, and the highest
 scores are taken, which is sampling without replacement in proportion to exp(weight / 1000).
 
 Ranks come from one range shuffle of the candidates, numbered within partitions and moved on by the partitions' sizes.
