@@ -118,11 +118,11 @@ def g2(spark: SparkSession, d: str) -> DataFrame:
     return geometry.max_theta_sql(spark, geometry.CORPUS).select(r6("max_theta"), F.round("image_circle_radius_px", 4).alias("image_circle_radius_px"))
 
 
-@query("g1_project", f"WITH p AS (SELECT i, (i % 20 - 10) / 10.0 AS x, (i % 13 - 6) / 8.0 AS y, 1 + (i % 5) / 2.0 AS z FROM (SELECT unnest(range(400)) AS i)), r AS (SELECT *, sqrt(pow(x / z, 2) + pow(y / z, 2)) AS r, atan(sqrt(pow(x / z, 2) + pow(y / z, 2))) AS t FROM p), s AS (SELECT *, CASE WHEN r < 1e-12 THEN 1.0 ELSE {THETA} / r END AS s FROM r) SELECT i, round(1030.587009 * s * x / z + 966.691189, 4) AS u, round(1032.815725 * s * y / z + 539.687801, 4) AS v FROM s")
+@query("g1_project", f"WITH p AS (SELECT l_orderkey AS k, l_linenumber AS i, (l_partkey % 20 - 10) / 10.0 AS x, (l_suppkey % 13 - 6) / 8.0 AS y, 1 + l_linenumber / 2.0 AS z FROM lineitem), r AS (SELECT *, sqrt(pow(x / z, 2) + pow(y / z, 2)) AS r, atan(sqrt(pow(x / z, 2) + pow(y / z, 2))) AS t FROM p), s AS (SELECT *, CASE WHEN r < 1e-12 THEN 1.0 ELSE {THETA} / r END AS s FROM r) SELECT k, i, round(1030.587009 * s * x / z + 966.691189, 4) AS u, round(1032.815725 * s * y / z + 539.687801, 4) AS v FROM s")
 def g1(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("id")
-    points = spark.range(400).select(i.alias("i"), ((i % 20 - 10) / 10.0).alias("px"), ((i % 13 - 6) / 8.0).alias("py"), (1 + (i % 5) / 2.0).alias("pz"))
-    return geometry.project(points, geometry.CORPUS).select("i", F.round("pu", 4).alias("u"), F.round("pv", 4).alias("v"))
+    """A point for each line."""
+    points = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), ((F.col("l_partkey") % 20 - 10) / 10.0).alias("px"), ((F.col("l_suppkey") % 13 - 6) / 8.0).alias("py"), (1 + F.col("l_linenumber") / 2.0).alias("pz"))
+    return geometry.project(points, geometry.CORPUS).select("k", "i", F.round("pu", 4).alias("u"), F.round("pv", 4).alias("v"))
 
 
 @query("g5_analytic_flow")
@@ -168,10 +168,11 @@ def x3(spark: SparkSession, d: str) -> DataFrame:
     return release.floor_rows(part(0, "rotation_deg_per_s"), part(1, "translation_m_per_s"), part(2, "rotation_deg_per_s"))
 
 
-@query("x5_quiver_points", "SELECT x, y, u FROM (SELECT i % 64 AS x, i // 64 AS y, CASE WHEN i % 17 = 0 THEN NULL ELSE i / 7.0 END AS u FROM (SELECT unnest(range(4096)) AS i)) WHERE u IS NOT NULL AND ((x % 16 = 0 AND y % 16 = 0) OR (x % 4 = 0 AND y % 4 = 0 AND x BETWEEN 10 AND 40 AND y BETWEEN 8 AND 30))")
+@query("x5_quiver_points", "WITH f AS (SELECT o_custkey % 64 AS x, o_orderkey % 64 AS y, count(*) / 7.0 + max(o_custkey) AS u FROM orders GROUP BY 1, 2) SELECT x, y, u FROM f WHERE (x + y) % 17 != 0 AND ((x % 16 = 0 AND y % 16 = 0) OR (x % 4 = 0 AND y % 4 = 0 AND x BETWEEN 10 AND 40 AND y BETWEEN 8 AND 30))")
 def x5(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("id")
-    flow = spark.range(4096).select((i % 64).alias("x"), F.floor(i / 64).alias("y"), F.when(i % 17 != 0, i / 7.0).alias("u"), F.lit(1.0).alias("v"))
+    x, y = F.col("o_custkey") % 64, F.col("o_orderkey") % 64
+    flow = table(spark, d, "orders").groupBy(x.alias("x"), y.alias("y")).agg((F.count(F.lit(1)) / 7.0 + F.max("o_custkey")).alias("w"))
+    flow = flow.select("x", "y", F.when((F.col("x") + F.col("y")) % 17 != 0, F.col("w")).alias("u"), F.lit(1.0).alias("v"))
     return release.quiver_points(flow, 16, 4, (10, 8, 40, 30)).select("x", "y", "u")
 
 
