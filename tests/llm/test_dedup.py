@@ -207,21 +207,6 @@ def test_queue_spills_and_keeps_the_order(tmp_path):
     assert q.spilled > 5 and got == want and not list(tmp_path.iterdir())
 
 
-@pytest.mark.parametrize("depth", [3, 17, 40, 400])
-def test_neighbours_share_what_comparing_says(depth):
-    """Orders that are exact up to depth symbols only: ties beyond are in any order."""
-    rng = np.random.default_rng(depth)
-    for _ in range(150):
-        a = rng.integers(1, 3, rng.integers(5, 60)).astype(np.uint8)
-        text = np.concatenate([[0], np.tile(a, rng.integers(1, 30)), [0], a[: rng.integers(1, len(a))], [0], np.tile(a, rng.integers(1, 3)), [0]]).astype(np.uint8)
-        s, n = induced_sort.s_types(text), len(text)
-        p = rng.permutation(np.flatnonzero(s[1:n] & ~s[: n - 1]) + 1)
-        order = np.array(sorted(p.tolist(), key=lambda i: text[i : i + depth].tobytes()))
-        padded = np.concatenate([text, np.zeros(depth + 64, np.uint8)])
-        if len(order) > 1:
-            assert (induced_sort.neighbours_shared(padded, order, depth) == induced_sort.common_prefix(padded, order[:-1], order[1:], depth)).all()
-
-
 def test_tables_are_broadcast_by_their_bytes(spark):
     from motilis.llm.common import sized
 
