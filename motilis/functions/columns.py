@@ -47,6 +47,18 @@ def resolvability_floor(n: Column, alpha: float = K.SPECTRAL_FALSE_ALARM_RATE) -
     return F.when(n >= 2, -F.ln(1 - F.pow(F.lit(1 - alpha), 1.0 / n)) / math.log(2))
 
 
+#: Hundredths whose upper half is, as a double, nearer to the next one (or level with it and the next one even).
+_HALVES_UP = [n for n in range(100) if round((n + 0.5) / 100, 2) > (n + 0.25) / 100]
+
+
+def share_text(x: Column) -> Column:
+    """A share from 0 to 1 with two places. Its double is rounded as it stands, as in C and Python; format_string rounds the shortest decimal that names it."""
+    low = F.floor(x * 100).cast("int")
+    half = (low + 0.5) / 100
+    n = low + F.when((x > half) | ((x == half) & low.isin(_HALVES_UP)), 1).otherwise(0)
+    return F.when(x.isNotNull(), F.format_string("%d.%02d", F.floor(n / 100), n % 100))
+
+
 def relative_difference(a: Column, b: Column) -> Column:
     return F.abs(a - b) / ((a + b) / 2)
 
