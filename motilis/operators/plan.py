@@ -30,10 +30,14 @@ def pilot_factory(clips: DataFrame) -> DataFrame:
 
 
 def native_frames(instants: DataFrame) -> DataFrame:
-    """For each native frame index the first instant that asks for it, and whether the frame before was asked for too."""
-    rows = instants.withColumn("idx", C.native_index(F.col("t_s"), F.col("fps"))).groupBy("clip_id", "idx").agg(F.min("i").alias("i"))
-    w = Window.partitionBy("clip_id").orderBy("idx")
-    return rows.withColumn("after_previous", F.coalesce(F.lag("idx").over(w) == F.col("idx") - 1, F.lit(False)))
+    """For each native frame index the first instant that asks for it, and whether the frame before was asked for too.
+
+    Hardly two instants share an index, so they are not grouped: in order, the first of an index differs from the one before it."""
+    rows = instants.select("clip_id", C.native_index(F.col("t_s"), F.col("fps")).alias("idx"), "i")
+    w = Window.partitionBy("clip_id").orderBy("idx", F.col("i").asc_nulls_last())
+    rows = rows.withColumn("nth", F.row_number().over(w)).withColumn("before", F.lag("idx").over(w))
+    first = rows.filter((F.col("nth") == 1) | ~F.col("before").eqNullSafe(F.col("idx")))
+    return first.select("clip_id", "idx", "i", F.coalesce(F.col("before") == F.col("idx") - 1, F.lit(False)).alias("after_previous"))
 
 
 def rate_of(instants: DataFrame) -> DataFrame:

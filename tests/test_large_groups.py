@@ -1,8 +1,10 @@
 """Steps that failed at size: rounded shares, and many small groups or large ones in bounded frames."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from motilis.functions import columns as C
+from motilis.operators import plan
 
 
 def test_shares_are_rounded_by_their_doubles(spark):
@@ -11,3 +13,16 @@ def test_shares_are_rounded_by_their_doubles(spark):
     rows = spark.createDataFrame(pairs, "a int, b int").select("a", "b", C.share_text(F.col("a") / F.col("b")).alias("t")).collect()
     assert {(r.a, r.b): r.t for r in rows} == {(a, b): f"{a / b:.2f}" for a, b in pairs}
     assert spark.range(1).select(C.share_text(F.lit(None).cast("double")).alias("t")).first().t is None
+
+
+def test_native_frames_take_the_first_instant_without_grouping(spark):
+    rows = [("a", i, i * 0.01) for i in range(40)] + [("a", 99, None), ("b", 5, 0.0), ("b", 3, 0.001), ("b", 4, 1.0)]
+    df = plan.native_frames(spark.createDataFrame(rows, "clip_id string, i int, t_s double").withColumn("fps", F.lit(30)).repartition(3))
+    want, before = {}, {}
+    for clip, i, t in rows:
+        key = clip, None if t is None else int(np.floor(t * 30 + 0.5))
+        want[key] = min(i, want.get(key, i))
+    got = {(r.clip_id, r.idx): (r.i, r.after_previous) for r in df.collect()}
+    before = {k: k[1] is not None and (k[0], k[1] - 1) in want for k in want}
+    assert got == {k: (i, before[k]) for k, i in want.items()}
+    assert "HashAggregate" not in df._jdf.queryExecution().executedPlan().toString()
