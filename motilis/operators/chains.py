@@ -2,7 +2,7 @@
 
 Amendments have one prior each, so all of them are followed at once by doubling: a round takes each version as far again as the ones
 before, and a chain of a thousand takes ten. A version that no round brings to a first one hangs on a loop. Commits may have several
-parents; a repository's history is walked in one task, each commit once.
+parents; a repository's history is walked in one task, each commit once, many repositories a call.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import over_whole_groups, starts
 from .ranks import written
 
 
@@ -50,18 +51,24 @@ def amendment_chain(amendments: DataFrame) -> DataFrame:
 
 
 def _descendants(rows: pd.DataFrame) -> pd.DataFrame:
-    """id, steps of the commits that the plan's own leads to, itself at 0. rows: repo, id, parent, and the plan's commit as a row without either."""
-    after: dict = {}
-    for child, parent in zip(rows.id, rows.parent):
-        if child is not None and parent is not None:
-            after.setdefault(parent, []).append(child)
-    met = dict.fromkeys((x for x in rows.plan_id if x is not None), 0)
-    now = list(met)
-    while now:
-        found = dict.fromkeys(c for p in now for c in after.get(p, ()) if c not in met)
-        met.update(dict.fromkeys(found, met[now[0]] + 1))
-        now = list(found)
-    return pd.DataFrame({"repo": pd.Series([rows.repo.iloc[0]] * len(met), dtype=rows.repo.dtype), "id": pd.Series(list(met), dtype=object), "steps": np.array(list(met.values()), np.int32)})
+    """repo, id, steps of the commits that each repository's plan's own leads to, itself at 0. rows: repo, id, parent, and the plan's commit as a row without either."""
+    bounds, ids, steps, sizes = starts(rows.repo.to_numpy()), [], [], []
+    child, parent, plan = rows.id.tolist(), rows.parent.tolist(), rows.plan_id.tolist()
+    for a, b in zip(bounds, bounds[1:]):
+        now = list(dict.fromkeys(x for x in plan[a:b] if x is not None))
+        met = dict.fromkeys(now, 0)
+        after: dict = {}
+        for c, p in zip(child[a:b], parent[a:b]) if now else ():
+            if c is not None and p is not None:
+                after.setdefault(p, []).append(c)
+        while now:
+            found = dict.fromkeys(c for p in now for c in after.get(p, ()) if c not in met)
+            met.update(dict.fromkeys(found, met[now[0]] + 1))
+            now = list(found)
+        ids.extend(met)
+        steps.extend(met.values())
+        sizes.append(len(met))
+    return pd.DataFrame({"repo": rows.repo.iloc[np.repeat(bounds[:-1], sizes)].reset_index(drop=True), "id": pd.Series(ids, dtype=object), "steps": np.array(steps, np.int32)})
 
 
 def plan_before_code(commits: DataFrame, added: DataFrame, plan: str) -> DataFrame:
@@ -74,7 +81,7 @@ def plan_before_code(commits: DataFrame, added: DataFrame, plan: str) -> DataFra
     rows = commits.select("repo", text("id").alias("id"), text("parent").alias("parent"), F.lit(None).cast("string").alias("plan_id"))
     rows = rows.unionByName(first.filter("plan_id is not null").select("repo", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("parent"), "plan_id"))
     kind = commits.schema["repo"].dataType.simpleString()
-    after = rows.groupBy("repo").applyInPandas(_descendants, f"repo {kind}, id string, steps int")
+    after = over_whole_groups(rows, "repo", "id", _descendants, f"repo {kind}, id string, steps int")
     files = added.filter(F.col("path") != plan).select("repo", "path", text("id").alias("id")).join(first.withColumn("planned", F.lit(True)), "repo", "left").join(after, ["repo", "id"], "left")
     problem = F.when(F.col("planned").isNull(), "no plan").when(F.col("id").isNull(), "uncommitted").when(F.col("steps") == 0, "same commit").when(F.col("steps").isNull(), "not an ancestor")
     return files.select("repo", "path", problem.alias("problem")).filter("problem is not null")

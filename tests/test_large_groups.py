@@ -1,10 +1,11 @@
 """Steps that failed at size: rounded shares, and many small groups or large ones in bounded frames."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from motilis.functions import columns as C
-from motilis.operators import plan
+from motilis.operators import chains, grouped, plan
 
 
 def test_shares_are_rounded_by_their_doubles(spark):
@@ -26,3 +27,37 @@ def test_native_frames_take_the_first_instant_without_grouping(spark):
     before = {k: k[1] is not None and (k[0], k[1] - 1) in want for k in want}
     assert got == {k: (i, before[k]) for k, i in want.items()}
     assert "HashAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("batch", ["1", "3", "10000"])
+def test_frames_hold_whole_groups(spark, batch):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame([(g, i) for g in range(20) for i in range(g % 7 + 1)] + [(None, 1)], "g int, i int").repartition(5)
+
+        def run(pdf):
+            b = grouped.starts(pdf.g.to_numpy())
+            assert (np.diff(pdf.i)[np.diff(pdf.g) == 0] == 1).all()
+            return pdf.iloc[b[:-1]][["g"]].assign(n=np.diff(b))
+
+        assert sorted((r.g, r.n) for r in grouped.over_whole_groups(df, "g", "i", run, "g int, n long").collect()) == [(g, g % 7 + 1) for g in range(20)]
+        assert grouped.over_whole_groups(df.limit(0), "g", "i", run, "g int, n long").count() == 0
+        commits = [(r, i, i - 1 if i else None) for r in range(30) for i in range(9)]
+        added = [(r, "PLAN", r % 9) for r in range(30)] + [(r, f"{i}", i) for r in range(30) for i in range(9)]
+        out = chains.plan_before_code(spark.createDataFrame(commits, "repo int, id int, parent int"), spark.createDataFrame(added, "repo int, path string, id int"), "PLAN").collect()
+        assert {(r.repo, int(r.path)): r.problem for r in out} == {(r, i): "same commit" if i == r % 9 else "not an ancestor" for r in range(30) for i in range(9) if i <= r % 9}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_many_small_groups_take_few_calls(spark):
+    calls = spark.sparkContext.accumulator(0)
+    df = spark.range(20_000).select((F.col("id") / 2).cast("long").alias("g"), "id").coalesce(2)
+
+    def run(pdf):
+        calls.add(1)
+        return pdf[["g"]].drop_duplicates()
+
+    assert grouped.over_whole_groups(df, "g", "id", run, "g long").count() == 10_000
+    assert calls.value < 50
