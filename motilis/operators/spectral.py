@@ -1,6 +1,7 @@
 """Spectral bout frequency: a normalised Lomb-Scargle periodogram of scored instants, clip by clip.
 
-The periodogram is a product of matrices of instants and bins; a clip's instants are brought together once and go through numpy.
+Instants lie on a grid and bins are whole cycles of the span, so all sums over instants are terms of two Fourier transforms; a clip's
+instants are brought together once and go through numpy, many clips a call.
 The same in SQL terms is two aggregations over instants x bins, which the tests and the oracle use.
 """
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .grouped import over_whole_groups, starts
 
 _SHAPE = "clip_id string, n_bins int, hz double, peak_power_ratio double, resolvability_floor double, peak_hz double, status string"
 
@@ -33,6 +35,28 @@ def periodogram(t: np.ndarray, y: np.ndarray, f: np.ndarray) -> np.ndarray:
     return (np.where(cc > 1e-9 * len(t), a, 0.0) + np.where(ss > 1e-9 * len(t), b, 0.0)) / power
 
 
+def grid_periodogram(k: np.ndarray, y: np.ndarray, bins: int) -> np.ndarray:
+    """periodogram() of instants k (whole numbers from 0, the last being the span) at 1 to `bins` cycles of the span, at most half of it.
+
+    Sums over instants are read off transforms as long as the span; where the sine or the cosine all but vanishes they are summed one by one."""
+    y = y - y.mean()
+    power = float(y @ y)
+    if power == 0.0:
+        return np.zeros(bins)
+    n, span = len(k), int(k[-1])
+    at, b = k % span, np.arange(1, bins + 1)
+    own = np.fft.rfft(np.bincount(at, y, span))[b]
+    double = np.fft.fft(np.bincount(at, minlength=span))[2 * b % span]
+    # turned by the offset that makes sine and cosine orthogonal; the two sums of squares add up to n
+    turned, length = own * np.exp(-0.5j * np.angle(double)), np.abs(double)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = (turned.real**2 / ((n + length) / 2) + turned.imag**2 / ((n - length) / 2)) / power
+    thin = np.flatnonzero(n - length < 1e-3 * n)
+    if len(thin):
+        p[thin] = periodogram(k.astype(float), y, b[thin] / span)
+    return p
+
+
 def noise_floor(n: int, alpha: float = K.SPECTRAL_FALSE_ALARM_RATE) -> float:
     return float(-np.log1p(-((1 - alpha) ** (1 / n))) / np.log(2))
 
@@ -50,7 +74,7 @@ def estimate(clip: str, duration: float, i: np.ndarray, v: np.ndarray, n: int, f
         return clip, bins, None, None, None, None, "no_peak"
     floor = noise_floor(bins)
     f = np.arange(1, bins + 1) / span
-    p = periodogram(i / fps, v.astype(float), f)
+    p = grid_periodogram((i - i[0]).astype(np.int64), v.astype(float), bins)
     if not p.any():
         return clip, bins, None, 0.0, floor, None, "no_peak"
     k = int(np.argmax(p))
@@ -64,13 +88,20 @@ def estimate(clip: str, duration: float, i: np.ndarray, v: np.ndarray, n: int, f
 def spectral_frequency(samples: DataFrame, clips: DataFrame, fps: float = K.ANALYSIS_HZ) -> DataFrame:
     """One row per clip: n_bins, hz, peak_power_ratio, resolvability_floor, peak_hz, status, resolvable."""
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        own = rows[rows.v.notna()]
-        return pd.DataFrame([estimate(key[0], float(rows.duration_s.iloc[0]), own.i.to_numpy(float), own.v.to_numpy(bool), int(rows.i.notna().sum()), fps)], columns=[c.split()[0] for c in _SHAPE.split(", ")])
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        bounds = starts(rows.clip_id.to_numpy())
+        i, state, clip, duration = rows.i.to_numpy(float), rows.state.to_numpy(), rows.clip_id.to_numpy()[bounds[:-1]], rows.duration_s.to_numpy(float)
+        out = []
+        for name, a, b in zip(clip, bounds, bounds[1:]):
+            own = a + np.flatnonzero(state[a:b] >= 0)
+            out.append(estimate(name, float(duration[a]), i[own], state[own] == 1, int((state[a:b] >= -1).sum()), fps))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _SHAPE.split(", ")])
 
     rows = clips.select("clip_id", "duration_s").join(samples.select("clip_id", "i", "v"), "clip_id", "left")
-    out = rows.groupBy("clip_id").applyInPandas(one, _SHAPE)
+    # 1, 0: scored; -1: an instant without a value; -2: a clip without instants
+    state = F.when(F.col("i").isNull(), -2).when(F.col("v").isNull(), -1).otherwise(F.col("v").cast("int"))
+    rows = rows.select("clip_id", "duration_s", F.coalesce("i", F.lit(0)).cast("long").alias("i"), state.alias("state"))
+    out = over_whole_groups(rows, "clip_id", "i", run, _SHAPE)
     return out.withColumn("resolvable", F.col("status") == "ok")
 
 

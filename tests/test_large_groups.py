@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motilis.functions import columns as C
-from motilis.operators import chains, grouped, plan
+from motilis.operators import chains, grouped, plan, spectral
 
 
 def test_shares_are_rounded_by_their_doubles(spark):
@@ -61,3 +61,28 @@ def test_many_small_groups_take_few_calls(spark):
 
     assert grouped.over_whole_groups(df, "g", "id", run, "g long").count() == 10_000
     assert calls.value < 50
+
+
+def test_transforms_give_the_periodogram_of_sums():
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        k = np.flatnonzero(rng.random(int(rng.integers(40, 900))) < (0.15, 0.9, 1.0)[trial % 3])
+        k = k - k[0]
+        if len(k) < 9:
+            continue
+        v = (rng.random(len(k)) < 0.4 if trial % 2 else k * 3 % 20 < 12).astype(float)
+        bins = k[-1] // 2
+        want = spectral.periodogram(k / 4.0, v, np.arange(1, bins + 1) / (k[-1] / 4.0))
+        assert spectral.grid_periodogram(k, v, bins) == pytest.approx(want, rel=1e-9, abs=1e-10 * want.max())
+    assert not spectral.grid_periodogram(np.arange(20), np.ones(20), 9).any()
+
+
+def test_a_clip_of_two_hours_has_a_spectrum():
+    """28,800 instants and 14,399 bins: as sums, matrices of 3.3 GB."""
+    import resource
+
+    k = np.arange(28_800)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    row = spectral.estimate("a", 7200.0, k.astype(float), k % 20 < 12, len(k), 4.0)
+    assert row[1] == 14_399 and row[2] == pytest.approx(0.2, rel=1e-3) and row[-1] == "ok"
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
