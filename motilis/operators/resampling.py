@@ -14,17 +14,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranks import numbered, written
 
 #: Clusters, and distinct values, that a task holds; chunks of replicates for each part.
-PART, VALUES, CHUNKS = 1 << 20, 1 << 16, 16
+PART, VALUES, CHUNKS = 1 << 20, 1 << 16, 24
 #: Draws for each distinct value from which on they are drawn as counts.
 REPEATED = 16
-#: Draws made at a time.
-_STEP = 1 << 22
+#: Draws made at a time; they stay in the processor's cache.
+_STEP = 1 << 14
+#: Numbers of the stream that a task looks through for the ones that are not used.
+SEGMENT = 1 << 26
 
 
 def chunks_of(b: int, chunks: int = CHUNKS) -> list[tuple[int, int]]:
@@ -33,13 +35,10 @@ def chunks_of(b: int, chunks: int = CHUNKS) -> list[tuple[int, int]]:
     return [(x, y) for x, y in zip(ends, ends[1:]) if y > x]
 
 
-def _pick(rng: np.random.Generator, n: int, a: int, b: int):
-    """Draws of the replicates a to b of n each, some at a time; a step's size does not change the stream."""
-    step = max(1, _STEP // n)
-    while a < b:
-        k = min(step, b - a)
-        yield a, rng.integers(0, n, (k, n))
-        a += k
+def _pick(rng: np.random.Generator, n: int, k: int):
+    """k draws below n, some at a time, each with its place; a step's size does not change the stream."""
+    for a in range(0, k, _STEP):
+        yield a, rng.integers(0, n, min(_STEP, k - a))
 
 
 def stream_states(n: int, b: int, seed: int, chunks: int = CHUNKS) -> list[dict]:
@@ -49,50 +48,110 @@ def stream_states(n: int, b: int, seed: int, chunks: int = CHUNKS) -> list[dict]
     for i, (x, y) in enumerate(cuts):
         states.append(rng.bit_generator.state)
         if i + 1 < len(cuts):
-            for _ in _pick(rng, n, x, y):
+            for _ in _pick(rng, n, (y - x) * n):
                 pass
     return states
 
 
-def cluster_replicates(sums: DataFrame, b: int, seed: int, part: int = PART, chunks: int = CHUNKS) -> DataFrame:
+def _used(n: int, seed: int, first: int, count: int):
+    """Of `count` numbers of 32 bits from place `first` (even) of the stream, some at a time: the place, and whether each becomes a draw below n."""
+    bits = np.random.PCG64(seed).advance(first // 2)
+    reject = np.uint32((1 << 32) % n)
+    for a in range(first, first + count, 2 * _STEP):
+        x = bits.random_raw(min(_STEP, (first + count - a + 1) // 2)).astype("<u8").view("<u4")
+        yield a, x * np.uint32(n) >= reject
+
+
+def states_over_tasks(spark: SparkSession, n: int, b: int, seed: int, chunks: int = CHUNKS, segment: int | None = None) -> list[dict]:
+    """stream_states(), found by tasks: a draw takes one number of 32 bits unless its product with n falls into the remainder, so the numbers
+    used up to a chunk are counted in segments of the stream, and only the segment in which a chunk begins is looked at again."""
+    segment = segment or SEGMENT
+    starts = [x * n for x, _ in chunks_of(b, chunks)]
+    if n >= 1 << 32 or starts[-1] < segment:
+        return stream_states(n, b, seed, chunks)
+    length = int(starts[-1] / (1 - (1 << 32) % n / (1 << 32)) + 12 * starts[-1] ** 0.5) + segment
+    parts = -(-length // segment)
+
+    def count(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf.id, "used": [sum(int(np.count_nonzero(u)) for _, u in _used(n, seed, int(i) * segment, segment)) for i in pdf.id]})
+
+    # a row for each segment
+    used = sorted(tuple(r) for r in spark.range(0, parts, 1, parts).mapInPandas(count, "id long, used long").collect())
+    before = np.concatenate([[0], np.cumsum([u for _, u in used])])
+    states = []
+    for want in starts:
+        at = int(np.searchsorted(before, want, "right")) - 1
+        seen, place = int(before[at]), at * segment
+        for a, u in _used(n, seed, place, segment) if seen < want else ():
+            if seen + (k := int(np.count_nonzero(u))) >= want:
+                place = a + int(np.flatnonzero(u)[want - seen - 1]) + 1
+                break
+            seen += k
+        bits = np.random.PCG64(seed).advance(place // 2)
+        if place % 2:  # the second half of a number of 64 bits waits
+            np.random.Generator(bits).integers(0, 1 << 32, dtype=np.uint32)
+        states.append(bits.state)
+    return states
+
+
+def _dealt(rows: DataFrame, groups: int) -> DataFrame:
+    """rows by part and chunk, hardly two of these groups in one task; a few groups with little data would be put together otherwise."""
+    return rows.repartition(min(8 * groups, max(groups, 2000)), "part", "chunk").groupBy("part", "chunk")
+
+
+def cluster_replicates(sums: DataFrame, b: int, seed: int, part: int | None = None, chunks: int = CHUNKS) -> DataFrame:
     """replicate, mean of b resamples of clusters with replacement. sums: cluster, s, n. A single cluster is an error."""
-    rows = written(numbered(sums.select("cluster", F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n")), "cluster"))
+    part = part or PART
+    rows = numbered(sums.select("cluster", F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n")), "cluster")
+    rows = written(rows.select("rank", "s", "n"))  # names have served: a task holds numbers
     n = rows.count()
     if n < 2:
         raise ValueError("a cluster bootstrap needs two clusters")
-    states, cuts = stream_states(n, b, seed, chunks), chunks_of(b, chunks)
+    states, cuts = states_over_tasks(sums.sparkSession, n, b, seed, chunks), chunks_of(b, chunks)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        s, c, low, k = pdf.s.to_numpy(), pdf.n.to_numpy(), int(key[0]) * part, int(key[1])
+        low, own = int(key[0]) * part, len(pdf)
+        # sum and count in one cell are one access to memory; what lies before and after this part counts nothing here
+        cells = np.zeros(own + 2, complex)
+        cells[pdf["rank"].to_numpy() - (low - 1)] = pdf.s.to_numpy() + 1j * pdf.n.to_numpy()
+        del pdf
         rng = np.random.default_rng()
-        rng.bit_generator.state = states[k]
-        first, last = cuts[k]
-        out = np.empty((2, last - first))
-        for a, at in _pick(rng, n, first, last):
-            if len(s) < n:  # draws that fall into other parts count nothing here
-                own = (at >= low) & (at < low + len(s))
-                at = np.where(own, at - low, len(s))
-                values = (np.append(s, 0.0)[at].sum(1), np.append(c, 0.0)[at].sum(1))
-            else:
-                values = (s[at].sum(1), c[at].sum(1))
-            out[:, a - first : a - first + len(at)] = values
-        return pd.DataFrame({"replicate": np.arange(first, last), "s": out[0], "c": out[1]})
+        rng.bit_generator.state = states[int(key[1])]
+        first, last = cuts[int(key[1])]
+        out = np.zeros(last - first, complex)
+        # all draws of a replicate are summed at once, as a single task would, where one part holds all clusters
+        drawn = np.empty(n if own == n else 0, complex)
+        for r in range(last - first):
+            for a, at in _pick(rng, n, n):
+                at -= low - 1
+                if own == n:
+                    np.take(cells, at, out=drawn[a : a + len(at)], mode="clip")
+                else:
+                    out[r] += np.take(cells, at, mode="clip").sum()
+            if own == n:
+                out[r] = complex(drawn.real.sum(), drawn.imag.sum())
+        return pd.DataFrame({"replicate": np.arange(first, last), "s": out.real, "c": out.imag})
 
     dealt = rows.withColumn("part", F.floor(F.col("rank") / part).cast("long")).withColumn("chunk", F.explode(F.array(*(F.lit(i) for i in range(len(cuts))))))
-    drawn = dealt.groupBy("part", "chunk").applyInPandas(run, "replicate long, s double, c double")
+    drawn = _dealt(dealt, -(-n // part) * len(cuts)).applyInPandas(run, "replicate long, s double, c double")
     return drawn.groupBy("replicate").agg((F.sum("s") / F.sum("c")).alias("mean"))
 
 
-def draw_values(x: np.ndarray, counts: np.ndarray, k: int, rng: np.random.Generator) -> float:
-    """Sum of k values drawn with replacement from x, each of which stands counts times."""
+def drawer(x: np.ndarray, counts: np.ndarray):
+    """A function of k and a generator: the sum of k values drawn with replacement from x, each of which stands counts times."""
     n = int(counts.sum())
-    if k > REPEATED * len(x):
-        return float(rng.multinomial(k, counts / n) @ x)
+    shares, ends = counts / n, np.cumsum(counts)
     each = x if n == len(x) else np.repeat(x, counts) if n <= 4 * REPEATED * len(x) else None
-    if each is None:
-        return float(x[np.searchsorted(np.cumsum(counts), rng.integers(0, n, k), "right")].sum())
-    return float(each[rng.integers(0, n, k)].sum())
+
+    def draw(k: int, rng: np.random.Generator) -> float:
+        if k > REPEATED * len(x):
+            return float(rng.multinomial(k, shares) @ x)
+        if each is None:
+            return float(sum(x[np.searchsorted(ends, at, "right")].sum() for _, at in _pick(rng, n, k)))
+        return float(sum(each.take(at).sum() for _, at in _pick(rng, n, k)))
+
+    return draw
 
 
 def value_replicates(observations: DataFrame, value: str, b: int, seed: int, most: int = VALUES, chunks: int = CHUNKS) -> DataFrame:
@@ -113,12 +172,12 @@ def value_replicates(observations: DataFrame, value: str, b: int, seed: int, mos
         pdf = pdf.sort_values("x")
         x, counts, own = pdf.x.to_numpy(float), pdf.n.to_numpy(np.int64), int(key[0])
         first, last = cuts[int(key[1])]
-        out = np.empty(last - first)
+        out, draw = np.empty(last - first), drawer(x, counts)
         for r in range(first, last):
             k = total if len(order) == 1 else int(np.random.default_rng([seed, r]).multinomial(total, shares)[order.index(own)])
-            out[r - first] = draw_values(x, counts, k, np.random.default_rng([seed, r, own + 1]))
+            out[r - first] = draw(k, np.random.default_rng([seed, r, own + 1]))
         return pd.DataFrame({"replicate": np.arange(first, last), "s": out})
 
     dealt = counted.withColumn("chunk", F.explode(F.array(*(F.lit(i) for i in range(len(cuts))))))
-    drawn = dealt.groupBy("part", "chunk").applyInPandas(run, "replicate long, s double")
+    drawn = _dealt(dealt, parts * len(cuts)).applyInPandas(run, "replicate long, s double")
     return drawn.groupBy("replicate").agg((F.sum("s") / total).alias("mean"))

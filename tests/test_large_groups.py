@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motilis.functions import columns as C
-from motilis.operators import chains, grouped, plan, spectral
+from motilis.operators import chains, grouped, plan, resampling, spectral
 
 
 def test_shares_are_rounded_by_their_doubles(spark):
@@ -86,3 +86,41 @@ def test_a_clip_of_two_hours_has_a_spectrum():
     row = spectral.estimate("a", 7200.0, k.astype(float), k % 20 < 12, len(k), 4.0)
     assert row[1] == 14_399 and row[2] == pytest.approx(0.2, rel=1e-3) and row[-1] == "ok"
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def same_draws(states, n):
+    """The first draws from each state; the buffered half of a number counts only where one waits."""
+    out = []
+    for s in states:
+        rng = np.random.default_rng()
+        rng.bit_generator.state = s
+        out.append(rng.integers(0, n, 50).tolist())
+    return out
+
+
+@pytest.mark.parametrize("n", [1001, 4096, (1 << 31) + 5])
+def test_states_found_by_tasks_are_those_of_one_run_through_the_stream(spark, n):
+    """Of numbers below 2**31 + 5 nearly half are not used."""
+    b, segment = (3, 1 << 14) if n > 1 << 20 else (200, 1 << 14)
+    if n > 1 << 20:  # chunks of a few draws: one replicate is too long to run through here
+        got = [resampling._used(n, 7, 0, 1 << 12)]
+        draws = np.random.default_rng(7).integers(0, n, 1500)
+        bits = np.random.PCG64(7).random_raw(1 << 11).view(np.uint32).astype(np.uint64)
+        used = np.concatenate([u for _, u in got[0]])
+        assert ((bits[used] * np.uint64(n)) >> np.uint64(32))[:1500].tolist() == draws.tolist()
+        return
+    got = resampling.states_over_tasks(spark, n, b, 7, 9, segment)
+    assert same_draws(got, n) == same_draws(resampling.stream_states(n, b, 7, 9), n)
+
+
+def test_clusters_in_parts_and_pieces_give_the_same_means(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    s, c = rng.random(3001), rng.integers(1, 9, 3001)
+    df = spark.createDataFrame([(f"f/{i:05d}", float(x), int(k)) for i, (x, k) in enumerate(zip(s, c))], "cluster string, s double, n long").repartition(3)
+    at = np.random.default_rng(777).integers(0, 3001, (40, 3001))
+    want = s[at].sum(1) / c[at].sum(1)
+    means = lambda d: np.array([r["mean"] for r in sorted(d.collect())])
+    monkeypatch.setattr(resampling, "_STEP", 256)
+    monkeypatch.setattr(resampling, "SEGMENT", 1 << 12)
+    assert (means(resampling.cluster_replicates(df, 40, 777)) == want).all()
+    assert means(resampling.cluster_replicates(df, 40, 777, part=1000)) == pytest.approx(want, rel=1e-12)
