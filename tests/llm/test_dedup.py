@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -175,6 +176,26 @@ def test_passages_are_removed_from_400_bytes_on(spark, bytes_long):
         assert (out[i].n_removed >= bytes_long) == (bytes_long >= 400 and i % 3 == 0) and (out[i].n_removed > 0) == (out[i].n_removed >= bytes_long)
 
 
+def test_long_repeats_are_sorted_without_their_overlaps(spark, tmp_path, monkeypatch):
+    """Parts that follow one another in a repeated passage go through the sort as one text: about the bytes of both copies, not five times as many."""
+    real = suffix_dedup.repeated_starts
+
+    def noted(segments, *rest):
+        (tmp_path / uuid.uuid4().hex).write_text(str(sum(len(x) for x in segments)))
+        return real(segments, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", noted)
+    rng = np.random.default_rng(11)
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    long, passage = letters(150_000), letters(3000)
+    rows = [(1, long), (None, long), (3, letters(700) + passage + letters(90)), (4, passage + letters(50) + passage), (5, passage[:1500] + "#" + passage[1500:]), (6, letters(900)), (6, "ab" * 2000), (7, letters(80) + long[40_000:90_000])]
+    rows += [(8, rows[2][1]), (8, rows[2][1]), (9, long[90_001:] + long[:20_000])]
+    got = suffix_dedup.dedup_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(repr(i), *x) for (i, _), x in zip(rows, brute_removed([t.encode() for _, t in rows], 400))]
+    assert sorted((repr(r.doc_id), *tuple(r)[1:]) for r in got) == sorted(want)
+    assert 2 * len(long) < sum(int(f.read_text()) for f in tmp_path.iterdir()) < 3 * len(long)
+
+
 def test_recursion_spills_too(tmp_path):
     rng = np.random.default_rng(5)
     t = np.concatenate([np.tile(rng.integers(1, 4, 60), 40), rng.integers(1, 4, 3000), [0]])
